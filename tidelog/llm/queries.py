@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import quality
+from tidelog.llm import bpe, idstore, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,10 @@ def op4_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality.judge(docs)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+@query("op2_id_store")
+def op2_id_store(spark, sf_dir):
+    file = bpe.path("byte_bpe_50k.json")
+    path = idstore.store(table(spark, sf_dir, "documents").select("doc_id", "text"), file, end_id=2)
+    return idstore.read(spark, path, file, end_id=2)
