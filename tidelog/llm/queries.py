@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, idstore, quality
+from tidelog.llm import bpe, idstore, packing, quality, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,13 @@ def op2_id_store(spark, sf_dir):
     file = bpe.path("byte_bpe_50k.json")
     path = idstore.store(table(spark, sf_dir, "documents").select("doc_id", "text"), file, end_id=2)
     return idstore.read(spark, path, file, end_id=2)
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark, sf_dir):
+    return tokencount.count(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.path("word_bpe_49k.json"), limit=2048)
