@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, idstore, packing, quality, tokencount
+from tidelog.llm import bpe, idstore, packing, quality, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,10 @@ def op9_best_fit_packing(spark, sf_dir):
 @query("op1_token_counts")
 def op1_token_counts(spark, sf_dir):
     return tokencount.count(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.path("word_bpe_49k.json"), limit=2048)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.score(docs, toxicity.fit(docs, labels.where(toxicity.fold() != 0)))
