@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, idstore, packing, quality, tokencount, toxicity
+from tidelog.llm import bpe, idstore, packing, quality, simhash, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,8 @@ def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.score(docs, toxicity.fit(docs, labels.where(toxicity.fold() != 0)))
+
+
+@query("op5_simhash_components")
+def op5_simhash_components(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, radius=4)
