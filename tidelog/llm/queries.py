@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, idstore, packing, quality, simhash, tokencount, toxicity
+from tidelog.llm import bpe, chat, idstore, packing, pages, quality, simhash, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,14 @@ def op3_toxicity(spark, sf_dir):
 @query("op5_simhash_components")
 def op5_simhash_components(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, radius=4)
+
+
+@query("op7_perspective_rotation", chat.ORACLE)
+def op7_perspective_rotation(spark, sf_dir):
+    rows = chat.rotate(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return rows.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["begin"], m["end"])), ","))
+
+
+@query("op8_page_differencing")
+def op8_page_differencing(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
