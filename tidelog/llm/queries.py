@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, idstore, packing, pages, quality, simhash, tokencount, toxicity
+from tidelog.llm import bpe, chat, decontam, idstore, packing, pages, quality, simhash, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op7_perspective_rotation(spark, sf_dir):
 @query("op8_page_differencing")
 def op8_page_differencing(spark, sf_dir):
     return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op10_template_decontamination")
+def op10_template_decontamination(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
