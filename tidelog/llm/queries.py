@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, decontam, idstore, packing, pages, quality, simhash, tokencount, toxicity
+from tidelog.llm import bpe, chat, decontam, idstore, packing, pages, quality, simhash, suffix, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ def op8_page_differencing(spark, sf_dir):
 @query("op10_template_decontamination")
 def op10_template_decontamination(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_repeated_passages")
+def op6_repeated_passages(spark, sf_dir):
+    return suffix.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
