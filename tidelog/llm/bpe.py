@@ -39,7 +39,7 @@ def specials(file: str) -> dict[str, int]:
 class Encoder:
     """Ids of whole batches of texts. cached: pre-tokens kept between batches, forgotten all at once beyond that."""
 
-    def __init__(self, file: str, cached: int = 1_500_000):
+    def __init__(self, file: str, cached: int = 500_000):
         self.file, self.cached = file, cached
         self.special = specials(file)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None

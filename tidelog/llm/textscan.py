@@ -90,7 +90,7 @@ def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, at
 
 
-def chunks(texts: list[str], chars: int = 1 << 21):
+def chunks(texts: list[str], chars: int = 1 << 20):
     """Slices of texts of about so many characters, so that arrays stay small; a longer text is a slice of its own."""
     a = n = 0
     for i, x in enumerate(texts):

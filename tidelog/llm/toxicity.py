@@ -171,7 +171,7 @@ class Model:
 class Scorer:
     """Features of texts; the ratios of words are kept between batches, and forgotten all at once beyond cached."""
 
-    def __init__(self, model: Model, cached: int = 2_000_000):
+    def __init__(self, model: Model, cached: int = 1_000_000):
         self.model, self.cached = model, cached
         self.known, self.value = np.empty(0, np.uint64), np.empty(0)
 
