@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, textscan
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 BLOCK_DOCS = 60_000
 _SUMS = 1 << 21
 _POSTINGS = "word string, block long, docs binary, freqs binary"
