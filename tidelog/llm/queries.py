@@ -82,3 +82,10 @@ def op10_template_decontamination(spark, sf_dir):
 @query("op6_repeated_passages")
 def op6_repeated_passages(spark, sf_dir):
     return suffix.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
