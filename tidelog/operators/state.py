@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def latest(log: DataFrame, *carry: str) -> DataFrame:
+def writes(log: DataFrame) -> DataFrame:
+    return log.where(F.col("op") != "GET")
+
+
+def latest(log: DataFrame, *carry: str, by: tuple[str, ...] = ("key",)) -> DataFrame:
     """The last write of each key with its op; tombstones are still there.
 
     One shuffle with a map-side combine. max_by keeps a null value, which last(ignorenulls) would not.
     """
     fields = ["op", "value", *carry]
     newest = F.max_by(F.struct("seq", *fields), "seq").alias("w")
-    return log.where(F.col("op") != "GET").groupBy("key").agg(newest).select("key", "w.seq", *[f"w.{c}" for c in fields])
+    return writes(log).groupBy(*by).agg(newest).select(*by, "w.seq", *[f"w.{c}" for c in fields])
 
 
 def live(op: Column | None = None) -> Column:
@@ -23,3 +28,71 @@ def live(op: Column | None = None) -> Column:
 
 def final_state(log: DataFrame) -> DataFrame:
     return latest(log).where(live()).select("key", "value", "seq")
+
+
+def as_of(log: DataFrame, seq: int) -> DataFrame:
+    """The state after the command seq."""
+    return final_state(log.where(F.col("seq") <= seq))
+
+
+def get(log: DataFrame, key: str) -> DataFrame:
+    """A point read: no row if the key was never written or is deleted. The key filter reaches the scan."""
+    return final_state(log.where(F.col("key") == key))
+
+
+def get_many(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, value, found for every wanted key. Only wanted keys are reduced."""
+    wanted = keys.select("key").distinct()
+    state = final_state(log.join(wanted, "key", "left_semi"))
+    return wanted.join(state, "key", "left").select("key", "value", F.col("seq").isNotNull().alias("found"))
+
+
+def read(log: DataFrame, keys: DataFrame, read_mode: str = "raft", snapshot: DataFrame | None = None) -> DataFrame:
+    """raft reads through the log; local reads a committed snapshot (key, value, seq), which may be behind."""
+    if read_mode == "raft":
+        return get_many(log, keys)
+    if read_mode == "local":
+        if snapshot is None:
+            raise ValueError("a local read needs a snapshot")
+        wanted = keys.select("key").distinct()
+        return wanted.join(snapshot, "key", "left").select("key", "value", F.col("seq").isNotNull().alias("found"))
+    raise ValueError(f"read_mode must be raft or local, not {read_mode!r}")
+
+
+def linear_reads(log: DataFrame) -> DataFrame:
+    """What every GET of the log sees: the last write of its key with a smaller seq."""
+    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    write = F.when(F.col("op") != "GET", F.struct("seq", "op", "value"))
+    seen = log.withColumn("w", F.last(write, ignorenulls=True).over(before))
+    found = F.coalesce(live(F.col("w.op")), F.lit(False))
+    return seen.where(F.col("op") == "GET").select("seq", "key", F.when(found, F.col("w.value")).alias("value"), found.alias("found"))
+
+
+def tombstones(log: DataFrame) -> DataFrame:
+    return latest(log).where(F.col("op") == "DELETE").select("key", "seq")
+
+
+def history(log: DataFrame) -> DataFrame:
+    """Every version of every key with the seqs from and to which it held (to is null while it holds)."""
+    own = Window.partitionBy("key").orderBy("seq")
+    return writes(log).select("key", "op", "value", F.col("seq").alias("from_seq"), F.lead("seq").over(own).alias("to_seq"), F.row_number().over(own).alias("version"))
+
+
+def live_by_bucket(log: DataFrame, size: int) -> DataFrame:
+    """Keys written in each range of seqs, and how many of them its last write leaves alive."""
+    bucket = F.floor((F.col("seq") - 1) / size)
+    last = latest(log.withColumn("bucket", bucket), by=("bucket", "key"))
+    return last.groupBy("bucket").agg(F.count("*").alias("n_keys"), F.count_if(live()).alias("n_live"))
+
+
+def resolve_terms(log: DataFrame) -> DataFrame:
+    """One entry for each seq of a log with diverging copies: the one with the highest term."""
+    fields = [c for c in log.columns if c not in ("seq", "term")]
+    return log.groupBy("seq").agg(F.max_by(F.struct("term", *fields), "term").alias("e")).select("seq", "e.term", *[f"e.{c}" for c in fields])
+
+
+def results(commands: DataFrame, applied: DataFrame) -> DataFrame:
+    """Commands with what became of them at their seq: applied, or taken by another op (leadership changed)."""
+    got = applied.select("seq", F.col("op_id").alias("applied_id"))
+    state = F.when(F.col("applied_id").isNull(), "request timeout").when(F.col("applied_id") != F.col("op_id"), "leadership changed before commit").otherwise("ok")
+    return commands.join(got, "seq", "left").select(*commands.columns, state.alias("result"))

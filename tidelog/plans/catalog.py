@@ -5,42 +5,519 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.operators import state
-from tidelog.sources import changelog
+from tidelog.functions import expressions as E
+from tidelog.operators import segments, state, stats, workload
+from tidelog.sources import changelog, requests
+from tidelog.streaming import apply as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-OPS_SQL = """
-ops AS (
-  SELECT event_id + 1 AS seq,
-         concat('user_', CAST(user_id AS VARCHAR(20))) AS key,
+SEGMENT = 500
+
+OPS = """ops AS (
+  SELECT event_id + 1 AS seq, concat('user_', CAST(user_id AS VARCHAR)) AS key, ts, user_id,
          CASE event_type WHEN 'error' THEN 'DELETE' WHEN 'view' THEN 'GET' ELSE 'PUT' END AS op,
-         CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN props END AS value,
-         value AS latency_ms
-  FROM events)
-"""
+         CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN props END AS value
+  FROM events),
+writes AS (SELECT * FROM ops WHERE op <> 'GET'),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM writes) WHERE rn = 1),
+segs AS (SELECT seg_order, key, seq, op, value FROM (
+  SELECT CAST(floor((seq - 1) / 500.0) AS BIGINT) AS seg_order, key, seq, op, value,
+         row_number() OVER (PARTITION BY CAST(floor((seq - 1) / 500.0) AS BIGINT), key ORDER BY seq DESC) AS rn FROM writes) WHERE rn = 1),
+zones AS (SELECT seg_order, min(key) AS min_key, max(key) AS max_key, count(*) AS row_count,
+                 CAST(sum(CASE WHEN op = 'DELETE' THEN 1 ELSE 0 END) AS BIGINT) AS tombstones,
+                 CAST(sum(strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS size_bytes
+          FROM segs GROUP BY seg_order),
+picked AS (SELECT DISTINCT seg_order FROM segs ORDER BY seg_order LIMIT 4),
+merged4 AS (SELECT key, seq, op, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY seg_order DESC) AS rn FROM segs WHERE seg_order IN (SELECT seg_order FROM picked)) WHERE rn = 1)"""
+
+REQUESTS = """raw AS (
+  SELECT event_id + 1 AS seq, ts, user_id, concat('user_', CAST(user_id AS VARCHAR)) AS key,
+         CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'get' ELSE 'put' END AS operation,
+         CAST(floor(value * 1000) AS BIGINT) * 1000 AS latency_ns,
+         rpad('match_value_' || lpad(CAST(user_id AS VARCHAR), 6, '0') || '_', 32, 'x') AS expected
+  FROM events),
+stat AS (
+  SELECT *, CASE WHEN seq % 50 = 7 THEN 0 WHEN seq % 20 = 0 THEN 503 WHEN seq % 20 = 1 THEN 500
+                 WHEN operation = 'get' AND seq % 3 = 0 THEN 404 ELSE 200 END AS http_status,
+         CASE WHEN seq % 150 = 7 THEN 'timeout' WHEN seq % 150 = 57 THEN 'connection_refused' WHEN seq % 50 = 7 THEN 'other' END AS net
+  FROM raw),
+req AS (
+  SELECT *, net IS NULL AND (http_status = 200 OR (operation = 'get' AND http_status = 404)) AS success,
+         CASE WHEN net IS NOT NULL THEN net
+              WHEN http_status = 200 OR (operation = 'get' AND http_status = 404) THEN NULL
+              WHEN http_status = 503 AND seq % 40 = 0 THEN 'not_leader'
+              WHEN http_status = 500 AND seq % 60 = 1 THEN 'request_timeout'
+              ELSE 'http_' || CAST(http_status AS VARCHAR) END AS error_type
+  FROM stat),
+flags AS (
+  SELECT *, CASE WHEN net = 'timeout' THEN 'request_timeout' WHEN net IS NOT NULL THEN 'other_error'
+                 WHEN http_status = 500 AND seq % 60 = 21 THEN 'leadership_changed'
+                 WHEN http_status = 500 AND seq % 60 = 1 THEN 'request_timeout'
+                 WHEN http_status = 503 AND seq % 40 = 0 THEN 'not_leader'
+                 WHEN http_status = 503 THEN 'http_503' WHEN http_status = 500 THEN 'http_500'
+                 WHEN http_status <> 200 THEN 'other_error'
+                 WHEN seq % 35 = 3 THEN 'result_mismatch' ELSE 'success' END AS rule
+  FROM req WHERE operation = 'get')"""
 
 
-def query(name: str, sql: str | None = None):
-    """Registers fn(spark, sf_dir) under a name; sql may use the ops relation."""
+def query(name: str, sql: str | None = None, using: str = OPS):
+    """Registers fn(spark, sf_dir) under a name. sql goes on from the relations in using."""
 
     def put(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = f"WITH {OPS_SQL} {sql}"
+            ORACLES[name] = (f"WITH {using}\n" if using else "") + sql
         return fn
 
     return put
 
 
+def log(spark, sf_dir):
+    return changelog.from_events(spark, sf_dir)
+
+
+def segs(spark, sf_dir):
+    return segments.assign(log(spark, sf_dir), SEGMENT)
+
+
+def keys(spark, sf_dir):
+    return log(spark, sf_dir).select("key").distinct()
+
+
+# state
+
+
+@query("kv_final_state", "SELECT key, value, seq FROM latest WHERE op = 'PUT'")
+def kv_final_state(spark, sf_dir):
+    return state.final_state(log(spark, sf_dir))
+
+
+@query("kv_point_get", "SELECT key, value, seq FROM latest WHERE op = 'PUT' AND key = 'user_42'")
+def kv_point_get(spark, sf_dir):
+    return state.get(log(spark, sf_dir), "user_42")
+
+
 @query(
-    "kv_final_state",
-    """, latest AS (
-      SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn
-      FROM ops WHERE op <> 'GET')
-    SELECT key, value, seq FROM latest WHERE rn = 1 AND op = 'PUT'""",
+    "kv_multi_get_found",
+    """, wanted AS (SELECT 'user_' || CAST(n AS VARCHAR) AS key FROM (SELECT unnest(range(0, 200)) AS n))
+    SELECT w.key, CASE WHEN l.op = 'PUT' THEN l.value END AS value, coalesce(l.op = 'PUT', false) AS found
+    FROM wanted w LEFT JOIN latest l ON w.key = l.key""",
 )
-def kv_final_state(spark, sf_dir):
-    return state.final_state(changelog.from_events(spark, sf_dir))
+def kv_multi_get_found(spark, sf_dir):
+    wanted = spark.range(200).select(F.concat(F.lit("user_"), F.col("id").cast("string")).alias("key"))
+    return state.read(log(spark, sf_dir), wanted, "raft")
+
+
+@query(
+    "kv_local_read",
+    """, old AS (SELECT key, max(seq) AS seq FROM writes WHERE seq <= 400 GROUP BY key),
+    wanted AS (SELECT DISTINCT key FROM ops)
+    SELECT w.key, x.value, x.seq IS NOT NULL AS found FROM wanted w LEFT JOIN (
+      SELECT o.key, w2.value, o.seq FROM old o JOIN writes w2 ON o.seq = w2.seq WHERE w2.op = 'PUT') x ON w.key = x.key""",
+)
+def kv_local_read(spark, sf_dir):
+    own = log(spark, sf_dir)
+    return state.read(own, own.select("key"), "local", state.as_of(own, 400))
+
+
+@query(
+    "kv_linear_read",
+    """, seen AS (SELECT seq, key, op, max(CASE WHEN op <> 'GET' THEN seq END) OVER (
+          PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM ops)
+    SELECT s.seq, s.key, CASE WHEN o.op = 'PUT' THEN o.value END AS value, coalesce(o.op = 'PUT', false) AS found
+    FROM seen s LEFT JOIN ops o ON s.w = o.seq WHERE s.op = 'GET'""",
+)
+def kv_linear_read(spark, sf_dir):
+    return state.linear_reads(log(spark, sf_dir))
+
+
+@query(
+    "kv_as_of_state",
+    """SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn
+    FROM writes WHERE seq <= 5000) WHERE rn = 1 AND op = 'PUT'""",
+)
+def kv_as_of_state(spark, sf_dir):
+    return state.as_of(log(spark, sf_dir), 5000)
+
+
+@query("kv_tombstones", "SELECT key, seq FROM latest WHERE op = 'DELETE'")
+def kv_tombstones(spark, sf_dir):
+    return state.tombstones(log(spark, sf_dir))
+
+
+@query(
+    "kv_key_history",
+    """SELECT key, op, value, seq AS from_seq, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS to_seq,
+    CAST(row_number() OVER (PARTITION BY key ORDER BY seq) AS INTEGER) AS version FROM writes""",
+)
+def kv_key_history(spark, sf_dir):
+    return state.history(log(spark, sf_dir))
+
+
+@query(
+    "kv_live_count_by_seq_bucket",
+    """SELECT seg_order // 2 AS bucket, count(*) AS n_keys, CAST(sum(CASE WHEN op = 'PUT' THEN 1 ELSE 0 END) AS BIGINT) AS n_live FROM (
+      SELECT *, row_number() OVER (PARTITION BY seg_order // 2, key ORDER BY seq DESC) AS rn FROM segs) WHERE rn = 1 GROUP BY 1""",
+)
+def kv_live_count_by_seq_bucket(spark, sf_dir):
+    return state.live_by_bucket(log(spark, sf_dir), 1000)
+
+
+@query(
+    "kv_orders_state",
+    """SELECT o_custkey AS key, max(o_orderkey) AS seq FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey
+    HAVING arg_max(o_orderstatus, o_orderkey) = 'O'""",
+    using="",
+)
+def kv_orders_state(spark, sf_dir):
+    rows = changelog.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        F.col("o_custkey").alias("key"),
+        F.when(F.col("o_orderstatus") == "F", "DELETE").when(F.col("o_orderstatus") == "P", "GET").otherwise("PUT").alias("op"),
+        F.col("o_orderpriority").alias("value"),
+    )
+    return state.final_state(rows).select("key", "seq")
+
+
+@query(
+    "log_term_conflict",
+    """SELECT seq, CAST(CASE WHEN seq % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS term, key,
+    CASE WHEN seq % 10 = 0 THEN 'DELETE' ELSE op END AS op FROM ops""",
+)
+def log_term_conflict(spark, sf_dir):
+    own = log(spark, sf_dir).select("seq", F.lit(1).cast("long").alias("term"), "key", "op")
+    other = own.where("seq % 10 = 0").select("seq", F.lit(2).cast("long").alias("term"), "key", F.lit("DELETE").alias("op"))
+    return state.resolve_terms(own.unionByName(other))
+
+
+@query(
+    "log_await_result",
+    """SELECT seq, CASE WHEN seq % 7 = 0 THEN 'request timeout' WHEN seq % 11 = 0 THEN 'leadership changed before commit' ELSE 'ok' END AS result FROM writes""",
+)
+def log_await_result(spark, sf_dir):
+    own = state.writes(log(spark, sf_dir)).select("seq", (F.col("seq") * 10).alias("op_id"))
+    applied = own.where("seq % 7 <> 0").select("seq", F.when(F.col("seq") % 11 == 0, -1).otherwise(F.col("op_id")).alias("op_id"))
+    return state.results(own, applied).select("seq", "result")
+
+
+# segments
+
+
+@query("seg_assign_meta", "SELECT * FROM zones")
+def seg_assign_meta(spark, sf_dir):
+    return segments.zone_maps(segs(spark, sf_dir))
+
+
+@query(
+    "seg_flush_bytes",
+    """, w AS (SELECT CAST(floor((seq - 1) / 500.0) AS BIGINT) AS seg_order, CAST(sum(strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS written_bytes
+      FROM writes GROUP BY 1)
+    SELECT w.seg_order, written_bytes, size_bytes AS kept_bytes FROM w JOIN zones z ON w.seg_order = z.seg_order""",
+)
+def seg_flush_bytes(spark, sf_dir):
+    return segments.flush_bytes(log(spark, sf_dir), SEGMENT)
+
+
+@query(
+    "seg_read_amplification",
+    """, wanted AS (SELECT DISTINCT key FROM ops), hit AS (SELECT key, max(seg_order) AS hit FROM segs GROUP BY key)
+    SELECT w.key, count(CASE WHEN z.seg_order IS NOT NULL AND (h.hit IS NULL OR z.seg_order >= h.hit) THEN 1 END) AS touched,
+           max(h.hit) IS NOT NULL AS found
+    FROM wanted w LEFT JOIN hit h ON w.key = h.key LEFT JOIN zones z ON w.key BETWEEN z.min_key AND z.max_key GROUP BY w.key""",
+)
+def seg_read_amplification(spark, sf_dir):
+    return segments.read_amplification(segs(spark, sf_dir), keys(spark, sf_dir))
+
+
+@query(
+    "seg_prune_ratio",
+    """, wanted AS (SELECT DISTINCT key FROM ops), total AS (SELECT count(*) AS segments FROM zones)
+    SELECT w.key, any_value(t.segments) - count(z.seg_order) AS pruned, any_value(t.segments) AS segments
+    FROM wanted w CROSS JOIN total t LEFT JOIN zones z ON w.key BETWEEN z.min_key AND z.max_key GROUP BY w.key""",
+)
+def seg_prune_ratio(spark, sf_dir):
+    return segments.prune_ratio(segs(spark, sf_dir), keys(spark, sf_dir))
+
+
+@query("compact_oldest4", "SELECT (SELECT max(seg_order) FROM picked) AS seg_order, key, seq, op, value FROM merged4")
+def compact_oldest4(spark, sf_dir):
+    return segments.compact_oldest(segs(spark, sf_dir), 4)
+
+
+@query("compact_full_gc", "SELECT key, seq, op, value FROM latest WHERE op = 'PUT'")
+def compact_full_gc(spark, sf_dir):
+    return segments.merge(segs(spark, sf_dir), drop_tombstones=True)
+
+
+@query("compact_equivalence", "SELECT CAST(0 AS BIGINT) AS only_before, CAST(0 AS BIGINT) AS only_after", using="")
+def compact_equivalence(spark, sf_dir):
+    own = segs(spark, sf_dir)
+    return segments.difference(segments.visible(own), segments.visible(segments.compacted(own, 4)))
+
+
+@query(
+    "compact_order_anomaly",
+    """, wrong AS (SELECT l.key, l.seq AS right_seq, l.op AS right_op, coalesce(m.seq, l.seq) AS seq, coalesce(m.op, l.op) AS op
+      FROM latest l LEFT JOIN merged4 m ON l.key = m.key)
+    SELECT count(*) AS n_keys, count(CASE WHEN seq < right_seq THEN 1 END) AS stale,
+           count(CASE WHEN op = 'PUT' AND right_op = 'DELETE' THEN 1 END) AS resurrected FROM wrong""",
+)
+def compact_order_anomaly(spark, sf_dir):
+    return segments.order_anomaly(segs(spark, sf_dir), 4)
+
+
+@query(
+    "compact_schedule",
+    """, p AS (SELECT *, row_number() OVER (ORDER BY seg_order) - 1 AS place FROM zones),
+    r AS (SELECT *, CASE WHEN place < 4 THEN 0 ELSE (place - 1) // 3 END AS round FROM p)
+    SELECT round, CAST(4 AS BIGINT) AS inputs, CAST(sum(row_count) AS BIGINT) AS new_rows, CAST(sum(size_bytes) AS BIGINT) AS new_bytes
+    FROM r GROUP BY round HAVING count(*) = CASE WHEN round = 0 THEN 4 ELSE 3 END""",
+)
+def compact_schedule(spark, sf_dir):
+    return segments.schedule(segs(spark, sf_dir), 4)
+
+
+@query("recover_union", "SELECT key, value, seq FROM latest WHERE op = 'PUT'")
+def recover_union(spark, sf_dir):
+    return segments.recover(log(spark, sf_dir), SEGMENT, cut=7000)
+
+
+@query(
+    "manifest_order",
+    """SELECT * FROM (VALUES (CAST(5 AS BIGINT), 1), (CAST(1 AS BIGINT), 2), (CAST(7 AS BIGINT), 3), (CAST(2 AS BIGINT), 4), (CAST(9 AS BIGINT), 5)) t(file_id, place)""",
+    using="",
+)
+def manifest_order(spark, sf_dir):
+    lines = spark.createDataFrame([(0, "1,2"), (1, "5,x,1,8,7"), (2, "  ")], "line_no long, value string")
+    files = spark.createDataFrame([(i,) for i in (1, 2, 5, 7, 9)], "file_id long")
+    return segments.manifest_order(lines, files)
+
+
+# requests
+
+
+@query(
+    "req_report_by_op",
+    """, g AS (SELECT coalesce(operation, 'all') AS operation, * EXCLUDE (operation) FROM (
+      SELECT operation, count(*) AS total, count(CASE WHEN success THEN 1 END) AS succeeded, count(CASE WHEN NOT success THEN 1 END) AS failed,
+             count(CASE WHEN operation_ = 'get' AND net IS NULL AND http_status = 200 THEN 1 END) AS found,
+             count(CASE WHEN operation_ = 'get' AND net IS NULL AND http_status = 404 THEN 1 END) AS not_found, max(latency_ns) AS max_ns
+      FROM (SELECT *, operation AS operation_ FROM req) GROUP BY GROUPING SETS ((operation), ())))
+    SELECT operation, total, succeeded, failed, found, not_found, CAST(succeeded AS DOUBLE) / total AS success_rate,
+           succeeded / 3600.0::DOUBLE AS success_qps, max_ns FROM g""",
+    using=REQUESTS,
+)
+def req_report_by_op(spark, sf_dir):
+    return stats.report(requests.from_events(spark, sf_dir), 3600.0)
+
+
+@query(
+    "req_latency_percentiles",
+    """SELECT operation, count(*) AS n, CAST(sum(latency_ns) // count(*) AS BIGINT) AS avg_ns, quantile_disc(latency_ns, 0.5) AS p50_ns,
+    quantile_disc(latency_ns, 0.9) AS p90_ns, quantile_disc(latency_ns, 0.99) AS p99_ns, quantile_disc(latency_ns, 0.999) AS p999_ns,
+    max(latency_ns) AS max_ns FROM req GROUP BY operation""",
+    using=REQUESTS,
+)
+def req_latency_percentiles(spark, sf_dir):
+    return stats.latency(requests.from_events(spark, sf_dir), "operation")
+
+
+@query(
+    "req_error_histogram",
+    """, known AS (SELECT * FROM (VALUES ('timeout'), ('connection_refused'), ('http_500'), ('http_503'), ('request_timeout'), ('not_leader'), ('other')) k(error_type)),
+    seen AS (SELECT error_type, count(*) AS n FROM req WHERE error_type IS NOT NULL GROUP BY error_type)
+    SELECT coalesce(k.error_type, s.error_type) AS error_type, coalesce(n, 0) AS n FROM known k FULL OUTER JOIN seen s ON k.error_type = s.error_type""",
+    using=REQUESTS,
+)
+def req_error_histogram(spark, sf_dir):
+    return stats.error_histogram(requests.from_events(spark, sf_dir))
+
+
+@query("req_classify", "SELECT seq, success, error_type FROM req", using=REQUESTS)
+def req_classify(spark, sf_dir):
+    return stats.classified(requests.from_events(spark, sf_dir)).select("seq", "success", "error_type")
+
+
+@query(
+    "req_verify_values",
+    """SELECT seq, key, rule = 'success' AS success, rule = 'result_mismatch' AS result_mismatch,
+    rule = 'http_500' OR (net IS NULL AND rule IN ('leadership_changed', 'request_timeout') AND http_status = 500) AS http_500 FROM flags""",
+    using=REQUESTS,
+)
+def req_verify_values(spark, sf_dir):
+    found = stats.verified(requests.from_events(spark, sf_dir), requests.expected(spark, sf_dir))
+    return found.select("seq", "key", "success", "result_mismatch", "http_500")
+
+
+@query(
+    "req_match_rollup",
+    "SELECT count(*) AS total, "
+    + ", ".join(
+        f"count(CASE WHEN rule = '{n}'" + (" OR (net IS NULL AND rule IN ('leadership_changed', 'request_timeout') AND http_status = 500)" if n == "http_500" else "") + f" THEN 1 END) AS n_{n}"
+        for n in ["success", "result_mismatch", "not_leader", "request_timeout", "leadership_changed", "http_500", "http_503", "other_error"]
+    )
+    + " FROM flags",
+    using=REQUESTS,
+)
+def req_match_rollup(spark, sf_dir):
+    return stats.match_rollup(stats.verified(requests.from_events(spark, sf_dir), requests.expected(spark, sf_dir)))
+
+
+@query("req_qps_timeline", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS n, count(*) / 86400.0::DOUBLE AS qps FROM events GROUP BY 1", using="")
+def req_qps_timeline(spark, sf_dir):
+    return stats.timeline(requests.from_events(spark, sf_dir)).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+# telemetry: user_id as node, event order as snapshots
+
+
+def nodes(spark, sf_dir):
+    return changelog.table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 5).alias("cluster"), F.col("user_id").alias("node"), F.col("event_id"), F.floor(F.col("value")).cast("long").alias("counter"), (F.col("event_type") == "purchase").alias("is_leader")
+    )
+
+
+NODES = "nodes AS (SELECT user_id % 5 AS cluster, user_id AS node, event_id, CAST(floor(value) AS BIGINT) AS counter, event_type = 'purchase' AS is_leader FROM events)"
+
+
+@query(
+    "tele_counter_delta",
+    """, d AS (SELECT node, coalesce(greatest(counter - lag(counter) OVER (PARTITION BY node ORDER BY event_id), 0), 0) AS d FROM nodes)
+    SELECT node, CAST(sum(d) AS BIGINT) AS counter_delta FROM d GROUP BY node""",
+    using=NODES,
+)
+def tele_counter_delta(spark, sf_dir):
+    return stats.counter_deltas(nodes(spark, sf_dir), "node", "event_id", ["counter"])
+
+
+@query(
+    "tele_cluster_rollup",
+    """, each AS (SELECT cluster, node, count(*) AS gets, CAST(sum(counter) AS BIGINT) AS touched, max(counter) AS touched_max, bool_and(counter >= 0) AS enabled FROM nodes GROUP BY cluster, node)
+    SELECT cluster, CAST(sum(gets) AS BIGINT) AS gets, CAST(sum(touched) AS BIGINT) AS touched, max(touched_max) AS touched_max, bool_and(enabled) AS enabled,
+           CAST(sum(touched) AS DOUBLE) / sum(gets) AS touched_per_get FROM each GROUP BY cluster""",
+    using=NODES,
+)
+def tele_cluster_rollup(spark, sf_dir):
+    each = nodes(spark, sf_dir).groupBy("cluster", "node").agg(F.count("*").alias("gets"), F.sum("counter").alias("touched"), F.max("counter").alias("touched_max"), F.bool_and(F.col("counter") >= 0).alias("enabled"))
+    return stats.rollup(each, ["cluster"], ["gets", "touched"], ["touched_max"], ["enabled"], {"touched_per_get": ("touched", "gets")})
+
+
+@query(
+    "tele_leader",
+    """, each AS (SELECT cluster, node, count(*) AS term, bool_or(is_leader AND event_id % 40 = 3) AS is_leader FROM nodes GROUP BY cluster, node),
+    last AS (SELECT cluster, max(node) AS leader FROM each WHERE is_leader GROUP BY cluster)
+    SELECT e.cluster, CAST(coalesce(any_value(l.leader), -1) AS BIGINT) AS leader,
+           CAST(max(CASE WHEN l.leader IS NULL OR e.node >= l.leader THEN e.term ELSE 0 END) AS BIGINT) AS term
+    FROM each e LEFT JOIN last l ON e.cluster = l.cluster GROUP BY e.cluster""",
+    using=NODES,
+)
+def tele_leader(spark, sf_dir):
+    each = nodes(spark, sf_dir).groupBy("cluster", "node").agg(F.count("*").alias("term"), F.bool_or(F.col("is_leader") & (F.col("event_id") % 40 == 3)).alias("is_leader"))
+    return stats.leader(each, ["cluster"])
+
+
+@query(
+    "tele_quorum_index",
+    """, each AS (SELECT cluster, node, max(event_id) AS match_index FROM nodes GROUP BY cluster, node),
+    r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY match_index DESC) AS place, count(*) OVER (PARTITION BY cluster) AS n FROM each)
+    SELECT cluster, match_index AS commit_index FROM r WHERE place = n // 2 + 1""",
+    using=NODES,
+)
+def tele_quorum_index(spark, sf_dir):
+    each = nodes(spark, sf_dir).groupBy("cluster", "node").agg(F.max("event_id").alias("match_index"))
+    return stats.quorum_index(each, ["cluster"])
+
+
+@query(
+    "tele_store_errors",
+    """SELECT count(CASE WHEN net IS NULL AND http_status = 503 AND seq % 40 = 0 THEN 1 END) AS not_leader,
+    count(CASE WHEN net IS NULL AND http_status = 500 AND seq % 60 = 1 THEN 1 END) AS request_timeout,
+    count(CASE WHEN net IS NULL AND http_status = 500 AND seq % 60 = 21 THEN 1 END) AS leadership_changed FROM req""",
+    using=REQUESTS,
+)
+def tele_store_errors(spark, sf_dir):
+    return stats.store_errors(requests.from_events(spark, sf_dir), "body")
+
+
+# experiments, workloads, formatting
+
+
+@query(
+    "exp_matrix",
+    """SELECT mode, w.workload, concurrency, seed, w.write_ratio, w.delete_ratio, w.prefill
+    FROM (VALUES ('on'), ('off')) m(mode) CROSS JOIN (VALUES ('write_100', 1.0::DOUBLE, 0.0::DOUBLE, false), ('mixed_50_50', 0.5, 0.0, true), ('delete_mixed', 0.4, 0.2, true)) w(workload, write_ratio, delete_ratio, prefill)
+    CROSS JOIN (VALUES (CAST(10 AS BIGINT)), (30)) c(concurrency) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (2), (3)) s(seed)""",
+    using="",
+)
+def exp_matrix(spark, sf_dir):
+    cases = stats.matrix(spark, mode=["on", "off"], workload=["write_100", "mixed_50_50", "delete_mixed"], concurrency=[10, 30], seed=[1, 2, 3])
+    return workload.with_ratios(cases.withColumns({"concurrency": F.col("concurrency").cast("long"), "seed": F.col("seed").cast("long")}))
+
+
+@query(
+    "exp_group_summary",
+    """SELECT event_type AS scenario, count(*) AS runs, count(CASE WHEN value >= 1 THEN 1 END) AS passed, min(value) AS min_ms, max(value) AS max_ms, bool_and(value >= 1) AS all_passed
+    FROM events GROUP BY event_type""",
+    using="",
+)
+def exp_group_summary(spark, sf_dir):
+    runs = changelog.table(spark, sf_dir, "events").select(F.col("event_type").alias("scenario"), F.col("value").alias("ms"), (F.col("value") >= 1).alias("pass"))
+    return stats.experiment_summary(runs).drop("avg_ms")
+
+
+@query(
+    "gen_key_value",
+    "SELECT 'match_key_' || lpad(CAST(i AS VARCHAR), 6, '0') AS key, rpad('match_value_' || lpad(CAST(i AS VARCHAR), 6, '0') || '_', 24, 'x') AS value FROM (SELECT unnest(range(0, 1000)) AS i)",
+    using="",
+)
+def gen_key_value(spark, sf_dir):
+    return spark.range(1000).select(E.match_key(F.col("id")).alias("key"), E.match_value(F.col("id"), 24).alias("value"))
+
+
+@query("gen_prefill", "SELECT 'key_' || CAST(i AS VARCHAR) AS key, repeat('v', 8) AS value FROM (SELECT unnest(range(0, 500)) AS i)", using="")
+def gen_prefill(spark, sf_dir):
+    return workload.prefill(spark, 500, 8)
+
+
+@query(
+    "fmt_bytes",
+    """, d AS (SELECT size, CASE WHEN size >= 1073741824 THEN 3 WHEN size >= 1048576 THEN 2 WHEN size >= 1024 THEN 1 ELSE 0 END AS e,
+                      CASE WHEN size >= 1073741824 THEN 1073741824 WHEN size >= 1048576 THEN 1048576 ELSE 1024 END AS div FROM sizes),
+    t AS (SELECT *, size * 10 // div + CASE WHEN (size * 10 % div) * 2 > div OR ((size * 10 % div) * 2 = div AND (size * 10 // div) % 2 = 1) THEN 1 ELSE 0 END AS tenths FROM d)
+    SELECT size, CASE WHEN e = 0 THEN CAST(size AS VARCHAR) || ' B'
+      ELSE CAST(tenths // 10 AS VARCHAR) || '.' || CAST(tenths % 10 AS VARCHAR) || ' ' || substr('KMG', e, 1) || 'iB (' || CAST(size AS VARCHAR) || ' B)' END AS shown FROM t""",
+    using="sizes AS (SELECT DISTINCT (event_id * event_id * 37) % 5000000000 AS size FROM events)",
+)
+def fmt_bytes(spark, sf_dir):
+    sizes = changelog.table(spark, sf_dir, "events").select(((F.col("event_id") * F.col("event_id") * 37) % 5000000000).alias("size")).distinct()
+    return sizes.select("size", E.human_bytes(F.col("size")).alias("shown"))
+
+
+@query("topk_hot_keys", "SELECT key, count(*) AS n FROM ops GROUP BY key ORDER BY n DESC, key LIMIT 20")
+def topk_hot_keys(spark, sf_dir):
+    return stats.hottest(log(spark, sf_dir), 20)
+
+
+@query("verify_keys", "SELECT count(*) AS checked, count(*) AS verified FROM latest")
+def verify_keys(spark, sf_dir):
+    own = log(spark, sf_dir)
+    wanted = state.latest(own).select("key", F.when(state.live(), F.col("value")).alias("expected"))
+    return stats.verify_keys(wanted, segments.recover(own, SEGMENT, cut=3000))
+
+
+# streaming
+
+
+@query("stream_final_state", "SELECT key, value, seq FROM latest WHERE op = 'PUT'")
+def stream_final_state(spark, sf_dir):
+    return streaming.replay_final_state(spark, sf_dir)
+
+
+@query("stream_foreach_segments", "SELECT key, value FROM latest WHERE op = 'PUT'")
+def stream_foreach_segments(spark, sf_dir):
+    return streaming.replay_segments(spark, sf_dir)

@@ -24,9 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a log: clicks, purchases and signups write, errors delete, views read."""
+    return log_of(table(spark, sf_dir, "events"))
+
+
+def log_of(events: DataFrame) -> DataFrame:
+    """Events as a log, batch or stream: clicks, purchases and signups write, errors delete, views read."""
     writes = F.col("event_type").isin("click", "purchase", "signup")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         (F.col("event_id") + 1).alias("seq"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"),
         F.when(F.col("event_type") == "error", "DELETE").when(F.col("event_type") == "view", "GET").otherwise("PUT").alias("op"),
