@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import expressions as E
 from tidelog.operators import segments, state, stats, workload
-from tidelog.sources import changelog, requests
+from tidelog.sources import binary, changelog, requests
 from tidelog.streaming import apply as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -521,3 +521,20 @@ def stream_final_state(spark, sf_dir):
 @query("stream_foreach_segments", "SELECT key, value FROM latest WHERE op = 'PUT'")
 def stream_foreach_segments(spark, sf_dir):
     return streaming.replay_segments(spark, sf_dir)
+
+
+# binary files
+
+
+@query("src_wal_roundtrip", "SELECT key, value FROM latest WHERE op = 'PUT'")
+def src_wal_roundtrip(spark, sf_dir):
+    path = streaming.shared_folder(spark, "log-files")
+    binary.write_log(log(spark, sf_dir), path)
+    return state.final_state(binary.as_log(binary.read_log(spark, path, strict=True))).drop("seq")
+
+
+@query("src_sst_roundtrip", "SELECT key, CASE WHEN op = 'PUT' THEN value END AS value FROM latest")
+def src_sst_roundtrip(spark, sf_dir):
+    path = streaming.shared_folder(spark, "segment-files")
+    binary.write_segments(state.latest(log(spark, sf_dir)).select("key", F.when(state.live(), F.col("value")).alias("value")), path)
+    return binary.read_segments(spark, path).select(F.col("key").cast("string"), F.col("value").cast("string"))
