@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import expressions as E
@@ -31,15 +31,19 @@ def append_rows(*reports: DataFrame) -> DataFrame:
     return out
 
 
+def _shown(df: DataFrame) -> list[Column]:
+    """Every column as text, null for null."""
+    return [F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)) if t in ("double", "float") else F.col(c).cast("string") for c, t in df.dtypes]
+
+
 def csv_lines(df: DataFrame) -> DataFrame:
     """value: each row as a line of CSV, doubles with four decimals."""
-    shown = [F.format_string("%.4f", c) if t in ("double", "float") else F.col(c).cast("string") for c, t in df.dtypes]
-    return df.select(F.concat_ws(",", *[F.coalesce(E.csv_escape(x), F.lit("")) for x in shown]).alias("value"))
+    return df.select(F.concat_ws(",", *[F.coalesce(E.csv_escape(x), F.lit("")) for x in _shown(df)]).alias("value"))
 
 
 def markdown(df: DataFrame) -> str:
     """The whole table in the order of df."""
-    shown = [F.coalesce(E.markdown_escape(F.format_string("%.4f", c) if t in ("double", "float") else F.col(c).cast("string")), F.lit("")) for c, t in df.dtypes]
+    shown = [F.coalesce(E.markdown_escape(x), F.lit("")) for x in _shown(df)]
     rows = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("value")).take(MARKDOWN_ROWS + 1)
     if len(rows) > MARKDOWN_ROWS:
         raise ValueError(f"more than {MARKDOWN_ROWS} rows: write CSV instead")
