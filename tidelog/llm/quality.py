@@ -146,7 +146,7 @@ def references(feats: DataFrame, lang: str = "lang") -> DataFrame:
     first = _sums(feats, lang)
     df = _with_reference(feats.where(~F.col("base_failed")), first, lang).withColumn("_far", distance(F.col("class_hist"), F.col("_class_ref")))
     mean = df.groupBy(_code(lang).alias("_m")).agg(F.avg("_far").alias("_mean"))
-    near = df.join(F.broadcast(mean), _code(lang).eqNullSafe(F.col("_m"))).where(F.col("_far") <= F.col("_mean"))
+    near = df.join(F.broadcast(mean), _code(lang).eqNullSafe(F.col("_m"))).where(F.col("_far") <= F.col("_mean") * (1 + 1e-9))  # sums of doubles have no fixed order
     return _sums(near.drop("_ref", "_class_ref", "_words_ref"), lang)
 
 
@@ -204,3 +204,61 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", max_class
     feats = shared.keep(features(whole, "_text", "_lang"), "quality")
     judged = _verdict(feats, "_lang", max_class, max_word)
     return judged.where("kept").select(*[F.col("whole")[c].alias(c) for c in names])
+
+
+def _sql() -> str:
+    listed = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"
+    symbols = SYMBOLS.replace("|", "\\|").replace("$", "\\$").replace("*", "\\*")
+    punct = "".join("\\" + c if c in "[]\\^-" else "''" if c == "'" else c for c in PUNCTUATION)
+    common = " ".join(f"WHEN '{code}' THEN {listed(words)}" for code, words in COMMON.items())
+    div = "CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END"
+
+    def far(kind: str, ref: str) -> str:
+        return f"""SELECT doc_id, sqrt(greatest(sum({div}) / 2, 0)) AS d FROM (
+          SELECT h.doc_id, CAST(h.n AS DOUBLE) / sum(h.n) OVER (PARTITION BY h.doc_id) AS p, r.q FROM hist h JOIN {ref} r
+          ON h.code IS NOT DISTINCT FROM r.code AND h.kind = r.kind AND h.bin = r.bin WHERE h.kind = '{kind}') GROUP BY doc_id HAVING sum(p) > 0"""
+
+    def ref(where: str) -> str:
+        return f"""SELECT code, kind, bin, CAST(sum(n) AS DOUBLE) / sum(sum(n)) OVER (PARTITION BY code, kind) AS q
+          FROM hist WHERE doc_id IN (SELECT doc_id FROM base WHERE NOT base_failed{where}) GROUP BY code, kind, bin"""
+
+    return f"""
+WITH t AS (
+  SELECT doc_id, CASE WHEN lang IN ({", ".join("'" + c + "'" for c in COMMON)}) THEN lang END AS code, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+n AS (SELECT *, len(words) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^{symbols}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^{punct}]', '', 'g')) AS BIGINT) AS n_punct,
+        CAST(length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) AS BIGINT) AS n_upper, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM w),
+g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM (
+        SELECT doc_id, words, unnest(range(1, greatest(n_words - 1, 1))) AS i FROM n)),
+m AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM (
+        SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, CAST(sum(least(3, coalesce(next - i, 3))) AS BIGINT) AS n_repeat_words FROM m GROUP BY doc_id),
+base AS (SELECT n.*, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
+           n_words < {MIN_WORDS} OR 100 * coalesce(r.n_repeat_words, 0) > 50 * n_words AS base_failed FROM n LEFT JOIN r ON n.doc_id = r.doc_id),
+common AS (SELECT doc_id, code, n_words, list_filter(list_transform(words, lambda x: CASE WHEN x = lower(x) OR (upper(x[1]) || lower(x[2:])) = x THEN lower(x) ELSE '' END), lambda x: x <> '') AS low,
+             CASE code {common} END AS wanted FROM n),
+counted AS (SELECT doc_id, code, n_words, unnest(range(1, {WORDS + 1})) AS bin, low, wanted FROM common WHERE code IS NOT NULL),
+wc AS (SELECT doc_id, code, n_words, bin, len(list_filter(low, lambda x: x = wanted[bin])) AS n FROM counted),
+hist AS (
+  SELECT doc_id, code, 'class' AS kind, unnest([1, 2, 3, 4]) AS bin,
+         unnest([n_upper, n_symbols, n_punct, greatest(word_chars - n_upper - n_symbols - n_punct, 0)]) AS n FROM base
+  UNION ALL SELECT doc_id, code, 'word', bin, n FROM wc
+  UNION ALL SELECT doc_id, code, 'word', {WORDS + 1}, any_value(n_words) - sum(n) FROM wc GROUP BY doc_id, code),
+ref1 AS ({ref("")}),
+far1 AS ({far("class", "ref1")}),
+mean AS (SELECT code, avg(d) AS mean FROM far1 f JOIN base b ON f.doc_id = b.doc_id WHERE NOT base_failed GROUP BY code),
+near AS (SELECT f.doc_id FROM far1 f JOIN base b ON f.doc_id = b.doc_id JOIN mean m ON b.code IS NOT DISTINCT FROM m.code WHERE f.d <= m.mean * (1 + 1e-9)),
+ref2 AS ({ref(" AND doc_id IN (SELECT doc_id FROM near)")}),
+fc AS ({far("class", "ref2")}),
+fw AS ({far("word", "ref2")})
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (CASE WHEN word_chars >= {MIN_CHARS} THEN coalesce(fc.d, 0) ELSE 0 END > {MAX_CLASS_DISTANCE}
+                             OR CASE WHEN n_words >= {MIN_WORDS_COMPARED} THEN coalesce(fw.d, 0) ELSE 0 END > {MAX_WORD_DISTANCE}) AS kept
+FROM base b LEFT JOIN fc ON b.doc_id = fc.doc_id LEFT JOIN fw ON b.doc_id = fw.doc_id
+"""
+
+
+#: The same in SQL. Ids must differ.
+ORACLE = _sql()
