@@ -29,6 +29,7 @@ MAIN = {"article", "main"}
 FURNITURE = set("nav footer aside form header menu dialog head title".split())
 HINTS = set("ad ads advert adverts advertisement banner sponsored sponsor promo cookie cookies consent gdpr notice newsletter subscribe popup modal sidebar menu navbar nav navigation breadcrumb breadcrumbs share sharing social related recommended comment comments respond disqus footer pagination widget toolbar masthead".split())
 ROLES = set("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar".split())
+OPEN_END = set("p li dt dd tr td th".split())  # a next one ends them
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 _TOKEN = re.compile(
@@ -95,6 +96,8 @@ def lines(page: str) -> list[tuple[str, str]]:
             continue
         if furniture and name in MAIN and not main:
             furniture = ""  # what was never closed ends where an article begins
+        if furniture in OPEN_END and (name == furniture or furniture == "p" and block):
+            furniture = ""
         if furniture:
             nested += name == furniture
         elif _is_furniture(name, m[4], main > 0):

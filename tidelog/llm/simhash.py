@@ -14,10 +14,12 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelog.llm import components, shared, textscan
 
@@ -235,12 +237,25 @@ def _with_components(own: DataFrame, radius: int) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component, unchanged; rows with a null id stay.
 
-    Of several rows with one id one stays.
+    Of several rows with one id and one fingerprint the one with the smallest text stays.
     """
     found = shared.keep(near_duplicates(docs, words, radius, id_col, text).where("doc_id IS NOT NULL"), "near")
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    ids = first.distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(ids, F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
-    if first.count() > ids.count():
-        known = known.dropDuplicates([id_col])
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"), F.col("fingerprint").alias("_print")).distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_keep"))
+    own = F.col(id_col).cast("long") == F.col("_keep")
+    known = docs.join(first.join(again, "_keep", "left_anti"), own, "left_semi")
+    if again.limit(1).count():
+        rows = docs.join(again, own, "left_semi")
+        marked = rows.withColumn("_print_", hexed(_column(words)(F.col(text).cast("string"))))
+        marked = marked.join(first, own & (F.col("_print_") == F.col("_print")), "left_semi")
+        place = F.row_number().over(Window.partitionBy(id_col, "_print_").orderBy(text))
+        known = known.unionByName(marked.withColumn("_place_", place).where("_place_ = 1").select(*[docs[c] for c in docs.columns]))
     return known.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _column(words: int):
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(x or "", words) for x in texts], np.uint64).view(np.int64))
+
+    return run
