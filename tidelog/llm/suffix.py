@@ -26,7 +26,7 @@ from tidelog.llm import shared, textscan
 LENGTH = 100
 GRAM = 24
 #: Runs of one anchor that are sorted in one task.
-RUNS = 100_000
+RUNS = 1_000
 #: Bytes of runs that are sorted at once, about.
 _SORT = 1 << 22
 _FOUND = "kind int, doc_id long, at long, n int, shift int, h long, r long"
@@ -162,16 +162,26 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x.encode("utf-8", "replace")) for x in textscan.strings(batch.column(1))], pa.binary())], ["doc_id", "z"])
 
 
+_DEALT = "kind int, k1 long, k2 long, doc_id long, at long, n int, body binary"
+
+
 def _bodies(batches):
-    """Of documents with their runs: the bytes of each run."""
+    """Of documents with their runs: the bytes of each run under its anchor, or of a crowded anchor each string's digest."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out, size = [], 0
         for doc, z, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             data = unpack(z)
             for x in own:
-                out.append((x["h"], doc, x["at"], x["n"], data[x["at"] : x["at"] + x["n"] + LENGTH - 1]))
-                size += x["n"] + LENGTH
+                h, at, n = x["h"], x["at"], x["n"]
+                if x["crowded"]:
+                    key = h.to_bytes(8, "little", signed=True)
+                    found = b"".join(hashlib.blake2b(data[p : p + LENGTH], digest_size=16, key=key).digest() for p in range(at, at + n))
+                    out += [(STRING, int(d[0]), int(d[1]), doc, at + j, 1, None) for j, d in enumerate(np.frombuffer(found, "<i8").reshape(-1, 2))]
+                    size += 48 * n
+                else:
+                    out.append((RUN, h, 0, doc, at, n, data[at : at + n + LENGTH - 1]))
+                    size += n + LENGTH
             if size > 1 << 23:
                 yield _body_rows(out)
                 out, size = [], 0
@@ -180,7 +190,8 @@ def _bodies(batches):
 
 
 def _body_rows(out):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "doc_id", "at", "n", "body"])
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["kind", "k1", "k2", "doc_id", "at", "n", "body"])
 
 
 def equal_before(data: np.ndarray, place: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -219,12 +230,7 @@ def equal_before(data: np.ndarray, place: np.ndarray, group: np.ndarray, length:
     return hit
 
 
-_SETTLED = "kind int, doc_id long, at long, n int, d1 long, d2 long"
-
-
-def _settled(kind, doc, at, n, d1=None, d2=None):
-    zero = np.zeros(len(doc), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), pa.array(zero if d1 is None else d1), pa.array(zero if d2 is None else d2)], ["kind", "doc_id", "at", "n", "d1", "d2"])
+_MARKS = "doc_id long, at long, n int"
 
 
 def _stretches(doc, at, n, hit) -> pa.RecordBatch | None:
@@ -237,74 +243,46 @@ def _stretches(doc, at, n, hit) -> pa.RecordBatch | None:
     new = np.ones(len(run), bool)
     new[1:] = (run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1)
     head = np.flatnonzero(new)
-    return _settled(MARK, doc[run[head]], place[head], np.diff(np.append(head, len(run))))
+    count = np.diff(np.append(head, len(run))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(doc[run[head]]), pa.array(place[head]), pa.array(count)], ["doc_id", "at", "n"])
 
 
 def _solve(table: pa.Table):
+    table = table.combine_chunks()
     n = np.asarray(table["n"]).astype(np.int64)
     data, at = joined_bytes(table["body"].to_pylist())
-    place = textscan.slices(at[:-1], n)
-    h = np.asarray(table["h"])
+    h = np.asarray(table["k1"])
     group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]]))
-    return _stretches(np.asarray(table["doc_id"]), np.asarray(table["at"]), n, equal_before(data, place, np.repeat(group, n)))
-
-
-def _strings(table: pa.Table):
-    """Every string of the runs under its digest."""
-    for h, doc, at, n, body in zip(*(table[c].to_pylist() for c in ("h", "doc_id", "at", "n", "body"))):
-        digests = np.frombuffer(b"".join(hashlib.blake2b(body[j : j + LENGTH], digest_size=16, key=h.to_bytes(8, "little", signed=True)).digest() for j in range(n)), "<i8").reshape(-1, 2)
-        yield _settled(STRING, np.full(n, doc, np.int64), at + np.arange(n), np.ones(n, np.int64), digests[:, 0].copy(), digests[:, 1].copy())
-
-
-def _sorted_runs(limit: int):
-    """Of runs sorted by anchor and place: marks; of an anchor with more than limit runs, its strings."""
-
-    def run(batches):
-        rest, size, hot = [], 0, None
-        for batch in batches:
-            h = np.asarray(batch.column(0))
-            if hot is not None:
-                own = int(np.searchsorted(h != hot, True)) if h[0] == hot else 0
-                if own:
-                    yield from _strings(pa.Table.from_batches([batch.slice(0, own)]))
-                    batch, h = batch.slice(own), h[own:]
-                if not len(h):
-                    continue
-                hot = None
-            rest.append(batch)
-            size += batch.nbytes
-            if size < _SORT:
-                continue
-            table = pa.Table.from_batches(rest).combine_chunks()
-            h = np.asarray(table["h"])
-            cut = int(np.argmax(h == h[-1]))
-            if cut:
-                if (found := _solve(table.slice(0, cut).combine_chunks())) is not None:
-                    yield found
-            table = table.slice(cut).combine_chunks()
-            if table.num_rows > limit:
-                hot = h[-1]
-                yield from _strings(table)
-                table = table.slice(0, 0)
-            rest, size = table.to_batches(), table.nbytes if cut or table.num_rows <= limit else 0
-        if rest and sum(b.num_rows for b in rest):
-            if (found := _solve(pa.Table.from_batches(rest).combine_chunks())) is not None:
-                yield found
-
-    return run
+    return _stretches(np.asarray(table["doc_id"]), np.asarray(table["at"]), n, equal_before(data, textscan.slices(at[:-1], n), np.repeat(group, n)))
 
 
-def _later(batches):
-    """Of strings sorted by digest and place: marks for all but the first."""
-    last = None
+def _settled(batches):
+    """Marks from runs sorted by anchor and place, and then from strings sorted by digest and place."""
+    rest, size, last = [], 0, None
     for batch in batches:
-        d1, d2 = np.asarray(batch.column(4)), np.asarray(batch.column(5))
-        same = np.zeros(len(d1), bool)
-        same[1:] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
-        same[0] = last == (d1[0], d2[0])
-        last = (d1[-1], d2[-1])
-        if same.any():
-            yield batch.filter(pa.array(same)).select(["doc_id", "at", "n"])
+        strings = int(np.searchsorted(np.asarray(batch.column(0)), STRING))
+        if strings:
+            rest.append(batch.slice(0, strings))
+            size += rest[-1].nbytes
+        if size >= _SORT and strings == batch.num_rows:
+            table = pa.Table.from_batches(rest)
+            h = np.asarray(table["k1"])
+            cut = int(np.argmax(h == h[-1]))
+            if cut and (found := _solve(table.slice(0, cut))) is not None:
+                yield found
+            rest = table.slice(cut).to_batches()
+            size = sum(b.nbytes for b in rest) if cut else 0  # a group is whole before it is solved
+        if strings < batch.num_rows:
+            batch = batch.slice(strings)
+            d1, d2 = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            same = np.zeros(len(d1), bool)
+            same[1:] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
+            same[0] = last == (d1[0], d2[0])
+            last = (d1[-1], d2[-1])
+            if same.any():
+                yield batch.filter(pa.array(same)).select(["doc_id", "at", "n"])
+    if rest and (found := _solve(pa.Table.from_batches(rest))) is not None:
+        yield found
 
 
 def marks(docs: DataFrame, limit: int = RUNS) -> DataFrame:
@@ -314,13 +292,13 @@ def marks(docs: DataFrame, limit: int = RUNS) -> DataFrame:
     key = F.when(F.col("kind") == RUN, F.col("h")).otherwise(F.xxhash64("doc_id", "at"))
     dealt = rows.repartition(key).sortWithinPartitions("kind", "h", "r", "doc_id", "at")
     found = shared.keep(dealt.mapInArrow(_firsts, _FOUND), "runs")
-    wanted = found.where(F.col("kind") == RUN).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "h")).alias("runs"))
-    bodies = own.mapInArrow(_packed, "doc_id long, z binary").join(wanted, "doc_id").mapInArrow(_bodies, "h long, doc_id long, at long, n int, body binary")
-    met = bodies.repartition("h").sortWithinPartitions("h", "doc_id", "at")
-    settled = shared.keep(met.mapInArrow(_sorted_runs(limit), _SETTLED), "sorted")
-    strings = settled.where(F.col("kind") == STRING).repartition("d1", "d2").sortWithinPartitions("d1", "d2", "doc_id", "at").mapInArrow(_later, "doc_id long, at long, n int")
-    plain = ["doc_id", "at", "n"]
-    return found.where(F.col("kind") == MARK).select(*plain).unionByName(settled.where(F.col("kind") == MARK).select(*plain)).unionByName(strings)
+    apart = found.where(F.col("kind") == RUN).select("doc_id", "at", "n", "h")
+    crowds = apart.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("crowded"))
+    own_runs = apart.join(crowds, "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    wanted = own_runs.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "h", "crowded")).alias("runs"))
+    bodies = own.mapInArrow(_packed, "doc_id long, z binary").join(wanted, "doc_id").mapInArrow(_bodies, _DEALT)
+    met = bodies.repartition("k1", "k2").sortWithinPartitions("kind", "k1", "k2", "doc_id", "at").mapInArrow(_settled, _MARKS)
+    return found.where(F.col("kind") == MARK).select("doc_id", "at", "n").unionByName(met)
 
 
 def cover(size: int, found: list[tuple[int, int]], length: int = LENGTH) -> np.ndarray:
