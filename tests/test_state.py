@@ -49,6 +49,25 @@ def test_read_modes(spark):
         state.read(own, keys, "quorum")
 
 
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_spans_of_a_hot_key_give_the_same(spark, span):
+    own = random_log(spark, 120, 2).cache()
+    rows = [r for r in own.orderBy("seq").collect()]
+    state_now, versions, reads = {}, {}, {}
+    for r in rows:
+        if r.op == "GET":
+            reads[r.seq] = (state_now.get(r.key), r.key in state_now)
+            continue
+        versions.setdefault(r.key, []).append(r.seq)
+        if r.op == "PUT":
+            state_now[r.key] = r.value
+        else:
+            state_now.pop(r.key, None)
+    assert {r.seq: (r.value, r.found) for r in state.linear_reads(own, span).collect()} == reads
+    want = {(k, v, s, (seqs + [None])[v]) for k, seqs in versions.items() for v, s in enumerate(seqs, 1)}
+    assert {(r.key, r.version, r.from_seq, r.to_seq) for r in state.history(own, span).collect()} == want
+
+
 def random_log(spark, n=400, keys=30, seed=5):
     r = random.Random(seed)
     rows = []

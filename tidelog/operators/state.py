@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Seqs that share a task where a key's commands must stand in order.
+SPAN = 1 << 20
+
+
 def writes(log: DataFrame) -> DataFrame:
     return log.where(F.col("op") != "GET")
 
@@ -59,23 +63,34 @@ def read(log: DataFrame, keys: DataFrame, read_mode: str = "raft", snapshot: Dat
     raise ValueError(f"read_mode must be raft or local, not {read_mode!r}")
 
 
-def linear_reads(log: DataFrame) -> DataFrame:
-    """What every GET of the log sees: the last write of its key with a smaller seq."""
-    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+def linear_reads(log: DataFrame, span: int = SPAN) -> DataFrame:
+    """What every GET of the log sees: the last write of its key with a smaller seq.
+
+    A key's commands are taken in spans of seq, so a hot key is spread over tasks; each span knows the last write before it.
+    """
+    own = log.withColumn("span", F.floor(F.col("seq") / span))
     write = F.when(F.col("op") != "GET", F.struct("seq", "op", "value"))
-    seen = log.withColumn("w", F.last(write, ignorenulls=True).over(before))
+    inside = Window.partitionBy("key", "span").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    before = own.groupBy("key", "span").agg(F.max(write).alias("e")).select("key", "span", F.last("e", ignorenulls=True).over(upto).alias("before"))
+    seen = own.withColumn("w", F.last(write, ignorenulls=True).over(inside)).where(F.col("op") == "GET")
+    seen = seen.join(before, ["key", "span"]).withColumn("w", F.coalesce("w", "before"))
     found = F.coalesce(live(F.col("w.op")), F.lit(False))
-    return seen.where(F.col("op") == "GET").select("seq", "key", F.when(found, F.col("w.value")).alias("value"), found.alias("found"))
+    return seen.select("seq", "key", F.when(found, F.col("w.value")).alias("value"), found.alias("found"))
 
 
 def tombstones(log: DataFrame) -> DataFrame:
     return latest(log).where(F.col("op") == "DELETE").select("key", "seq")
 
 
-def history(log: DataFrame) -> DataFrame:
-    """Every version of every key with the seqs from and to which it held (to is null while it holds)."""
-    own = Window.partitionBy("key").orderBy("seq")
-    return writes(log).select("key", "op", "value", F.col("seq").alias("from_seq"), F.lead("seq").over(own).alias("to_seq"), F.row_number().over(own).alias("version"))
+def history(log: DataFrame, span: int = SPAN) -> DataFrame:
+    """Every version of every key with the seqs from and to which it held (to is null while it holds), by spans like linear_reads."""
+    own = writes(log).withColumn("span", F.floor(F.col("seq") / span))
+    inside, across = Window.partitionBy("key", "span").orderBy("seq"), Window.partitionBy("key").orderBy("span")
+    ends = own.groupBy("key", "span").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    ends = ends.select("key", "span", F.lead("first").over(across).alias("next"), (F.sum("n").over(across) - F.col("n")).alias("before"))
+    each = own.withColumns({"to": F.lead("seq").over(inside), "place": F.row_number().over(inside)}).join(ends, ["key", "span"])
+    return each.select("key", "op", "value", F.col("seq").alias("from_seq"), F.coalesce("to", "next").alias("to_seq"), (F.col("before") + F.col("place")).alias("version"))
 
 
 def live_by_bucket(log: DataFrame, size: int) -> DataFrame:

@@ -33,6 +33,11 @@ def classified(requests: DataFrame) -> DataFrame:
     )
 
 
+def slower_than(requests: DataFrame, ns: int = 5_000_000_000) -> DataFrame:
+    """Requests that would have timed out."""
+    return requests.where(F.col("latency_ns") > ns)
+
+
 def report(requests: DataFrame, seconds: float) -> DataFrame:
     """Counts, rates and latencies for each operation and for all (operation is 'all'), in one pass over grouping sets."""
     both = classified(requests).withColumn("operation", F.explode(F.array("operation", F.lit("all"))))
@@ -52,7 +57,7 @@ def report(requests: DataFrame, seconds: float) -> DataFrame:
 def error_histogram(requests: DataFrame) -> DataFrame:
     """error_type, n: the known types even with no error, and whatever else came."""
     seen = classified(requests).where("error_type IS NOT NULL").groupBy("error_type").agg(F.count("*").alias("n"))
-    known = requests.sparkSession.createDataFrame([(x,) for x in E.ERROR_TYPES], "error_type string")
+    known = requests.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in E.ERROR_TYPES])).alias("error_type"))
     return known.join(seen, "error_type", "full").select("error_type", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 

@@ -29,7 +29,8 @@ def prefill(spark: SparkSession, keyspace: int, value_size: int) -> DataFrame:
 
 def with_ratios(cases: DataFrame) -> DataFrame:
     """Cases with the write and delete shares and prefill of their workload; an unknown workload is refused."""
-    table = cases.sparkSession.createDataFrame(E.WORKLOADS, "workload string, write_ratio double, delete_ratio double, prefill boolean")
+    names = ["workload", "write_ratio", "delete_ratio", "prefill"]
+    table = cases.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in E.WORKLOADS])))
     known = F.col("write_ratio").isNotNull()
     out = cases.join(F.broadcast(table), "workload", "left")  # a row for each named workload
     return out.withColumn("write_ratio", F.when(known, F.col("write_ratio")).otherwise(F.raise_error(F.concat(F.lit("unknown workload: "), F.col("workload"))).cast("double")))

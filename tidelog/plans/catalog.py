@@ -153,7 +153,7 @@ def kv_tombstones(spark, sf_dir):
 @query(
     "kv_key_history",
     """SELECT key, op, value, seq AS from_seq, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS to_seq,
-    CAST(row_number() OVER (PARTITION BY key ORDER BY seq) AS INTEGER) AS version FROM writes""",
+    row_number() OVER (PARTITION BY key ORDER BY seq) AS version FROM writes""",
 )
 def kv_key_history(spark, sf_dir):
     return state.history(log(spark, sf_dir))
