@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from tidelog.llm import bpe, shared, textscan
 
 #: Pieces in a bucket, on average.
-BUCKET = 50_000
+BUCKET = 5_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
