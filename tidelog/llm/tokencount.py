@@ -201,7 +201,8 @@ def _joined(limit: int):
 def count(docs: DataFrame, file: str, limit: int = 2048, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (more than limit tokens) of every row.
 
-    A null text is empty: 0 bytes, 0 tokens. Rows with equal or null ids are counted each for itself. An empty table
+    docs should be a scan or a written table: a block is known by its place, so a task that runs again must see its rows
+    in the same order. A null text is empty: 0 bytes, 0 tokens. Rows with equal or null ids are counted each for itself. An empty table
     gives no rows. Other columns are left out.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
