@@ -17,8 +17,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near duplicates (shingles of five words, similarity 0.8): the one with the smallest doc_id."""
+    return simhash.keep_first(docs, words=5, similarity=0.8)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,6 +84,24 @@ def test_odd_rows_near(odd, none):
     assert kept.where("doc_id = 9").first().text == "other text under one id"
 
 
+def test_similar_texts_are_linked_and_others_are_not(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(150):
+        own = [r.choice(words) for _ in range(300)]
+        close = [w if k % 60 else "changed" for k, w in enumerate(own)]  # 5 of 300 words: similarity about 0.85
+        rows += [(10 * i, " ".join(own)), (10 * i + 1, " ".join(close).upper()), (10 * i + 2, " ".join(own[150:] + [r.choice(words) for _ in range(150)]))]
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[10 * i + 1] == 10 * i for i in range(150)) >= 148
+    assert all(got[10 * i + 2] == 10 * i + 2 and got[10 * i] == 10 * i for i in range(150))
+
+
+def test_tables_follow_the_input():
+    assert len(simhash.tables(10, 0.8)[0]) < len(simhash.tables(10**9, 0.8)[0])
+    assert len(simhash.tables(10**9, 0.8)) > len(simhash.tables(10**9, 0.9))
+
+
 def plain_removed(rows, length=100):
     seen, out = set(), {}
     for i, text in sorted(rows):

@@ -12,6 +12,8 @@ Trees are not broadcast: they grow with the corpus. Fingerprints travel to their
 from __future__ import annotations
 
 import itertools
+import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -26,29 +28,48 @@ from tidelog.llm import components, shared, textscan
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
+#: Fingerprints of a sketch, for links by similarity instead of bits.
+LANES = 4
+#: Of pairs that are just similar enough, the shares that the tables and the radius of a sketch should find.
+RECALL, WITHIN = 0.99, 0.95
 #: Fingerprints that a shard holds by chance, at most, before bits are cut into more blocks.
 SHARD = 256
 _ROWS = 1 << 18
 _FRONT = 1 << 21
 
 
-def fingerprint(text: str, words: int = SHINGLE) -> int:
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of a shorter text its words as one shingle; of none nothing."""
     own = text.encode("utf-8", "replace").lower().split()  # ASCII letters and white space alone
     if not own:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(own)
+    digest = xxhash.xxh64_intdigest
     if len(own) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], "<u8")
     n = np.fromiter(map(len, own), np.int64, len(own))
     ends = np.cumsum(n + 1) - 1
     starts = (ends - n)[: len(own) - words + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], "<u8")
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """A bit is 1 if set in over half of h."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
-        part = h[i : i + (1 << 16)]
+        part = np.ascontiguousarray(h[i : i + (1 << 16)])
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * total > len(h), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str, words: int = SHINGLE) -> int:
+    return int(majority(shingle_hashes(text, words))[0])
+
+
+def sketch(text: str, words: int) -> bytes:
+    """LANES fingerprints, from as many hashes of each distinct shingle: similarity is between sets."""
+    h = np.unique(shingle_hashes(text, words))
+    return b"".join(majority(textscan.mix(h + np.uint64(j) * np.uint64(0xA0761D6478BD642F)) if j else h).tobytes() for j in range(LANES))
 
 
 def _fingerprints(words: int):
@@ -77,21 +98,22 @@ def masks(n: int, radius: int = RADIUS) -> list[int]:
 
 
 class Forest:
-    """BK-trees over fp, one for each group. Items of a group must stand together; the first is its root."""
+    """BK-trees over fp (a word or a row of words each), one for each group. Items of a group must stand together; the first is its root."""
 
     def __init__(self, fp: np.ndarray, group: np.ndarray):
         n = len(fp)
-        self.fp = fp
+        self.fp = fp.reshape(n, -1)
+        self.most = 64 * self.fp.shape[1] + 1  # more than any distance
         first = np.ones(n, bool)
         first[1:] = group[1:] != group[:-1]
         self.root = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        self.parent, self.edge = np.full(n, -1), np.full(n, 255)
+        self.parent, self.edge = np.full(n, -1), np.full(n, self.most)
         self.rounds: list[np.ndarray] = []  # items by depth
         item = np.flatnonzero(~first)
         at = self.root[item]
         while len(item):
-            d = np.bitwise_count(fp[item] ^ fp[at]).astype(np.int64)
-            order = np.argsort(at * 65 + d, kind="stable")
+            d = self._distance(item, at)
+            order = np.argsort(at * self.most + d, kind="stable")
             item, at, d = item[order], at[order], d[order]
             head = np.ones(len(item), bool)
             head[1:] = (at[1:] != at[:-1]) | (d[1:] != d[:-1])
@@ -101,10 +123,13 @@ class Forest:
             at = child[np.cumsum(head) - 1][~head]
             item = item[~head]
         kids = np.flatnonzero(self.parent >= 0)
-        key = self.parent[kids] * 65 + self.edge[kids]
+        key = self.parent[kids] * self.most + self.edge[kids]
         order = np.argsort(key)
         self.kids, self.key = kids[order], key[order]
 
+    def _distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.fp[a] ^ self.fp[b]).sum(1, dtype=np.int64)
+
     def groups(self, radius: int) -> np.ndarray:
         """The smallest item linked to each item through items of its tree.
 
@@ -137,15 +162,15 @@ class Forest:
             seeker, node = seeker[~done], node[~done]
             if not len(seeker):
                 continue
-            d = np.bitwise_count(self.fp[seeker] ^ self.fp[node]).astype(np.int64)
+            d = self._distance(seeker, node)
             hit = (d <= radius) & (label[seeker] != label[node])
             if hit.any():
                 pairs = np.unique(label[seeker[hit]] * len(label) + label[node[hit]])
                 links.update(zip((pairs // len(label)).tolist(), (pairs % len(label)).tolist()))
-            lo = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), "right")
+            lo = np.searchsorted(self.key, node * self.most + np.maximum(d - radius, 0))
+            hi = np.searchsorted(self.key, node * self.most + np.minimum(d + radius, self.most - 1), "right")
             count = hi - lo
-            for a in range(0, len(node), _FRONT // 8):  # small slices: a node may have 64 children
+            for a in range(0, len(node), _FRONT // 8):  # small slices: a node may have many children
                 c = count[a : a + _FRONT // 8]
                 if c.any():
                     todo.append((np.repeat(seeker[a : a + len(c)], c), self.kids[textscan.slices(lo[a : a + len(c)], c)]))
@@ -171,11 +196,15 @@ def _merged(label: np.ndarray, links: set[tuple[int, int]]) -> np.ndarray:
 
 
 def _stars(radius: int):
-    """Of rows (mask, bits, fp, rep) sorted by shard and rep: each row that isn't the first of its group, with that first."""
+    """Of rows (mask, bits, fp or sketch, rep) sorted by shard and rep: each row that isn't the first of its group, with that first."""
 
     def solve(table):
         mask, bits = np.asarray(table["mask"]), np.asarray(table["bits"])
-        fp, rep = np.asarray(table["fp"]).view(np.uint64), np.asarray(table["rep"])
+        rep = np.asarray(table["rep"])
+        if "fp" in table.column_names:
+            fp = np.asarray(table["fp"]).view(np.uint64)
+        else:
+            fp = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(len(rep), -1)
         new = np.ones(len(fp), bool)
         new[1:] = (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])
         label = Forest(fp, np.cumsum(new)).groups(radius)
@@ -224,29 +253,83 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     null. An empty table gives no rows. Other columns are left out.
     """
     own = shared.keep(fingerprints(docs, words, id_col, text), "fingerprints")
-    return _with_components(own, radius)
-
-
-def _with_components(own: DataFrame, radius: int) -> DataFrame:
     fps = shared.keep(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     tied = components.components(links(fps, radius)).withColumnsRenamed({"u": "rep", "v": "_least"})
     found = fps.join(tied, "rep", "left").select("fp", F.coalesce("_least", "rep").alias("component_id"))
     return own.join(found, "fp", "left").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their component, unchanged; rows with a null id stay.
+def differing(similarity: float) -> float:
+    """The share of bits in which texts of that Jaccard similarity differ, from the angle between their sets."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tables(n: int, similarity: float) -> list[np.ndarray]:
+    """Places of a sketch's bits that make the key of each table: enough bits that n sketches leave about 64 to a shard,
+    and enough tables that a pair just similar enough shares a shard with probability RECALL."""
+    bits = max(8, math.ceil(math.log2(max(n, 1) / 64 + 1)))
+    alike = (1 - differing(similarity)) ** bits
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.choice(64 * LANES, bits, replace=False)) for _ in range(math.ceil(math.log(1 - RECALL) / math.log1p(-alike)))]
+
+
+def radius_for(similarity: float) -> int:
+    """Bits in which a pair just similar enough differs at most, with probability WITHIN."""
+    p, n = differing(similarity), 64 * LANES
+    return math.ceil(NormalDist(n * p, math.sqrt(n * p * (1 - p))).inv_cdf(WITHIN))
+
+
+def _sketches(words: int):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(x, words) for x in textscan.strings(batch.column(1))], pa.binary())], ["doc_id", "sketch"])
+
+    return run
+
+
+def _dealt(places: list[np.ndarray]):
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little").astype(np.int64)
+            for t, own in enumerate(places):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(bits[:, own] @ (1 << np.arange(len(own)))), *batch.columns], ["mask", "bits", "sketch", "rep"])
+
+    return run
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, sketch and component_id of every row, linked where the sketches say that word shingles have the similarity.
+
+    The same trees, over 64 * LANES bits. At such distances no cut of the bits leaves a common part, so shards come from
+    tables of sampled bits, as many as RECALL asks for. Nulls, empty texts and repeated ids are as in near_duplicates.
+    """
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = shared.keep(plain.mapInArrow(_sketches(words), "doc_id long, sketch binary"), "sketches")
+    distinct = shared.keep(own.where("doc_id IS NOT NULL").groupBy("sketch").agg(F.min("doc_id").alias("rep")), "distinct")
+    places = tables(distinct.count(), similarity)
+    dealt = distinct.mapInArrow(_dealt(places), "mask int, bits long, sketch binary, rep long")
+    edges = dealt.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "rep").mapInArrow(_stars(radius_for(similarity)), "u long, v long")
+    tied = components.components(edges).withColumnsRenamed({"u": "rep", "v": "_least"})
+    found = distinct.join(tied, "rep", "left").select("sketch", F.coalesce("_least", "rep").alias("component_id"))
+    return own.join(found, "sketch", "left").select("doc_id", "sketch", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are the smallest doc_id of their component of similar texts, unchanged; rows with a null id stay.
 
-    Of several rows with one id and one fingerprint the one with the smallest text stays.
+    Of several rows with one id and one sketch the one with the smallest text stays.
     """
-    found = shared.keep(near_duplicates(docs, words, radius, id_col, text).where("doc_id IS NOT NULL"), "near")
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"), F.col("fingerprint").alias("_print")).distinct()
+    found = shared.keep(similar(docs, words, similarity, id_col, text).where("doc_id IS NOT NULL"), "near")
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"), F.col("sketch").alias("_print")).distinct()
     again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_keep"))
     own = F.col(id_col).cast("long") == F.col("_keep")
     known = docs.join(first.join(again, "_keep", "left_anti"), own, "left_semi")
     if again.limit(1).count():
         rows = docs.join(again, own, "left_semi")
-        marked = rows.withColumn("_print_", hexed(_column(words)(F.col(text).cast("string"))))
+        marked = rows.withColumn("_print_", _column(words)(F.col(text).cast("string")))
         marked = marked.join(first, own & (F.col("_print_") == F.col("_print")), "left_semi")
         place = F.row_number().over(Window.partitionBy(id_col, "_print_").orderBy(text))
         known = known.unionByName(marked.withColumn("_place_", place).where("_place_ = 1").select(*[docs[c] for c in docs.columns]))
@@ -254,8 +337,8 @@ def keep_first(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, id_c
 
 
 def _column(words: int):
-    @F.pandas_udf("long")
+    @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x or "", words) for x in texts], np.uint64).view(np.int64))
+        return pd.Series([sketch(x or "", words) for x in texts])
 
     return run
