@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pages of a host in a bucket, about; pages of larger hosts are dealt to buckets by path.
-BUCKET = 512
+BUCKET = 128
+#: Up to so many large hosts are sent to the executors; more are joined by shuffle.
+MAX_SENT_HOSTS = 100_000
 #: If so much of a page's unmarked text is shared with a neighbour, that one is a copy and tells nothing.
 COPY = 0.8
 
@@ -223,6 +225,8 @@ def extract(pages: DataFrame) -> DataFrame:
     cut = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_cut, _CUT)
     hosts = pages.select(F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#]*)", 1)).alias("host"))
     large = hosts.groupBy("host").count().where(F.col("count") > BUCKET).select("host", F.ceil(F.col("count") / BUCKET).alias("buckets"))
+    if large.count() <= MAX_SENT_HOSTS:
+        large = F.broadcast(large)
     dealt = cut.join(large, "host", "left").withColumn("bucket", F.pmod(F.xxhash64("head", "leaf"), F.coalesce("buckets", F.lit(1))))
     near = dealt.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "head", F.length("leaf"), "leaf", "page_id", "body")
     found = near.select("host", "bucket", "page_id", "url", "body").mapInArrow(_differenced, "page_id long, url string, text string")
