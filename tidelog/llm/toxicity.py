@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import shared, textscan
 
-ORDER = 7
+ORDER = 6
 DISCOUNT = 0.75
 #: The order is lowered until so many n-grams are enough, so the model's size is bounded. Order 1 always fits.
-MAX_NGRAMS = 1_500_000
+MAX_NGRAMS = 1_000_000
 #: Labelled rows that the logistic function is fitted on, at most; those with the smallest hashes of their ids.
 MAX_CALIBRATION = 20_000
 #: Up to so many labels are sent to the executors; more are joined by shuffle.
@@ -107,7 +107,7 @@ class Model:
 
     def __init__(self, grams: list[str], ordinary: np.ndarray, toxic: np.ndarray, order: int):
         self.order = order
-        raw = np.stack([ordinary, toxic]).astype(np.float64)
+        raw = np.stack([ordinary, toxic]).astype(np.float32)
         cp, at = textscan.codepoints(grams)
         k = np.diff(at)
         c = textscan.sums(textscan.values_of(cp))
@@ -125,15 +125,16 @@ class Model:
         longer = np.flatnonzero(k > 1)
         shorter = find(tail[longer])
         longer, shorter = longer[shorter >= 0], shorter[shorter >= 0]
-        kinds = np.stack([np.bincount(shorter, x[longer] > 0, len(name)) for x in counts])
         own = (k == order) | (cp[at[:-1]] == _FIRST)
-        a = np.where(own, counts, kinds)
+        a = np.stack([np.where(own, x, np.bincount(shorter, x[longer] > 0, len(name))).astype(np.float32) for x in counts])
+        del raw, counts, longer, shorter, own
         contexts, h = np.unique(ctx, return_inverse=True)
         total = np.stack([np.bincount(h, x, len(contexts)) for x in a])
         types = np.stack([np.bincount(h, x > 0, len(contexts)) for x in a])
         with np.errstate(divide="ignore", invalid="ignore"):
             free = np.where(total > 0, DISCOUNT * types / total, 1.0)
-            seen = np.where(total[:, h] > 0, np.maximum(a - DISCOUNT, 0) / total[:, h], 0.0)
+            seen = np.stack([np.where(t[h] > 0, np.maximum(x - DISCOUNT, 0) / t[h], 0.0) for x, t in zip(a, total)])
+        del a, total, types
         shared = np.zeros(len(name))
         symbols = max(1, int((k == 1).sum()))
         for n in range(1, order + 1):
