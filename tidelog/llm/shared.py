@@ -19,8 +19,13 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Places made by this process, for clear().
+_MADE: list[str] = []
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{folder(spark)}/tidelog-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def keep(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
@@ -35,3 +40,9 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this process wrote between steps. Frames that were not yet written out can't be read after that."""
+    while _MADE:
+        drop(spark, _MADE.pop())
