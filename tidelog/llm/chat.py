@@ -28,16 +28,37 @@ def _head(speaker: Column, perspective: Column) -> Column:
     return F.concat(F.lit(BEGIN), own, F.lit("\n"))
 
 
+_KEY = ["talk", "nameless", "block", "fine", "salt"]
+_FIRST = -(1 << 63)  # of turns without a number
+
+
 def _with_parts(rows: DataFrame) -> DataFrame:
-    """Adds block, fine and salt, which order the parts of a dialogue."""
-    block = F.floor(F.col("turn") / PART_TURNS)
-    sizes = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n_turn"))
-    sizes = sizes.withColumn("n_block", F.sum("n_turn").over(Window.partitionBy("conv_id", F.floor(F.col("turn") / PART_TURNS))))
-    hot = sizes.where(F.col("n_block") > PART_ROWS).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "n_turn")
-    found = rows.join(hot, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")), "left")
+    """Adds the columns of _KEY, none of them null: the dialogue, and block, fine and salt, which order its parts."""
+    turn = F.coalesce("turn", F.lit(_FIRST))
+    own = rows.withColumns({"talk": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "nameless": F.col("conv_id").isNull(), "block": F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(_FIRST))})
+    sizes = own.groupBy("talk", "nameless", "block", turn.alias("number")).agg(F.count("*").alias("n_turn"))
+    sizes = sizes.withColumn("n_block", F.sum("n_turn").over(Window.partitionBy("talk", "nameless", "block")))
+    hot = sizes.where(F.col("n_block") > PART_ROWS).select("talk", "nameless", "number", "n_turn")
+    own = own.withColumn("number", turn)
+    if hot.limit(1).count():
+        own = own.join(hot, ["talk", "nameless", "number"], "left")
+    else:
+        own = own.withColumn("n_turn", F.lit(None).cast("long"))
     many = F.ceil(F.coalesce("n_turn", F.lit(1)) / (PART_ROWS // 2))
-    salt = F.when(F.col("n_turn") > PART_ROWS, F.pmod(F.xxhash64("speaker", "body"), many)).otherwise(F.lit(0))
-    return found.select("conv_id", "turn", "speaker", "body", block.alias("block"), F.when(F.col("n_turn").isNotNull(), F.col("turn")).alias("fine"), salt.alias("salt"))
+    salt = F.when(F.col("n_turn") > PART_ROWS, F.pmod(F.xxhash64("speaker", "body"), many)).otherwise(F.lit(0).cast("long"))
+    return own.withColumns({"fine": F.when(F.col("n_turn").isNotNull(), F.col("number")).otherwise(F.lit(_FIRST)), "salt": salt}).drop("number", "n_turn")
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """For each part, who sees it, as which part and from where on. Made from lengths; texts don't travel for it."""
+    said = rows.groupBy(*_KEY, "speaker").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
+    people = said.where(F.col("speaker") != SYSTEM).select("talk", "nameless", F.col("speaker").alias("perspective")).distinct()
+    both = said.join(people, ["talk", "nameless"])
+    size = F.col("n") * (F.length(_head(F.col("speaker"), F.col("perspective"))) + len(END)) + F.col("chars")
+    sizes = both.groupBy(*_KEY, "perspective").agg(F.sum(size).alias("size"))
+    order = Window.partitionBy("talk", "nameless", "perspective").orderBy("block", "fine", "salt")
+    placed = sizes.select(*_KEY, "perspective", (F.row_number().over(order) - 1).alias("part"), (F.sum("size").over(order) - F.col("size")).alias("start"))
+    return placed.groupBy(*_KEY).agg(F.collect_list(F.struct("perspective", "part", "start")).alias("seen"))
 
 
 def rotate(conversations: DataFrame, speaker: str = "role") -> DataFrame:
@@ -49,10 +70,9 @@ def rotate(conversations: DataFrame, speaker: str = "role") -> DataFrame:
     dialogue of system turns alone, like an empty table, gives no rows. Other columns are left out.
     """
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), _name(F.col(speaker).cast("string")).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    people = rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("_p"), F.col("speaker").alias("perspective")).distinct()
-    key = ["conv_id", "block", "fine", "salt"]
-    parts = _with_parts(rows).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "body"))).alias("turns"))
-    each = parts.join(people, F.col("conv_id").eqNullSafe(F.col("_p"))).drop("_p")
+    rows = _with_parts(rows)
+    parts = rows.groupBy(*_KEY).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "speaker", "body"))).alias("turns"))
+    each = parts.join(_places(rows), _KEY).select("conv_id", "turns", F.explode("seen").alias("s")).select("conv_id", "turns", "s.*")
     seen = F.transform("turns", lambda t: F.struct(_head(t["speaker"], F.col("perspective")).alias("head"), F.concat(t["body"], F.lit(END)).alias("tail"), (t["speaker"] == F.col("perspective")).alias("own")))
     each = each.withColumn("_seen", seen).drop("turns")
     text = F.array_join(F.transform("_seen", lambda t: F.concat(t["head"], t["tail"])), "")
@@ -64,10 +84,7 @@ def rotate(conversations: DataFrame, speaker: str = "role") -> DataFrame:
         span = F.array(F.struct(begin.alias("begin"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(t["own"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    each = each.withColumns({"text": text, "mask": F.aggregate("_seen", start, step, lambda a: a["spans"]), "n_turns": F.size("_seen")}).drop("_seen")
-    order = Window.partitionBy("conv_id", "perspective").orderBy(*[F.col(c).asc_nulls_first() for c in key[1:]])
-    n = F.length("text").cast("long")
-    return each.select("conv_id", "perspective", (F.row_number().over(order) - 1).alias("part"), (F.sum(n).over(order) - n).alias("start"), "text", "mask", "n_turns")
+    return each.select("conv_id", "perspective", "part", "start", text.alias("text"), F.aggregate("_seen", start, step, lambda a: a["spans"]).alias("mask"), F.size("_seen").alias("n_turns"))
 
 
 #: The same in SQL, for dialogues of one part.
