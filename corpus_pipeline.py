@@ -6,31 +6,55 @@ each stage's rows as Parquet in the shared folder and reads them again for the n
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import bpe, decontam, packing, quality, shared, simhash, suffix
 
 
+#: What the stage before wrote between its steps; its rows have been written out when the next one begins.
+_LEFT: list[str] = []
+
+
+def _stage(make):
+    @functools.wraps(make)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _LEFT:
+            shared.drop(spark, _LEFT.pop())
+        n = len(shared.MADE)
+        out = make(spark, docs, sf_dir)
+        _LEFT.extend(shared.MADE[n:])
+        return out
+
+    return stage
+
+
+@_stage
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep_good(docs)
 
 
+@_stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (shingles of five words, similarity 0.8): the one with the smallest doc_id."""
     return simhash.keep_first(docs, words=5, similarity=0.8)
 
 
+@_stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that occur earlier. One of which nothing is left stays, as an empty text."""
     return suffix.strip(docs)
 
 
+@_stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1024 tokens."""
     return packing.pack(docs, bpe.path("byte_bpe_50k.json"), end_id=2, capacity=1024)

@@ -20,12 +20,12 @@ def folder(spark: SparkSession) -> str:
 
 
 #: Places made by this process, for clear().
-_MADE: list[str] = []
+MADE: list[str] = []
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    _MADE.append(f"{folder(spark)}/tidelog-{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    MADE.append(f"{folder(spark)}/tidelog-{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def keep(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
@@ -44,5 +44,5 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Removes all that this process wrote between steps. Frames that were not yet written out can't be read after that."""
-    while _MADE:
-        drop(spark, _MADE.pop())
+    while MADE:
+        drop(spark, MADE.pop())

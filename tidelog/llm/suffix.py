@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm import shared, textscan
 
@@ -362,9 +363,18 @@ def strip_text(text: str, found: list[tuple[int, int]]) -> str:
 
 
 def _stripped(batches):
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts = [None if z is None else unpack(z).decode("utf-8") for z in batch.column(1).to_pylist()]
+        texts = [x if x is None or not own else strip_text(x, [(m["at"], m["n"]) for m in own]) for x, own in zip(texts, batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["meta", "text"])
+
+
+def _packed_with_meta(batches):
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        texts = [x if x is None or not own else strip_text(x, [(m["at"], m["n"]) for m in own]) for x, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        z = [None if x is None else pack(x.encode("utf-8", "replace")) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["id", "meta", "z"])
 
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -377,11 +387,12 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length_co
     if own is not plain:
         known = meta.where("_id IS NOT NULL").groupBy("_id").agg(F.min_by("rest", F.coalesce("_text", F.lit(""))).alias("rest"), F.min("_text").alias("_text"))
         meta = known.select("_id", "_text", "rest").unionByName(meta.where("_id IS NULL"))
-    joined = meta.join(found, F.col("_id") == F.col("doc_id"), "left")
-    kept = joined.select(F.struct("_id", "rest").alias("doc_id"), F.col("_text").alias("text"), "marks")
-    schema = kept.select("doc_id", "text").schema
-    out = kept.mapInArrow(_stripped, schema)
-    columns = {id_col: F.col("doc_id._id").cast(docs.schema[id_col].dataType).alias(id_col), text: F.col("text").alias(text)}
+    # texts are packed before they travel
+    rows = meta.select(F.col("_id").alias("id"), F.struct("_id", "rest").alias("meta"), F.col("_text").alias("text"))
+    schema = T.StructType([rows.schema["id"], rows.schema["meta"], T.StructField("z", T.BinaryType())])
+    kept = rows.mapInArrow(_packed_with_meta, schema).join(found, F.col("id") == F.col("doc_id"), "left").select("meta", "z", "marks")
+    out = kept.mapInArrow(_stripped, T.StructType([rows.schema["meta"], T.StructField("text", T.StringType())]))
+    columns = {id_col: F.col("meta._id").cast(docs.schema[id_col].dataType).alias(id_col), text: F.col("text").alias(text)}
     if length_col in docs.columns:
         columns[length_col] = F.length("text").cast(docs.schema[length_col].dataType).alias(length_col)
-    return out.select(*[columns[c] if c in columns else F.col("doc_id.rest")[c].alias(c) for c in docs.columns])
+    return out.select(*[columns[c] if c in columns else F.col("meta.rest")[c].alias(c) for c in docs.columns])
