@@ -32,6 +32,8 @@ SEED = 42
 LANES = 4
 #: Of pairs that are just similar enough, the shares that the tables and the radius of a sketch should find.
 RECALL, WITHIN = 0.99, 0.95
+#: Up to so many ids to remove are sent to the executors; more are joined by shuffle.
+MAX_SENT_IDS = 1_000_000
 #: Fingerprints that a shard holds by chance, at most, before bits are cut into more blocks.
 SHARD = 256
 _ROWS = 1 << 18
@@ -326,7 +328,10 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"), F.col("sketch").alias("_print")).distinct()
     again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_keep"))
     own = F.col(id_col).cast("long") == F.col("_keep")
-    known = docs.join(first.join(again, "_keep", "left_anti"), own, "left_semi")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_keep")).union(again).distinct()
+    if gone.count() <= MAX_SENT_IDS:
+        gone = F.broadcast(gone)
+    known = docs.where(F.col(id_col).isNotNull()).join(gone, own, "left_anti")
     if again.limit(1).count():
         rows = docs.join(again, own, "left_semi")
         marked = rows.withColumn("_print_", _column(words)(F.col(text).cast("string")))
