@@ -97,6 +97,29 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     assert all(got[10 * i + 2] == 10 * i + 2 and got[10 * i] == 10 * i for i in range(150))
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 2])
+def test_links_have_the_similarity(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    shingles = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    rows, near = [], {}
+    for i in range(120):
+        own = [r.choice(words) for _ in range(400)]
+        close = list(own)
+        for k in r.sample(range(5, 395), 4 + i % 17):
+            close[k] = "changed"
+        a, b = shingles(own), shingles(close)
+        near[i] = len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(close))]
+    base = [r.choice(words) for _ in range(600)]
+    rows += [(1000 + i, " ".join(base[20 * i : 20 * i + 400])) for i in range(7)]  # each is similar to the next, the first and the last are not
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(near.values()) < 0.65 and max(near.values()) >= 0.88 and sum(0.7 <= x < 0.8 for x in near.values()) > 20
+    assert {i: got[2 * i + 1] == 2 * i for i in near} == {i: x >= 0.8 for i, x in near.items()}
+    assert {got[1000 + i] for i in range(7)} == {1000}
+
+
 def test_tables_follow_the_input():
     assert len(simhash.tables(10, 0.8)[0]) < len(simhash.tables(10**9, 0.8)[0])
     assert len(simhash.tables(10**9, 0.8)) > len(simhash.tables(10**9, 0.9))

@@ -4,7 +4,8 @@ Distinct fingerprints are dealt to shards so that any two within the radius shar
 and fingerprints that differ in at most r bits agree in all but r of them. Each shard is a BK-tree, where a child hangs
 from its parent by the number of bits in which they differ, and a search follows only edges within the radius. Trees of
 a task are built and searched together as arrays. A shard returns a star for each of its groups, not its pairs, and the
-stars are joined to components.
+stars are joined to components. For links by similarity these are only candidates: within each, texts are linked by the
+exact similarity of their shingles.
 
 Trees are not broadcast: they grow with the corpus. Fingerprints travel to their shards instead.
 """
@@ -19,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,8 +32,10 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints of a sketch, for links by similarity instead of bits.
 LANES = 4
-#: Of pairs that are just similar enough, the shares that the tables and the radius of a sketch should find.
-RECALL, WITHIN = 0.99, 0.95
+#: Of pairs that are just similar enough, the shares that the tables and the radius of a sketch should find as candidates.
+RECALL, WITHIN = 0.999, 0.999
+#: Texts of a group of candidates that meet in a task; those of larger groups meet by pairs of such blocks.
+BLOCK = 1024
 #: Up to so many ids to remove are sent to the executors; more are joined by shuffle.
 MAX_SENT_IDS = 1_000_000
 #: Fingerprints that a shard holds by chance, at most, before bits are cut into more blocks.
@@ -68,10 +72,13 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
     return int(majority(shingle_hashes(text, words))[0])
 
 
+def _sketch(h: np.ndarray) -> bytes:
+    return b"".join(majority(textscan.mix(h + np.uint64(j) * np.uint64(0xA0761D6478BD642F)) if j else h).tobytes() for j in range(LANES))
+
+
 def sketch(text: str, words: int) -> bytes:
     """LANES fingerprints, from as many hashes of each distinct shingle: similarity is between sets."""
-    h = np.unique(shingle_hashes(text, words))
-    return b"".join(majority(textscan.mix(h + np.uint64(j) * np.uint64(0xA0761D6478BD642F)) if j else h).tobytes() for j in range(LANES))
+    return _sketch(np.unique(shingle_hashes(text, words)))
 
 
 def _fingerprints(words: int):
@@ -284,7 +291,9 @@ def radius_for(similarity: float) -> int:
 def _sketches(words: int):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(x, words) for x in textscan.strings(batch.column(1))], pa.binary())], ["doc_id", "sketch"])
+            sets = [np.unique(shingle_hashes(x, words)) for x in textscan.strings(batch.column(1))]
+            prints = pa.array([_sketch(h) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), prints, pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())], ["doc_id", "known", "sketch", "own"])
 
     return run
 
@@ -302,21 +311,94 @@ def _dealt(places: list[np.ndarray]):
     return run
 
 
+def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest place that links reach from each of the sorted sets; sets of at least that Jaccard similarity are linked."""
+    n = np.array([len(x) for x in sets])
+    label = np.arange(len(sets))
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(label, n)
+    order = np.argsort(shingle, kind="stable")
+    holders, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+    for i, own in enumerate(np.split(shingle, np.cumsum(n)[:-1])):
+        both = np.bincount(holders[textscan.slices(first[own], first[own + 1] - first[own])], minlength=len(sets))
+        near = np.unique(label[both >= similarity * (n[i] + n - both) - 1e-9])
+        if len(near) > 1:
+            label[np.isin(label, near)] = near[0]
+            if not label.any():
+                break
+    return label
+
+
+def _packed(batches):
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([pack(x.encode("utf-8", "surrogatepass")) for x in textscan.strings(batch.column(4))], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], texts], ["label", "i", "j", "rep", "body"])
+
+
+def _confirmed(words: int, similarity: float):
+    """Of rows (label, i, j, rep, body) sorted by these: stars of texts that are as similar as that."""
+
+    def solve(found: dict[int, bytes]):
+        unpack = zstandard.ZstdDecompressor().decompress
+        reps = np.array(list(found), np.int64)
+        label = linked([np.unique(shingle_hashes(unpack(x).decode("utf-8", "surrogatepass"), words)) for x in found.values()], similarity)
+        tied = np.flatnonzero(label != np.arange(len(reps)))
+        return pa.RecordBatch.from_arrays([pa.array(reps[tied]), pa.array(reps[label[tied]])], ["u", "v"])
+
+    def run(batches):
+        now, found = None, {}
+        for batch in batches:
+            for *key, rep, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    if len(found) > 1:
+                        yield solve(found)
+                    now, found = key, {}
+                found[rep] = body
+        if len(found) > 1:
+            yield solve(found)
+
+    return run
+
+
+def _exact(candidates: DataFrame, distinct: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that leave the components of all pairs of that similarity within the components of the candidates.
+
+    A group's texts meet once. Of a group of over BLOCK texts, each two blocks meet.
+    """
+    tied = components.components(candidates)
+    grouped = tied.select(F.col("u").alias("rep"), F.col("v").alias("label")).unionByName(tied.select(F.col("v").alias("rep"), F.col("v").alias("label")).distinct())
+    sizes = grouped.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = grouped.join(sizes, "label").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    wanted = shared.keep(placed.join(distinct.select("rep", "known"), "rep").select("rep", "known", "label", "blocks", "b"), "groups")
+    if wanted.count() <= MAX_SENT_IDS:
+        wanted = F.broadcast(wanted)
+    texts = plain.join(wanted, (F.col("doc_id") == F.col("rep")) & (plain["known"] == wanted["known"]))
+    others = F.expr("IF(blocks = 1, array(0), filter(sequence(0, blocks - 1), j -> j <> b))")
+    dealt = texts.select("label", "rep", "b", "text", F.explode(others).alias("o")).select("label", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "rep", "text")
+    packed = dealt.mapInArrow(_packed, "label long, i int, j int, rep long, body binary")
+    return packed.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "rep").mapInArrow(_confirmed(words, similarity), "u long, v long")
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, sketch and component_id of every row, linked where the sketches say that word shingles have the similarity.
+    """doc_id, sketch and component_id of every row, linked where word shingles have the similarity.
 
-    The same trees, over 64 * LANES bits. At such distances no cut of the bits leaves a common part, so shards come from
-    tables of sampled bits, as many as RECALL asks for. Nulls, empty texts and repeated ids are as in near_duplicates.
+    Candidates come from the same trees, over 64 * LANES bits. At such distances no cut of the bits leaves a common part,
+    so shards come from tables of sampled bits, as many as RECALL asks for. Links are confirmed by the shingles
+    themselves. Nulls, empty texts and repeated ids are as in near_duplicates.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = shared.keep(plain.mapInArrow(_sketches(words), "doc_id long, sketch binary"), "sketches")
-    distinct = shared.keep(own.where("doc_id IS NOT NULL").groupBy("sketch").agg(F.min("doc_id").alias("rep")), "distinct")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    plain = plain.withColumn("known", F.xxhash64("text"))
+    own = shared.keep(plain.mapInArrow(_sketches(words), "doc_id long, known long, sketch binary, own binary"), "sketches")
+    least = F.min(F.struct("doc_id", "known")).alias("least")
+    distinct = shared.keep(own.where("doc_id IS NOT NULL").groupBy("sketch", "own").agg(least).select("sketch", "own", F.col("least.doc_id").alias("rep"), "least.known"), "distinct")
     places = tables(distinct.count(), similarity)
-    dealt = distinct.mapInArrow(_dealt(places), "mask int, bits long, sketch binary, rep long")
-    edges = dealt.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "rep").mapInArrow(_stars(radius_for(similarity)), "u long, v long")
+    dealt = distinct.select("sketch", "rep").mapInArrow(_dealt(places), "mask int, bits long, sketch binary, rep long")
+    candidates = dealt.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "rep").mapInArrow(_stars(radius_for(similarity)), "u long, v long")
+    edges = _exact(candidates, distinct, plain, words, similarity)
     tied = components.components(edges).withColumnsRenamed({"u": "rep", "v": "_least"})
-    found = distinct.join(tied, "rep", "left").select("sketch", F.coalesce("_least", "rep").alias("component_id"))
-    return own.join(found, "sketch", "left").select("doc_id", "sketch", "component_id")
+    found = distinct.join(tied, "rep", "left").select("own", F.coalesce("_least", "rep").alias("component_id"))
+    return own.join(found, "own", "left").select("doc_id", "sketch", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
