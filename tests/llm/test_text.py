@@ -38,6 +38,14 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.fit(none, labels) is None and toxicity.score(odd, None).where("score = 0").count() == odd.count()
 
 
+def test_order_does_not_depend_on_the_input(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(600))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, label int"))
+    assert model.order == toxicity.ORDER and len(model.gram) > 1_000_000
+
+
 def test_rotation_oracle(spark, duck):
     same_rows(queries.QUERIES["op7_perspective_rotation"](spark, SF).toPandas(), duck.execute(chat.ORACLE).df())
 

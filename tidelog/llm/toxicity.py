@@ -20,8 +20,6 @@ from tidelog.llm import shared, textscan
 
 ORDER = 6
 DISCOUNT = 0.75
-#: The order is lowered until so many n-grams are enough, so the model's size is bounded. Order 1 always fits.
-MAX_NGRAMS = 1_000_000
 #: Labelled rows that the logistic function is fitted on, at most; those with the smallest hashes of their ids.
 MAX_CALIBRATION = 20_000
 #: Up to so many labels are sent to the executors; more are joined by shuffle.
@@ -242,11 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Model:
     counted = _labelled(texts, own.where(fold() != 1)).select("text", "label")
     words = counted.mapInArrow(_word_counts, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     grams = words.mapInArrow(_grams(order), "gram string, k int, ordinary long, toxic long").groupBy("gram", "k").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    kept = shared.keep(grams, "grams")
-    sizes = {r.k: r["count"] for r in kept.groupBy("k").count().collect()}
-    while order > 1 and sum(n for k, n in sizes.items() if k <= order) > MAX_NGRAMS:
-        order -= 1
-    table = kept.where(F.col("k") <= order).toArrow()
+    table = grams.toArrow()
     if not table.num_rows:
         return None
     model = Model(table["gram"].to_pylist(), np.asarray(table["ordinary"]), np.asarray(table["toxic"]), order)
