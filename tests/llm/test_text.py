@@ -46,6 +46,14 @@ def test_order_does_not_depend_on_the_input(spark):
     assert model.order == toxicity.ORDER and len(model.gram) > 1_000_000
 
 
+def test_labels_beyond_calibration_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_CALIBRATION", 4)
+    first = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(i, "what a lovely day" if k % 2 else "you are a grumblefrotz") for k, i in enumerate(first)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1 - k % 2) for k, i in enumerate(first)], "doc_id long, label int"))
+    assert model and model.word_ratios(["grumblefrotz"])[0] > toxicity.NOTABLE > 0 > model.word_ratios(["lovely"])[0]
+
+
 def test_rotation_oracle(spark, duck):
     same_rows(queries.QUERIES["op7_perspective_rotation"](spark, SF).toPandas(), duck.execute(chat.ORACLE).df())
 

@@ -20,7 +20,7 @@ from tidelog.llm import shared, textscan
 
 ORDER = 6
 DISCOUNT = 0.75
-#: Labelled rows that the logistic function is fitted on, at most; those with the smallest hashes of their ids.
+#: Labelled documents that the logistic function is fitted on, at most; those with the smallest hashes of their ids. All others are counted.
 MAX_CALIBRATION = 20_000
 #: Up to so many labels are sent to the executors; more are joined by shuffle.
 MAX_SENT_LABELS = 2_000_000
@@ -231,22 +231,23 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Model:
-    """docs: doc_id, text. labels: doc_id, label (0 or 1). Label rows of fold 1 fit the logistic function, the others the models.
+    """docs: doc_id, text. labels: doc_id, label (0 or 1). At most MAX_CALIBRATION documents of fold 1 fit the logistic function, the others the models.
 
-    Counts cover all labelled rows given. Of several labels of a document the largest counts.
+    Counts cover all other labelled rows given. Of several labels of a document the largest counts.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = _labelled(texts, own.where(fold() != 1)).select("text", "label")
+    able = own.where((fold() == 1) & F.col("label").isNotNull()).select("doc_id").distinct()
+    few = F.broadcast(shared.keep(able.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_CALIBRATION), "calibration"))
+    counted = _labelled(texts, own.join(few, "doc_id", "left_anti")).select("text", "label")
     words = counted.mapInArrow(_word_counts, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     grams = words.mapInArrow(_grams(order), "gram string, k int, ordinary long, toxic long").groupBy("gram", "k").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     table = grams.toArrow()
     if not table.num_rows:
         return None
     model = Model(table["gram"].to_pylist(), np.asarray(table["ordinary"]), np.asarray(table["toxic"]), order)
-    few = own.where(fold() == 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_CALIBRATION)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = _labelled(texts, few).select("text", "label").mapInArrow(_featured(sent), "x array<double>, label int").toArrow()
+    rows = _labelled(texts, own.join(few, "doc_id", "left_semi")).select("text", "label").mapInArrow(_featured(sent), "x array<double>, label int").toArrow()
     y = np.asarray(rows["label"]).astype(float) if rows.num_rows else np.empty(0)
     if 0 < y.sum() < len(y):
         model.weights = logistic(np.array(rows["x"].to_pylist()), y).tolist()
