@@ -115,6 +115,15 @@ def test_unmarked_pages_are_differenced(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_of_large_hosts_meet_their_nearest(spark, monkeypatch):
+    monkeypatch.setattr(pages, "RANGE", 50)
+    monkeypatch.setattr(pages, "SORTED", 400)
+    page = lambda s, i: f"<body><div>Menu of section {s}</div><p>Text {s} {i} of its own<p>More of {s} {i}</div><div>Notice of section {s}</div></body>"
+    rows = [(100 * s + i, f"http://a.org/{s}/{i}", page(s, i)) for s in range(300) for i in range(3)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert got == {100 * s + i: f"Text {s} {i} of its own\nMore of {s} {i}" for s in range(300) for i in range(3)}
+
+
 def test_furniture():
     page = "<header>top</header><nav><ul><li>menu</ul></nav><div class='site-ads x'>buy</div><main><header><h1>Title</h1></header>One<br>two<aside>no</aside><form>mail <input></form><p hidden>no<p>Three &am &amp</main><div id=comments>me too</div><footer>end"
     assert pages.main_text(pages.lines(page), []) == "Title\nOne two\nThree &am &"

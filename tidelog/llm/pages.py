@@ -9,6 +9,7 @@ Markup decides where it speaks, differencing where it doesn't.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from urllib.parse import urlsplit
@@ -18,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host in a bucket, about; pages of larger hosts are dealt to buckets by path.
-BUCKET = 128
-#: Up to so many large hosts are sent to the executors; more are joined by shuffle.
-MAX_SENT_HOSTS = 100_000
+#: Pages of a range of the sorted paths; a range also gets the page before it and the page after it.
+RANGE = 512
+#: Pages of a part in which paths are sorted to find the ranges.
+SORTED = 16_384
 #: If so much of a page's unmarked text is shared with a neighbour, that one is a copy and tells nothing.
 COPY = 0.8
 
@@ -165,36 +166,110 @@ def place(url: str) -> tuple[str, str, str]:
     return (parts.netloc.rpartition("@")[2].lower().removeprefix("www."), head, leaf)
 
 
-_CUT = "page_id long, url string, host string, head string, leaf string, body binary"
+_KEY = "host string, head string, n int, leaf string, id long, known long"
+_ORDER = ["host", "head", "n", "leaf", "id", "known"]
+_CUT = f"span long, own boolean, {_KEY}, url string, body binary"
 
 
-def _cut(batches):
-    pack = zstandard.ZstdCompressor(level=3).compress
+def _key(url: str | None, page_id: int | None, known: int) -> tuple:
+    host, head, leaf = place(url or "")
+    return host, head, len(leaf), leaf, _LEAST if page_id is None else page_id, known
+
+
+_LEAST = -(1 << 63)  # a null id
+
+
+def _keys(batches):
+    """Of (page_id, url, known): the pages' places in the order of paths. known tells rows of one id and path apart."""
     for batch in batches:
-        urls = batch.column(1).to_pylist()
-        where = [place(u or "") for u in urls]
-        found = [lines(x or "") for x in batch.column(2).to_pylist()]
-        bodies = [pack("\n".join(["".join(z for z, _ in own), *(x for _, x in own)]).encode("utf-8", "replace")) for own in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.string()) for x in (zip(*where) if where else ([], [], []))), pa.array(bodies, pa.binary())], ["page_id", "url", "host", "head", "leaf", "body"])
+        found = [_key(u, i, k) for i, u, k in zip(*(c.to_pylist() for c in batch.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 6, _TYPES)], _ORDER)
+
+
+_TYPES = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+
+
+def _edges(size: int, reach: int):
+    """Of sorted keys: the first and the last reach keys of every size rows; equal keys stay together."""
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def edges(keys):
+            found = [(k, True) for k in keys[:reach]] + [(k, False) for k in keys[-reach:]]
+            columns = [pa.array(c, t) for c, t in zip(zip(*(k for k, _ in found)), _TYPES)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([first for _, first in found]), pa.array([keys[0] == k for k, _ in found])], [*_ORDER, "first", "opens"])
+
+        for batch in batches:
+            for key in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(held) >= size and key != held[-1]:
+                    yield edges(held)
+                    held = []
+                held.append(key)
+        if held:
+            yield edges(held)
+
+    return run
+
+
+def _cut(sent):
+    """Of (page_id, url, html, known): rows of lines, one for the page's own range and one for each range that it is at the edge of."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        opens, also = sent.value
+        for batch in batches:
+            rows = []
+            for i, url, page, known in zip(*(c.to_pylist() for c in batch.columns)):
+                own = lines(page or "")
+                body = pack("\n".join(["".join(z for z, _ in own), *(x for _, x in own)]).encode("utf-8", "replace"))
+                key = _key(url, i, known)
+                span = bisect.bisect_right(opens, key) - 1
+                rows += [(x, x == span, *key, url, body) for x in (span, *also.get(key, ()))]
+            types = [pa.int64(), pa.bool_(), *_TYPES, pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, types)], ["span", "own", *_ORDER, "url", "body"])
+
+    return run
+
+
+def _ranges(keys: DataFrame, reach: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """The first key of every range, and for keys at an edge the other ranges that need them."""
+    parts = max(1, -(-keys.count() // SORTED))
+    found = keys.mapInArrow(_keys, _KEY).repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
+    rows = found.mapInArrow(_edges(RANGE, reach), f"{_KEY}, first boolean, opens boolean").toArrow()
+    columns = [rows[c].to_pylist() for c in [*_ORDER, "first", "opens"]]
+    edges = list(zip(zip(*columns[:6]), columns[6], columns[7]))
+    opens = sorted({k for k, _, o in edges if o})
+    also: dict[tuple, set[int]] = {}
+    near = sorted({k for k, *_ in edges})
+    for span in range(len(opens)):
+        at = bisect.bisect_left(near, opens[span])
+        for k in near[max(0, at - reach) : at]:  # the last keys before the range
+            also.setdefault(k, set()).add(span)
+        if span + 1 < len(opens):
+            at = bisect.bisect_left(near, opens[span + 1])
+            for k in near[at : at + reach]:  # the first keys after it
+                also.setdefault(k, set()).add(span)
+    return opens, {k: sorted(x) for k, x in also.items()}
 
 
 def _differenced(batches):
-    """Of pages sorted by host, bucket and path: each page's text, told from the pages before and after it."""
+    """Of pages sorted by range and path: each own page's text, told from the pages before and after it."""
     unpack = zstandard.ZstdDecompressor().decompress
 
     def pages():
         for batch in batches:
-            for key in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                zones, *texts = unpack(key[4]).decode().split("\n")
-                yield key[:2], key[2], key[3], list(zip(zones, texts))
+            for span, own, host, page_id, url, body in zip(*(c.to_pylist() for c in batch.columns)):
+                zones, *texts = unpack(body).decode().split("\n")
+                yield (span, host), None if page_id == _LEAST else page_id, url, list(zip(zones, texts)), own
 
     def rows():
         before, now = None, None
         for after in pages():
-            if now:
+            if now and now[4]:
                 yield now, before, after
             before, now = now, after
-        if now:
+        if now and now[4]:
             yield now, before, None
 
     held: list[tuple] = []
@@ -222,12 +297,9 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html has no text; a null or odd url is of the empty host. Rows with equal or null ids are pages each
     for itself, and so may be each other's neighbour. An empty table gives no rows. Other columns are left out.
     """
-    cut = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_cut, _CUT)
-    hosts = pages.select(F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#]*)", 1)).alias("host"))
-    large = hosts.groupBy("host").count().where(F.col("count") > BUCKET).select("host", F.ceil(F.col("count") / BUCKET).alias("buckets"))
-    if large.count() <= MAX_SENT_HOSTS:
-        large = F.broadcast(large)
-    dealt = cut.join(large, "host", "left").withColumn("bucket", F.pmod(F.xxhash64("head", "leaf"), F.coalesce("buckets", F.lit(1))))
-    near = dealt.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "head", F.length("leaf"), "leaf", "page_id", "body")
-    found = near.select("host", "bucket", "page_id", "url", "body").mapInArrow(_differenced, "page_id long, url string, text string")
+    known = F.xxhash64(F.col("html").cast("string")).alias("known")
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), known)
+    sent = pages.sparkSession.sparkContext.broadcast(_ranges(plain.select("page_id", "url", "known"), 1))
+    near = plain.mapInArrow(_cut(sent), _CUT).repartition("span").sortWithinPartitions("span", *_ORDER)
+    found = near.select("span", "own", "host", "id", "url", "body").mapInArrow(_differenced, "page_id long, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))
