@@ -124,6 +124,21 @@ def test_pages_of_large_hosts_meet_their_nearest(spark, monkeypatch):
     assert got == {100 * s + i: f"Text {s} {i} of its own\nMore of {s} {i}" for s in range(300) for i in range(3)}
 
 
+def test_pages_of_little_but_furniture(spark):
+    menu = [f"Menu entry number {k} of this site" for k in range(30)]
+    block = lambda x: "".join(f"<div>{line}</div>" for line in x)
+    page = lambda x: f"<body>{block(menu)}{block(x)}<div>All rights reserved</div></body>"
+    text = [f"Long sentence {k} that only this page and its near copy have, with many words in it" for k in range(60)]
+    rows = [(i, f"http://a.org/x/{i}", page([f"Text {i} is here"])) for i in range(6)]
+    rows += [(20 + i, f"http://b.org/x/{i}", page([f"Text {i} is here"])) for i in (0, 1, 4, 5)]
+    rows += [(20 + i, f"http://b.org/x/{i}", page([*text, f"Edition {i}"])) for i in (2, 3)]
+    rows += [(40 + i, f"http://c.org/x/{i}", page(["The same", "everywhere"] if i < 3 else [f"Text {i}"])) for i in range(5)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(6)} == {i: f"Text {i} is here" for i in range(6)}
+    assert {i: got[20 + i] for i in (2, 3)} == {i: "\n".join([*text, f"Edition {i}"]) for i in (2, 3)}
+    assert [got[40 + i] for i in range(5)] == ["The same\neverywhere"] * 3 + ["Text 3", "Text 4"]
+
+
 def test_furniture():
     page = "<header>top</header><nav><ul><li>menu</ul></nav><div class='site-ads x'>buy</div><main><header><h1>Title</h1></header>One<br>two<aside>no</aside><form>mail <input></form><p hidden>no<p>Three &am &amp</main><div id=comments>me too</div><footer>end"
     assert pages.main_text(pages.lines(page), []) == "Title\nOne two\nThree &am &"

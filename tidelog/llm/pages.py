@@ -3,7 +3,7 @@
 A page is cut into text lines, one for each block element, and each line knows where it stands: in the marked article,
 in marked furniture (menus, footers, adverts, forms and so on), or in neither. Pages of a host are sorted by URL path; a
 page's lines are aligned with those of the pages before and after it by longest common subsequence, and lines that they
-share are furniture too. Lines of a marked article are never deleted for being shared: two pages may quote one passage.
+share are furniture too. Where nearly all is shared, more pages near it are asked, as two pages may be near copies. Lines of a marked article are never deleted for being shared: two pages may quote one passage.
 Markup decides where it speaks, differencing where it doesn't.
 """
 
@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import bisect
 import html
+import itertools
 import re
+from collections import Counter, deque
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -19,12 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a range of the sorted paths; a range also gets the page before it and the page after it.
+#: Pages of a range of the sorted paths; a range also gets the pages within reach before and after it.
 RANGE = 512
 #: Pages of a part in which paths are sorted to find the ranges.
 SORTED = 16_384
-#: If so much of a page's unmarked text is shared with a neighbour, that one is a copy and tells nothing.
+#: If more of a page's unmarked text is shared with a neighbour, that one may be a near copy, and other pages are asked as well.
 COPY = 0.8
+#: Pages before and after a page that may be asked.
+REACH = 4
 
 # Names of elements and words of their class, id or role.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -143,16 +147,30 @@ def common(a: list[str], b: list[str]) -> list[int]:
     return found[::-1]
 
 
-def main_text(own: list[tuple[str, str]], neighbours: list[list[tuple[str, str]]]) -> str:
-    """The page's main text, told from its neighbours' lines."""
+def main_text(own: list[tuple[str, str]], before: list[list[tuple[str, str]]], after: list[list[tuple[str, str]]] = ()) -> str:
+    """The page's main text, told from the lines of the pages before and after it, nearest first.
+
+    Pages with the same unmarked lines are copies and tell nothing; the next ones are asked. Lines shared with the nearest
+    page on a side are furniture. If that is over COPY of the text, it may be a near copy or a page of little but
+    furniture; then only lines that over half of the pages within reach have, and two at least, are furniture.
+    """
     if any(z == "a" for z, _ in own):
         return "\n".join(x for z, x in own if z == "a")
     loose = [x for z, x in own if z == "u"]
+    sides = [[y for other in side if (y := [x for z, x in other if z == "u"]) != loose] for side in (before, after)]
+    total = COPY * sum(map(len, loose))
     shared: set[int] = set()
-    for other in neighbours:
-        found = common(loose, [x for z, x in other if z == "u"])
-        if sum(len(loose[i]) for i in found) <= COPY * sum(map(len, loose)):
+    unsure = False
+    for side in sides:
+        found = common(loose, side[0]) if side else []
+        if sum(len(loose[i]) for i in found) <= total:
             shared.update(found)
+        else:
+            unsure = True
+    if unsure:
+        asked = set(map(tuple, sides[0] + sides[1]))  # copies of each other speak once
+        votes = Counter(i for other in asked for i in common(loose, list(other)))
+        shared.update(i for i, n in votes.items() if n > 1 and 2 * n > len(asked))
     return "\n".join(x for i, x in enumerate(loose) if i not in shared)
 
 
@@ -264,13 +282,17 @@ def _differenced(batches):
                 yield (span, host), None if page_id == _LEAST else page_id, url, list(zip(zones, texts)), own
 
     def rows():
-        before, now = None, None
-        for after in pages():
-            if now and now[4]:
-                yield now, before, after
-            before, now = now, after
-        if now and now[4]:
-            yield now, before, None
+        near: deque = deque()  # a page with up to REACH pages on both sides
+        at = 0
+        for page in itertools.chain(pages(), [None] * REACH):
+            near.append(page)
+            if len(near) > REACH:
+                if near[at]:
+                    yield near[at], [x for x in list(near)[:at][::-1]], [x for x in list(near)[at + 1 :]]
+                if at == REACH:
+                    near.popleft()
+                else:
+                    at += 1
 
     held: list[tuple] = []
     size = 0
@@ -279,9 +301,11 @@ def _differenced(batches):
         ids, urls, texts = zip(*held)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    for now, before, after in rows():
-        near = [x[3] for x in (before, after) if x and x[0] == now[0]]
-        held.append((now[1], now[2], text := main_text(now[3], near)))
+    for now, *sides in rows():
+        if not now[4]:
+            continue
+        near = [[x[3] for x in side if x and x[0] == now[0]] for side in sides]
+        held.append((now[1], now[2], text := main_text(now[3], *near)))
         size += len(text)
         if size > 1 << 23:
             yield batch()
@@ -299,7 +323,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     known = F.xxhash64(F.col("html").cast("string")).alias("known")
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), known)
-    sent = pages.sparkSession.sparkContext.broadcast(_ranges(plain.select("page_id", "url", "known"), 1))
+    sent = pages.sparkSession.sparkContext.broadcast(_ranges(plain.select("page_id", "url", "known"), REACH))
     near = plain.mapInArrow(_cut(sent), _CUT).repartition("span").sortWithinPartitions("span", *_ORDER)
     found = near.select("span", "own", "host", "id", "url", "body").mapInArrow(_differenced, "page_id long, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))
