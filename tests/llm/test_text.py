@@ -162,6 +162,14 @@ def test_decontamination_finds_exact_and_changed_copies(spark):
     assert decontam.matches(docs.limit(0), bench).count() == 0 and decontam.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_items_of_mostly_placeholders_are_found(spark):
+    items = ["What is 12 + 35?", "12 14 16 18 20 22 24 26 28 30", "1 apple 2 pears 3 figs 4 plums 5 nuts 6 dates 7 limes 8 kiwis", "So Ann Bob Cy Dan Eve Fay Gus Hal Ida Jon 1990", "9 + 3"]
+    texts = [f"Some words before it. {x} Some words after it." for x in items[:4]] + [items[4], "Before: What is 7 + 9? After.", "it was 12 and 35", "the sum 9 + 3 among others"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontam.matches(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 0)]
+
+
 def test_slots_must_be_consistent(spark):
     item = "first we add 4 to x and then we take 4 from y until both of them are 4 again and 4 more"
     mixed = "first we add 1 to x and then we take 2 from y until both of them are 3 again and 5 more"

@@ -6,6 +6,9 @@ Matches of a document and an item that lie on one diagonal are one occurrence. I
 consistently: wherever the item repeats a value, the document repeats one too. What share of the item's windows the
 consistent occurrences cover decides.
 
+A window of mostly placeholders says little as a template. Items with such windows are also looked for by their real
+values, and items with no others by templates with at least LEAST_WORDS words.
+
 Documents are screened by a bit map of the benchmark's windows, of fixed size, so only windows that may match travel.
 False bits cost a little shuffle and nothing else.
 """
@@ -22,10 +25,14 @@ from pyspark.sql import functions as F
 from tidelog.llm import textscan
 
 WINDOW = 8
-#: Shorter items are one window of their length, down to this.
+#: Shorter items are one window of their length, down to this. Still shorter ones must be a whole document.
 SHORTEST = 4
 #: Words (not placeholders) that a window of WINDOW tokens has at least; shorter windows in proportion.
 LITERAL = 5
+#: Words that a template of mostly placeholders has at least.
+LEAST_WORDS = 2
+#: Forms of a window: a template; the values themselves; a template of mostly placeholders.
+TEMPLATE, VALUES, LOOSE = range(3)
 COVERAGE = 0.5
 CONSISTENT = 0.75
 BITS = 23
@@ -86,59 +93,79 @@ class Template:
         self.slot = number | name | unit
         self.token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.value)))
         self.sums = textscan.sums(self.token) if len(self.token) else np.zeros(1, np.uint64)
+        self.exact = textscan.sums(self.value) if len(self.value) else np.zeros(1, np.uint64)
         self.words = np.concatenate([[0], np.cumsum(~self.slot)])
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, n: int, form: int) -> tuple[np.ndarray, np.ndarray]:
         """Where windows of n tokens begin, and their hashes."""
         if len(self.token) < n:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         begin = np.arange(len(self.token) - n + 1)
-        begin = begin[(self.doc[begin] == self.doc[begin + n - 1]) & (self.words[begin + n] - self.words[begin] >= -(-n * LITERAL // WINDOW))]
-        return begin, textscan.piece_hash(self.sums, begin, begin + n)
-
-    def slots(self, begin: int, n: int) -> list[int]:
+        fits = self.doc[begin] == self.doc[begin + n - 1]
+        if n < SHORTEST:
+            fits &= np.diff(self.first)[self.doc[begin]] == n
+        words, least = self.words[begin + n] - self.words[begin], -(-n * LITERAL // WINDOW)
+        if form == TEMPLATE:
+            fits &= words >= least
+        elif form == LOOSE:
+            fits &= (words >= LEAST_WORDS) & (words < least)
+        begin = begin[fits]
+        return begin, textscan.piece_hash(self.exact if form == VALUES else self.sums, begin, begin + n) ^ np.uint64(form * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+    def slots(self, begin: int, n: int, form: int) -> list[int]:
+        if form == VALUES:
+            return []
         own = self.slot[begin : begin + n]
         return self.value[begin : begin + n][own].view(np.int64).tolist()
 
 
-_WINDOWS = "id long, h long, at int, n int, slots array<long>, total int"
+_WINDOWS = "id long, h long, at int, n int, form int, slots array<long>, total int"
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
-    columns = list(zip(*found)) if found else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "h", "at", "n", "slots", "total"])
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
+    columns = list(zip(*found)) if found else [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "h", "at", "n", "form", "slots", "total"])
 
 
 def _benchmark_windows(batches):
-    """All windows of the items; an item shorter than WINDOW is one window."""
+    """All windows of the items in each form that they need; an item shorter than WINDOW is one window."""
     for batch in batches:
         ids, t = batch.column(0).to_pylist(), Template(textscan.strings(batch.column(1)))
         sizes = np.diff(t.first)
+        every = np.maximum(sizes - WINDOW + 1, 1)
         out = []
-        for n in range(SHORTEST, WINDOW + 1):
-            begin, h = t.windows(n)
-            own = sizes[t.doc[begin]]
-            fits = own >= n if n == WINDOW else own == n
-            begin, h = begin[fits], h[fits].view(np.int64)
-            total = np.bincount(t.doc[begin], minlength=len(ids))
-            out += [(ids[d], x, b - int(t.first[d]), n, t.slots(b, n), int(total[d])) for d, x, b in zip(t.doc[begin].tolist(), h.tolist(), begin.tolist())]
+        for n in range(1, WINDOW + 1):
+            strict = None
+            for form in (TEMPLATE, VALUES, LOOSE):
+                if n < SHORTEST and form != VALUES:
+                    continue
+                begin, h = t.windows(n, form)
+                own = sizes[t.doc[begin]]
+                fits = own >= n if n == WINDOW else own == n
+                if form == TEMPLATE:
+                    strict = np.bincount(t.doc[begin[fits]], minlength=len(ids))
+                elif strict is not None:
+                    fits &= (strict < every if form == VALUES else strict == 0)[t.doc[begin]]
+                begin, h = begin[fits], h[fits].view(np.int64)
+                total = np.bincount(t.doc[begin], minlength=len(ids))
+                out += [(ids[d], x, b - int(t.first[d]), n, form, t.slots(b, n, form), int(total[d])) for d, x, b in zip(t.doc[begin].tolist(), h.tolist(), begin.tolist())]
         yield _rows(out)
 
 
-def _document_windows(sent, lengths: list[int]):
+def _document_windows(sent, kinds: list[tuple[int, int]]):
     def run(batches):
         bits = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), textscan.strings(batch.column(1))
             for a, b in textscan.chunks(texts):
                 t, out = Template(texts[a:b]), []
-                for n in lengths:
-                    begin, h = t.windows(n)
+                for n, form in kinds:
+                    begin, h = t.windows(n, form)
                     hit = bits[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)]
                     begin, h = begin[hit], h[hit].view(np.int64)
-                    out += [(ids[a + d], x, p - int(t.first[d]), n, t.slots(p, n), 0) for d, x, p in zip(t.doc[begin].tolist(), h.tolist(), begin.tolist())]
+                    out += [(ids[a + d], x, p - int(t.first[d]), n, form, t.slots(p, n, form), 0) for d, x, p in zip(t.doc[begin].tolist(), h.tolist(), begin.tolist())]
                 if out:
                     yield _rows(out)
 
@@ -149,8 +176,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
     """doc_id, item_id, windows (of the item that the document has), coverage (their share) and consistency, for contaminated pairs.
 
     consistency is the share of the item's slot values that each have one value in an occurrence; occurrences below
-    consistent are left out, one without slots is consistent. Null and empty texts match nothing, and an item of fewer
-    than SHORTEST tokens can't be found. Rows with one id are one document or item; rows with a null id are left out.
+    consistent are left out, one without slots is consistent. Each form of windows counts for itself, and the one with
+    the largest coverage is shown. Null and empty texts match nothing, and an item of fewer than SHORTEST tokens is found
+    only where it is all of a document, as words that few are in many. Rows with one id are one document or item; rows with a null id are left out.
     An empty table gives no rows. Other columns are left out.
     """
     spark = docs.sparkSession
@@ -158,20 +186,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
     items = items.withColumnsRenamed({"id": "item_id", "at": "item_at", "slots": "item_slots"})
     # at most a row for each bit, however large the benchmark
     marks = items.select(F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("bit")).distinct().toArrow()["bit"]
-    lengths = sorted(r.n for r in items.select("n").distinct().collect())
+    kinds = sorted((r.n, r.form) for r in items.select("n", "form").distinct().collect())
     map_ = np.zeros(1 << BITS, bool)
     map_[np.asarray(marks)] = True
     sent = spark.sparkContext.broadcast(np.packbits(map_, bitorder="little").tobytes())
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = own.mapInArrow(_document_windows(sent, lengths), _WINDOWS).drop("total").withColumnsRenamed({"id": "doc_id"})
-    met = found.join(items, ["h", "n"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
-    occurrence = ["doc_id", "item_id", "diagonal"]
+    found = own.mapInArrow(_document_windows(sent, kinds), _WINDOWS).drop("total").withColumnsRenamed({"id": "doc_id"})
+    met = found.join(items, ["h", "n", "form"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
+    occurrence = ["doc_id", "item_id", "form", "diagonal"]
     pairs = met.select(*occurrence, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*occurrence, "s.item_slots", "s.slots").distinct()
     kept = pairs.groupBy(*occurrence, "item_slots").agg(F.count("*").alias("values"))
     kept = kept.groupBy(*occurrence).agg(F.avg((F.col("values") == 1).cast("double")).alias("consistency"))
     good = met.join(kept, occurrence, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= consistent)
-    sums = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("windows"), F.max("total").alias("total"), F.max("consistency").alias("consistency"))
-    return sums.withColumn("coverage", F.col("windows") / F.col("total")).where(F.col("coverage") >= coverage).select("doc_id", "item_id", "windows", "coverage", "consistency")
+    sums = good.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("item_at").alias("windows"), F.max("total").alias("total"), F.max("consistency").alias("consistency"))
+    best = F.max(F.struct((F.col("windows") / F.col("total")).alias("coverage"), "windows", "consistency")).alias("best")
+    return sums.groupBy("doc_id", "item_id").agg(best).where(F.col("best.coverage") >= coverage).select("doc_id", "item_id", "best.windows", "best.coverage", "best.consistency")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
