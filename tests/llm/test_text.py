@@ -170,6 +170,15 @@ def test_items_of_mostly_placeholders_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 0)]
 
 
+def test_names_do_not_depend_on_case_and_line_ends(spark):
+    counted = "Every day Tom buys 3 apples and 5 pears, so after 3 days he has spent 12 dollars on fruit."
+    named = "the Visit of Anna to old Berlin was when young Peter and his Uncle met the great Doctor near our River"
+    texts = [counted.replace("3 days", "8 days").replace("3", "4", 1).upper(), named.lower(), named.upper(), named.replace(" ", "\n"), named.replace("Anna", "Maria").replace(" ", "\n")]
+    docs = spark.createDataFrame([(i, f"so it is said {x}") for i, x in enumerate(texts)], "doc_id long, text string")
+    rows = decontam.matches(docs, spark.createDataFrame([(5, counted), (6, named)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 5), (1, 6), (2, 6), (3, 6), (4, 6)]
+
+
 def test_slots_must_be_consistent(spark):
     item = "first we add 4 to x and then we take 4 from y until both of them are 4 again and 4 more"
     mixed = "first we add 1 to x and then we take 2 from y until both of them are 3 again and 5 more"

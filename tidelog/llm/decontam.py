@@ -6,7 +6,8 @@ Matches of a document and an item that lie on one diagonal are one occurrence. I
 consistently: wherever the item repeats a value, the document repeats one too. What share of the item's windows the
 consistent occurrences cover decides.
 
-A window of mostly placeholders says little as a template. Items with such windows are also looked for by their real
+What is a name is told from capitals, which copies may change: windows are also indexed with names as words in small
+form. A window of mostly placeholders says little as a template. Items with such windows are also looked for by their real
 values, and items with no others by templates with at least LEAST_WORDS words.
 
 Documents are screened by a bit map of the benchmark's windows, of fixed size, so only windows that may match travel.
@@ -31,8 +32,8 @@ SHORTEST = 4
 LITERAL = 5
 #: Words that a template of mostly placeholders has at least.
 LEAST_WORDS = 2
-#: Forms of a window: a template; the values themselves; a template of mostly placeholders.
-TEMPLATE, VALUES, LOOSE = range(3)
+#: Forms of a window: a template; the values themselves; a template of mostly placeholders; a template where names are words.
+TEMPLATE, VALUES, LOOSE, BLIND = range(4)
 COVERAGE = 0.5
 CONSISTENT = 0.75
 BITS = 23
@@ -79,7 +80,7 @@ class Template:
         small = textscan.lowered(cp)
         self.value = textscan.piece_hash(textscan.sums(textscan.values_of(small)), starts, ends) if len(starts) else np.empty(0, np.uint64)
         number = cls[starts] == textscan.NUMBER
-        stop = np.concatenate([[0], np.cumsum((cp == 0x2E) | (cp == 0x21) | (cp == 0x3F) | (cp == 0x0A) | (cp == 0x3A))])
+        stop = np.concatenate([[0], np.cumsum((cp == 0x2E) | (cp == 0x21) | (cp == 0x3F) | (cp == 0x3A))])
         opens = np.ones(len(starts), bool)
         if len(starts) > 1:
             opens[1:] = (self.doc[1:] != self.doc[:-1]) | (stop[starts[1:]] > stop[ends[:-1]])
@@ -90,11 +91,12 @@ class Template:
         if len(starts) > 1:
             after[1:] = number[:-1] & (self.doc[1:] == self.doc[:-1])
         unit = ~number & after & np.isin(self.value, _unit_hashes())
-        self.slot = number | name | unit
+        self.slot, self.blind_slot = number | name | unit, number | unit
         self.token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.value)))
         self.sums = textscan.sums(self.token) if len(self.token) else np.zeros(1, np.uint64)
+        self.blind = textscan.sums(np.where(number, _NUMBER, np.where(unit, _UNIT, self.value))) if len(self.token) else np.zeros(1, np.uint64)
         self.exact = textscan.sums(self.value) if len(self.value) else np.zeros(1, np.uint64)
-        self.words = np.concatenate([[0], np.cumsum(~self.slot)])
+        self.words, self.blind_words = (np.concatenate([[0], np.cumsum(~x)]) for x in (self.slot, self.blind_slot))
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
     def windows(self, n: int, form: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +107,20 @@ class Template:
         fits = self.doc[begin] == self.doc[begin + n - 1]
         if n < SHORTEST:
             fits &= np.diff(self.first)[self.doc[begin]] == n
-        words, least = self.words[begin + n] - self.words[begin], -(-n * LITERAL // WINDOW)
-        if form == TEMPLATE:
+        upto = self.blind_words if form == BLIND else self.words
+        words, least = upto[begin + n] - upto[begin], -(-n * LITERAL // WINDOW)
+        if form in (TEMPLATE, BLIND):
             fits &= words >= least
         elif form == LOOSE:
             fits &= (words >= LEAST_WORDS) & (words < least)
         begin = begin[fits]
-        return begin, textscan.piece_hash(self.exact if form == VALUES else self.sums, begin, begin + n) ^ np.uint64(form * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        sums = self.exact if form == VALUES else self.blind if form == BLIND else self.sums
+        return begin, textscan.piece_hash(sums, begin, begin + n) ^ np.uint64(form * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
     def slots(self, begin: int, n: int, form: int) -> list[int]:
         if form == VALUES:
             return []
-        own = self.slot[begin : begin + n]
+        own = (self.blind_slot if form == BLIND else self.slot)[begin : begin + n]
         return self.value[begin : begin + n][own].view(np.int64).tolist()
 
 
@@ -138,7 +142,7 @@ def _benchmark_windows(batches):
         out = []
         for n in range(1, WINDOW + 1):
             strict = None
-            for form in (TEMPLATE, VALUES, LOOSE):
+            for form in (TEMPLATE, VALUES, LOOSE, BLIND):
                 if n < SHORTEST and form != VALUES:
                     continue
                 begin, h = t.windows(n, form)
@@ -146,7 +150,7 @@ def _benchmark_windows(batches):
                 fits = own >= n if n == WINDOW else own == n
                 if form == TEMPLATE:
                     strict = np.bincount(t.doc[begin[fits]], minlength=len(ids))
-                elif strict is not None:
+                elif form != BLIND and strict is not None:
                     fits &= (strict < every if form == VALUES else strict == 0)[t.doc[begin]]
                 begin, h = begin[fits], h[fits].view(np.int64)
                 total = np.bincount(t.doc[begin], minlength=len(ids))
