@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -97,9 +99,8 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     assert all(got[10 * i + 2] == 10 * i + 2 and got[10 * i] == 10 * i for i in range(150))
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 2])
-def test_links_have_the_similarity(spark, block, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+@pytest.mark.parametrize("small", [{}, {"block": 1000}, {"crowd": 4, "one_in": 1, "block": 500}])
+def test_links_have_the_similarity(spark, small):
     r = random.Random(8)
     words = [f"w{i}" for i in range(5000)]
     shingles = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
@@ -114,12 +115,51 @@ def test_links_have_the_similarity(spark, block, monkeypatch):
         rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(close))]
     base = [r.choice(words) for _ in range(600)]
     rows += [(1000 + i, " ".join(base[20 * i : 20 * i + 400])) for i in range(7)]  # each is similar to the next, the first and the last are not
-    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), **small).collect()}
     assert min(near.values()) < 0.65 and max(near.values()) >= 0.88 and sum(0.7 <= x < 0.8 for x in near.values()) > 20
     assert {i: got[2 * i + 1] == 2 * i for i in near} == {i: x >= 0.8 for i, x in near.items()}
     assert {got[1000 + i] for i in range(7)} == {1000}
 
 
+@pytest.mark.parametrize("crowd", [4, 40])
+def test_crowded_shards_lose_no_link(spark, crowd):
+    r = np.random.default_rng(5)
+    fp = np.concatenate([np.repeat(r.integers(0, 1 << 63, 3).astype(np.uint64), [400, 150, 50]), r.integers(0, 1 << 63, 200).astype(np.uint64)])
+    for _ in range(6):
+        fp ^= np.where(r.random(len(fp)) < 0.7, np.uint64(1) << r.integers(0, 12, len(fp)).astype(np.uint64), np.uint64(0))
+    fp = np.unique(fp)
+    want = closed(np.arange(len(fp)), [np.flatnonzero(np.bitwise_count(fp ^ f) <= 4) for f in fp])
+    rows = spark.createDataFrame([(int(f.view(np.int64)), i) for i, f in enumerate(fp)], "fp long, rep long")
+    got = {row.u: row.v for row in components.components(simhash.links(rows, 4, crowd=crowd, one_in=1)).collect()}
+    assert [got.get(i, i) for i in range(len(fp))] == want.tolist()
+
+
+def test_a_large_group_of_near_copies_fits_a_worker():
+    """20,000 sketches 40 of 256 bits from one centre, searched in a process of their own."""
+    code = """
+import resource, numpy as np
+from tidelog.llm import simhash
+r = np.random.default_rng(1)
+centre = r.integers(0, 2, 256)
+bits = np.repeat(centre[None], 20000, 0)
+for row in bits:
+    row[r.choice(256, 40, replace=False)] ^= 1
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+label = simhash.Forest(np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64), np.zeros(20000)).groups(simhash.radius_for(0.8))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, len(np.unique(label)))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
+    grown, groups = map(int, out.stdout.split())
+    assert grown < 200 and groups < 100
+
+
+def test_clashing_names_near(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3), (2, "a b c", 1, 2, 3), (3, "d e f", 1, 2, 3)], "doc_id long, text string, _keep int, key int, KNOWN int")
+    kept = simhash.keep_first(docs.unionByName(docs.where("doc_id = 3")))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_tables_follow_the_input():
     assert len(simhash.tables(10, 0.8)[0]) < len(simhash.tables(10**9, 0.8)[0])
     assert len(simhash.tables(10**9, 0.8)) > len(simhash.tables(10**9, 0.9))

@@ -14,17 +14,21 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a vertex is tied to the smallest vertex around it."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """Every larger neighbour of a vertex is tied to the smallest vertex around it.
+
+    Edges go from u to a smaller v, so only where u is the vertex can its smallest neighbour be smaller than itself. A
+    vertex with very many neighbours is one of few smaller ones, v, where only its own smallest neighbour is asked for:
+    a join of written tables, whose large partitions Spark splits.
+    """
+    least = shared.keep(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    own = least.select(F.col("u").alias("v"), "m")
+    return edges.join(own, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A vertex and its smaller neighbours are tied to the smallest of them. Edges go from u to a smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u")
-    down = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = shared.keep(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    down = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 

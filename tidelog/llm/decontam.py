@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm import textscan
+from tidelog.llm import shared, textscan
 
 WINDOW = 8
 #: Shorter items are one window of their length, down to this. Still shorter ones must be a whole document.
@@ -186,7 +186,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
     An empty table gives no rows. Other columns are left out.
     """
     spark = docs.sparkSession
-    items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long"), F.col("text").cast("string")).distinct().mapInArrow(_benchmark_windows, _WINDOWS)
+    items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long"), F.col("text").cast("string")).distinct().mapInArrow(shared.lean(_benchmark_windows), _WINDOWS)
     items = items.withColumnsRenamed({"id": "item_id", "at": "item_at", "slots": "item_slots"})
     # at most a row for each bit, however large the benchmark
     marks = items.select(F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("bit")).distinct().toArrow()["bit"]
@@ -195,7 +195,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
     map_[np.asarray(marks)] = True
     sent = spark.sparkContext.broadcast(np.packbits(map_, bitorder="little").tobytes())
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = own.mapInArrow(_document_windows(sent, kinds), _WINDOWS).drop("total").withColumnsRenamed({"id": "doc_id"})
+    found = own.mapInArrow(shared.lean(_document_windows(sent, kinds)), _WINDOWS).drop("total").withColumnsRenamed({"id": "doc_id"})
     met = found.join(items, ["h", "n", "form"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
     occurrence = ["doc_id", "item_id", "form", "diagonal"]
     pairs = met.select(*occurrence, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*occurrence, "s.item_slots", "s.slots").distinct()
@@ -208,6 +208,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, unchanged. Rows with a null id stay."""
-    found = matches(docs, benchmark, id_col, text).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_found"), "left_anti")
+    """The rows of docs that hold no item, unchanged.
+
+    Rows with a null id and null or empty texts stay. Rows with one id are one document: all stay or all go. An empty
+    table gives no rows, an empty benchmark all. Other columns may have any names.
+    """
+    key = shared.unused(docs, "found")
+    found = matches(docs, benchmark, id_col, text).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(found, F.col(id_col).cast("long") == F.col(key), "left_anti")

@@ -122,16 +122,16 @@ def write(docs: DataFrame, path: str, file: str, end_id: int, id_col: str = "doc
     ordered by their roots. An empty table gives a store without recipes. Other columns are not stored.
     """
     spark = docs.sparkSession
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_encode(file, end_id, f"<u{_width(file, end_id)}"), _RAW)
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(shared.lean(_encode(file, end_id, f"<u{_width(file, end_id)}")), _RAW)
     # each distinct chunk meets its copies in one place; recipes spread by their roots and ids
     dealt = raw.repartition(F.xxhash64("digest", "doc_id")).sortWithinPartitions("kind", "digest")
-    dealt.mapInArrow(_first_of_each, _RAW).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/raw")
+    dealt.mapInArrow(shared.lean(_first_of_each), _RAW).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/raw")
     recipes = spark.read.schema(_RAW).parquet(f"{path}/raw").where("kind = 1").select("doc_id", "n_tokens", F.col("digest").alias("root"), F.col("body").alias("digests"))
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("root")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(_order, "doc_id long, n_tokens long, root binary, digests binary, part int, local_start long, place long").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
+    ordered.mapInArrow(shared.lean(_order), "doc_id long, n_tokens long, root binary, digests binary, part int, local_start long, place long").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
     stored = _recipes(spark, path)
     one = stored.select("doc_id", "n_tokens", "root", "digests", "part", "place").repartition("part").sortWithinPartitions("part", "place")
-    one.mapInArrow(_roots_by_part, "part int, docs long, tokens long, root binary").write.parquet(f"{path}/manifest")
+    one.mapInArrow(shared.lean(_roots_by_part), "part int, docs long, tokens long, root binary").write.parquet(f"{path}/manifest")
 
 
 def _roots_by_part(batches):
@@ -284,9 +284,9 @@ def read(spark: SparkSession, path: str, file: str, end_id: int) -> DataFrame:
     digests found, put in the recipe's order, have the recipe's root and as many ids as it says.
     """
     own = recipes(spark, path)
-    chunks = _chunks(spark, path).mapInArrow(_checked(_width(file, end_id)), "found binary, name binary, crc long, n long")
+    chunks = _chunks(spark, path).mapInArrow(shared.lean(_checked(_width(file, end_id))), "found binary, name binary, crc long, n long")
     parts = _listed(own).join(chunks, "name").select("uid", "seq", "found", "crc", "n")
-    whole = parts.repartition("uid").sortWithinPartitions("uid", "seq").mapInArrow(_assembled, _READ)
+    whole = parts.repartition("uid").sortWithinPartitions("uid", "seq").mapInArrow(shared.lean(_assembled), _READ)
     return own.join(whole, "uid", "left").select(
         "doc_id", "start", "n_tokens", "ids_crc32", F.coalesce((F.col("root") == F.col("root_read")) & (F.col("n_tokens") == F.col("n_read")), F.lit(False)).alias("verified")
     )

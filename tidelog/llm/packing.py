@@ -46,7 +46,7 @@ def _cut(file: str, end_id: int, capacity: int):
 
 def pieces(docs: DataFrame, file: str, end_id: int, capacity: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece. Only documents longer than capacity are cut, and only their first piece may be shorter than it."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_cut(file, end_id, capacity), _PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(shared.lean(_cut(file, end_id, capacity)), _PIECES)
 
 
 class _Gaps:

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import shared
+
 #: Pages of a range of the sorted paths; a range also gets the pages within reach before and after it.
 RANGE = 512
 #: Pages of a part in which paths are sorted to find the ranges.
@@ -253,8 +255,8 @@ def _cut(sent):
 def _ranges(keys: DataFrame, reach: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
     """The first key of every range, and for keys at an edge the other ranges that need them."""
     parts = max(1, -(-keys.count() // SORTED))
-    found = keys.mapInArrow(_keys, _KEY).repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
-    rows = found.mapInArrow(_edges(RANGE, reach), f"{_KEY}, first boolean, opens boolean").toArrow()
+    found = keys.mapInArrow(shared.lean(_keys), _KEY).repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
+    rows = found.mapInArrow(shared.lean(_edges(RANGE, reach)), f"{_KEY}, first boolean, opens boolean").toArrow()
     columns = [rows[c].to_pylist() for c in [*_ORDER, "first", "opens"]]
     edges = list(zip(zip(*columns[:6]), columns[6], columns[7]))
     opens = sorted({k for k, _, o in edges if o})
@@ -324,6 +326,6 @@ def extract(pages: DataFrame) -> DataFrame:
     known = F.xxhash64(F.col("html").cast("string")).alias("known")
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), known)
     sent = pages.sparkSession.sparkContext.broadcast(_ranges(plain.select("page_id", "url", "known"), REACH))
-    near = plain.mapInArrow(_cut(sent), _CUT).repartition("span").sortWithinPartitions("span", *_ORDER)
-    found = near.select("span", "own", "host", "id", "url", "body").mapInArrow(_differenced, "page_id long, url string, text string")
+    near = plain.mapInArrow(shared.lean(_cut(sent)), _CUT).repartition("span").sortWithinPartitions("span", *_ORDER)
+    found = near.select("span", "own", "host", "id", "url", "body").mapInArrow(shared.lean(_differenced), "page_id long, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -178,9 +178,19 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: fl
     A distance that can't be had (nothing to compare, fewer than MIN_CHARS characters in words, or MIN_WORDS_COMPARED words)
     rejects nothing. Columns of the input with the names of results are replaced.
     """
-    clash = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words", "class_hist", "words_hist", "class_distance", "word_distance"}
-    own = docs.drop(*[c for c in docs.columns if (c in clash or c.startswith("_")) and c not in (text, lang)])
-    return _verdict(shared.keep(features(own, text, lang), "quality"), lang, max_class, max_word)
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), *RESULTS)]
+    judged = _verdict(shared.keep(features(_whole(docs, text, lang, rest), "_text", "_lang"), "quality"), "_lang", max_class, max_word)
+    return judged.select(*[F.col("whole")[c].alias(c) for c in rest], *RESULTS)
+
+
+#: Columns that judge adds.
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
+
+
+def _whole(docs: DataFrame, text: str, lang: str, names: list[str]) -> DataFrame:
+    """Text and language under names of their own, with columns of the input as one struct, so no names clash."""
+    whole = F.struct(*[docs[c] for c in names]) if names else F.struct(F.lit(0).alias("_none"))
+    return docs.select(docs[text].alias("_text"), docs[lang].alias("_lang"), whole.alias("whole"))
 
 
 def _verdict(feats: DataFrame, lang: str, max_class: float, max_word: float) -> DataFrame:
@@ -198,10 +208,13 @@ def _verdict(feats: DataFrame, lang: str, max_class: float, max_word: float) ->
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """The rows of docs whose documents are kept, unchanged. No row is matched by id, so repeated and null ids do no harm."""
+    """The rows of docs whose documents are kept, unchanged.
+
+    No row is matched by id, so repeated and null ids do no harm, and equal rows have one verdict. Null and empty texts
+    fail the base rules. An empty table gives no rows. Other columns may have any names.
+    """
     names = docs.columns
-    whole = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.struct(*[docs[c] for c in names]).alias("whole"))
-    feats = shared.keep(features(whole, "_text", "_lang"), "quality")
+    feats = shared.keep(features(_whole(docs, text, lang, names), "_text", "_lang"), "quality")
     judged = _verdict(feats, "_lang", max_class, max_word)
     return judged.where("kept").select(*[F.col("whole")[c].alias(c) for c in names])
 

@@ -1,24 +1,79 @@
-"""Tables written between steps, in the folder that driver and executors share."""
+"""Tables written between steps, in the folder that driver and executors share, and what all Python workers do alike."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch that a Python worker takes at once; a larger row is a batch of its own.
+PART_BYTES = 8 << 20
+
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where it is unset (tests) does a temporary folder take its place."""
+    """spark.checkpoint.dir of the session, or the folder of setCheckpointDir. Where both are unset, a temporary folder
+    takes their place in local mode (tests), and on a cluster, whose executors would not see that, it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
         at = sc._jsc.sc().getCheckpointDir().get()
     return at.rstrip("/")
 
 
+def parts(batch: pa.RecordBatch, limit: int = PART_BYTES):
+    """The batch in halves of halves, until each has limit bytes at most or one row."""
+    if batch.num_rows > 1 and batch.nbytes > limit:
+        half = batch.num_rows // 2
+        yield from parts(batch.slice(0, half), limit)
+        yield from parts(batch.slice(half), limit)
+    else:
+        yield batch
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda n: 0
+
+
+def release() -> None:
+    """Gives memory that is free in this process back to the system: workers wait for their next task beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def lean(run):
+    """The function over Arrow batches, with input in parts of bounded size; free memory goes back when its task ends."""
+
+    def bounded(batches):
+        try:
+            yield from run(part for batch in batches for part in parts(batch))
+        finally:
+            release()
+
+    return bounded
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Places made by this process, for clear().
 MADE: list[str] = []
 

@@ -7,7 +7,9 @@ a task are built and searched together as arrays. A shard returns a star for eac
 stars are joined to components. For links by similarity these are only candidates: within each, texts are linked by the
 exact similarity of their shingles.
 
-Trees are not broadcast: they grow with the corpus. Fingerprints travel to their shards instead.
+Trees are not broadcast: they grow with the corpus. Fingerprints travel to their shards instead. A shard or a group of
+candidates with more members than a task should hold (one text may have any number of near copies) is first thinned out
+by pivots, as crowds.py says, and only what they leave meets in blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm import components, shared, textscan
+from tidelog.llm import components, crowds, shared, textscan
 
 SHINGLE = 4
 RADIUS = 4
@@ -34,14 +35,19 @@ SEED = 42
 LANES = 4
 #: Of pairs that are just similar enough, the shares that the tables and the radius of a sketch should find as candidates.
 RECALL, WITHIN = 0.999, 0.999
-#: Texts of a group of candidates that meet in a task; those of larger groups meet by pairs of such blocks.
-BLOCK = 1024
+#: Shingles of a group of candidates whose texts meet in a task; a larger group has pivots and blocks.
+BLOCK = 1 << 17
+#: Fingerprints of a shard that are searched in a task; a larger shard has pivots and blocks.
+CROWD = 1 << 16
+#: Shards that large are found from one in so many representatives, by hash; all members of a shard so found are dealt anew.
+ONE_IN = 64
 #: Up to so many ids to remove are sent to the executors; more are joined by shuffle.
 MAX_SENT_IDS = 1_000_000
 #: Fingerprints that a shard holds by chance, at most, before bits are cut into more blocks.
 SHARD = 256
-_ROWS = 1 << 18
-_FRONT = 1 << 21
+_ROWS = 1 << 17
+#: Pairs of a seeker and a node that a search holds at once.
+_FRONT = 1 << 17
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -92,7 +98,7 @@ def _fingerprints(words: int):
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp (64 bits as a long) of every row; a null text is empty and has fingerprint 0."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(shared.lean(_fingerprints(words)), "doc_id long, fp long")
 
 
 def masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -164,9 +170,12 @@ class Forest:
             np.minimum.at(low, self.parent[child], low[child])
             np.maximum.at(high, self.parent[child], high[child])
         links: set[tuple[int, int]] = set()
-        todo = [(seekers[a : a + _FRONT], self.root[seekers[a : a + _FRONT]]) for a in range(0, len(seekers), _FRONT)]
+        # what is to be done: seekers, and the slices of kids that each one goes on to; their nodes are laid out only then
+        todo = [(seekers[a : a + _FRONT], self.root[seekers[a : a + _FRONT]], None) for a in range(0, len(seekers), _FRONT)]
         while todo:
-            seeker, node = todo.pop()
+            seeker, node, count = todo.pop()
+            if count is not None:
+                seeker, node = np.repeat(seeker, count), self.kids[textscan.slices(node, count)]
             done = (low[node] == high[node]) & (low[node] == label[seeker])
             seeker, node = seeker[~done], node[~done]
             if not len(seeker):
@@ -177,12 +186,12 @@ class Forest:
                 pairs = np.unique(label[seeker[hit]] * len(label) + label[node[hit]])
                 links.update(zip((pairs // len(label)).tolist(), (pairs % len(label)).tolist()))
             lo = np.searchsorted(self.key, node * self.most + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.key, node * self.most + np.minimum(d + radius, self.most - 1), "right")
-            count = hi - lo
-            for a in range(0, len(node), _FRONT // 8):  # small slices: a node may have many children
-                c = count[a : a + _FRONT // 8]
-                if c.any():
-                    todo.append((np.repeat(seeker[a : a + len(c)], c), self.kids[textscan.slices(lo[a : a + len(c)], c)]))
+            count = np.searchsorted(self.key, node * self.most + np.minimum(d + radius, self.most - 1), "right") - lo
+            some = count > 0
+            seeker, lo, count = seeker[some], lo[some], count[some]
+            upto = np.cumsum(count)
+            cut = [0, *np.searchsorted(upto, np.arange(_FRONT, upto[-1] if len(upto) else 0, _FRONT)).tolist(), len(count)]
+            todo += [(seeker[a:b], lo[a:b], count[a:b]) for a, b in itertools.pairwise(cut) if b > a]
         return links
 
 
@@ -205,17 +214,16 @@ def _merged(label: np.ndarray, links: set[tuple[int, int]]) -> np.ndarray:
 
 
 def _stars(radius: int):
-    """Of rows (mask, bits, fp or sketch, rep) sorted by shard and rep: each row that isn't the first of its group, with that first."""
+    """Of rows (mask, bits, i, j, rep, words of the fingerprint) sorted by task and rep: each row that isn't the first of its group, with that first."""
+
+    def shard(table):
+        return [np.asarray(table[c]) for c in _SHARD]
 
     def solve(table):
-        mask, bits = np.asarray(table["mask"]), np.asarray(table["bits"])
         rep = np.asarray(table["rep"])
-        if "fp" in table.column_names:
-            fp = np.asarray(table["fp"]).view(np.uint64)
-        else:
-            fp = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(len(rep), -1)
+        fp = np.stack([np.asarray(c) for c in table.columns[5:]], axis=1).view(np.uint64)
         new = np.ones(len(fp), bool)
-        new[1:] = (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])
+        new[1:] = np.any([c[1:] != c[:-1] for c in shard(table)], axis=0)
         label = Forest(fp, np.cumsum(new)).groups(radius)
         tied = np.flatnonzero(label != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(rep[tied]), pa.array(rep[label[tied]])], ["u", "v"])
@@ -228,26 +236,52 @@ def _stars(radius: int):
             if size < _ROWS:
                 continue
             table = pa.Table.from_batches(rest).combine_chunks()
-            mask, bits = np.asarray(table["mask"]), np.asarray(table["bits"])
-            same = (mask == mask[-1]) & (bits == bits[-1])
-            cut = int(np.argmax(same))
+            cut = int(np.argmax(np.all([c == c[-1] for c in shard(table)], axis=0)))
             if cut:
                 yield solve(table.slice(0, cut).combine_chunks())
             rest = table.slice(cut).to_batches()
-            size = len(mask) - cut
+            size = len(table) - cut
         if size:
             yield solve(pa.Table.from_batches(rest).combine_chunks())
 
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+_SHARD = ["mask", "bits", "i", "j"]
+
+
+def _differ(words: list[str]) -> Column:
+    """Bits in which a member differs from its pivot."""
+    return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot.{w}"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"pivot.{words[0]}"))))
+
+
+def _starred(dealt: DataFrame, words: list[str], radius: int, crowd: int = CROWD, one_in: int = ONE_IN) -> DataFrame:
+    """Edges (u, v) that leave the components of each shard's links. dealt: mask, bits, rep and the words of a fingerprint."""
+    key = ["mask", "bits"]
+    some = dealt.where(F.pmod(F.xxhash64("rep"), F.lit(one_in)) == 0)
+    hot = shared.keep(some.groupBy(*key).count().where(F.col("count") * one_in >= crowd).select(*key), "hot")
+    plain, edges = dealt, None
+    if hot.limit(1).count():
+        few = crowds.sent(hot)
+        plain = dealt.join(few, key, "left_anti")
+        members = dealt.join(few, key, "left_semi").withColumn("weight", F.lit(1).cast("long"))
+        near = lambda df: df.withColumns({"near": _differ(words) <= radius, "tied": F.col("pivot.rep")})
+        edges, again = crowds.settle(members, key, words, near, crowd)
+    zero = F.lit(0).cast("int")
+    met = plain.select(*key, zero.alias("i"), zero.alias("j"), "rep", *words)
+    if edges is not None:
+        met = met.unionByName(again)
+    met = met.repartition(*_SHARD).sortWithinPartitions(*_SHARD, "rep").mapInArrow(shared.lean(_stars(radius)), "u long, v long")
+    return met if edges is None else met.unionByName(edges)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD, one_in: int = ONE_IN) -> DataFrame:
     """Edges (u, v) between representatives that leave the components of all links within the radius. fps: fp, rep."""
     found = masks(fps.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in found]
     shards = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)]))
-    dealt = fps.select("fp", "rep", shards.alias("s")).select("s.mask", "s.bits", "fp", "rep")
-    return dealt.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "rep").mapInArrow(_stars(radius), "u long, v long")
+    dealt = fps.select("fp", "rep", shards.alias("s")).select("s.mask", "s.bits", "rep", "fp")
+    return _starred(dealt, ["fp"], radius, crowd, one_in)
 
 
 def hexed(fp: Column) -> Column:
@@ -264,7 +298,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     own = shared.keep(fingerprints(docs, words, id_col, text), "fingerprints")
     fps = shared.keep(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     tied = components.components(links(fps, radius)).withColumnsRenamed({"u": "rep", "v": "_least"})
-    found = fps.join(tied, "rep", "left").select("fp", F.coalesce("_least", "rep").alias("component_id"))
+    # written, so that Spark can split the rows of a fingerprint that very many documents have
+    found = shared.keep(fps.join(tied, "rep", "left").select("fp", F.coalesce("_least", "rep").alias("component_id")), "found")
     return own.join(found, "fp", "left").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -288,25 +323,36 @@ def radius_for(similarity: float) -> int:
     return math.ceil(NormalDist(n * p, math.sqrt(n * p * (1 - p))).inv_cdf(WITHIN))
 
 
+_WORDS = [f"w{j}" for j in range(LANES)]
+_SKETCHED = f"doc_id long, known long, size long, own binary, {', '.join(f'{w} long' for w in _WORDS)}"
+
+
 def _sketches(words: int):
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, words)) for x in textscan.strings(batch.column(1))]
-            prints = pa.array([_sketch(h) for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), prints, pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())], ["doc_id", "known", "sketch", "own"])
+            size, own, prints = [], [], []
+            for x in textscan.strings(batch.column(1)):
+                h = np.unique(shingle_hashes(x, words))
+                size.append(len(h))
+                own.append(xxhash.xxh3_128_digest(h.tobytes()))
+                prints.append(_sketch(h))
+            lanes = np.frombuffer(b"".join(prints), "<i8").reshape(-1, LANES)
+            columns = [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(own, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in lanes.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "known", "size", "own", *_WORDS])
 
     return run
 
 
 def _dealt(places: list[np.ndarray]):
     def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little").astype(np.int64)
-            for t, own in enumerate(places):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(bits[:, own] @ (1 << np.arange(len(own)))), *batch.columns], ["mask", "bits", "sketch", "rep"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1 << 14):
+                batch = whole.slice(a, 1 << 14)
+                lanes = np.stack([np.asarray(c) for c in batch.columns[1:]], axis=1)
+                bits = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")
+                for t, own in enumerate(places):
+                    key = bits[:, own].astype(np.int64) @ (1 << np.arange(len(own)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key), *batch.columns], ["mask", "bits", "rep", *_WORDS])
 
     return run
 
@@ -330,19 +376,44 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _packed(batches):
+    """Of (label, rep, weight, text): the text packed."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        texts = pa.array([pack(x.encode("utf-8", "surrogatepass")) for x in textscan.strings(batch.column(4))], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], texts], ["label", "i", "j", "rep", "body"])
+        texts = pa.array([pack(x.encode("utf-8", "surrogatepass")) for x in textscan.strings(batch.column(3))], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], ["label", "rep", "weight", "body"])
+
+
+_MEMBER = "label long, rep long, weight long, body binary"
+
+
+def _shingles(body: bytes, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(zstandard.ZstdDecompressor().decompress(body).decode("utf-8", "surrogatepass"), words))
+
+
+def _as_similar(words: int, similarity: float):
+    """Of (label, rep, body, the pivot's rep and body): whether the two are as similar as that."""
+
+    def run(batches):
+        pivot, own = None, None
+        for batch in batches:
+            near = []
+            for body, rep, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if rep != pivot:
+                    pivot, own = rep, _shingles(other, words)
+                h = _shingles(body, words)
+                both = len(np.intersect1d(h, own, assume_unique=True))
+                near.append(both >= similarity * (len(h) + len(own) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(near, pa.bool_())], ["label", "rep", "tied", "near"])
+
+    return run
 
 
 def _confirmed(words: int, similarity: float):
     """Of rows (label, i, j, rep, body) sorted by these: stars of texts that are as similar as that."""
 
     def solve(found: dict[int, bytes]):
-        unpack = zstandard.ZstdDecompressor().decompress
         reps = np.array(list(found), np.int64)
-        label = linked([np.unique(shingle_hashes(unpack(x).decode("utf-8", "surrogatepass"), words)) for x in found.values()], similarity)
+        label = linked([_shingles(x, words) for x in found.values()], similarity)
         tied = np.flatnonzero(label != np.arange(len(reps)))
         return pa.RecordBatch.from_arrays([pa.array(reps[tied]), pa.array(reps[label[tied]])], ["u", "v"])
 
@@ -361,71 +432,82 @@ def _confirmed(words: int, similarity: float):
     return run
 
 
-def _exact(candidates: DataFrame, distinct: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
+def _exact(candidates: DataFrame, distinct: DataFrame, plain: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that leave the components of all pairs of that similarity within the components of the candidates.
 
-    A group's texts meet once. Of a group of over BLOCK texts, each two blocks meet.
+    A group's texts meet in one task. A group of over block shingles has pivots, and what they leave meets in blocks.
     """
     tied = components.components(candidates)
     grouped = tied.select(F.col("u").alias("rep"), F.col("v").alias("label")).unionByName(tied.select(F.col("v").alias("rep"), F.col("v").alias("label")).distinct())
-    sizes = grouped.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = grouped.join(sizes, "label").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    wanted = shared.keep(placed.join(distinct.select("rep", "known"), "rep").select("rep", "known", "label", "blocks", "b"), "groups")
-    if wanted.count() <= MAX_SENT_IDS:
-        wanted = F.broadcast(wanted)
-    texts = plain.join(wanted, (F.col("doc_id") == F.col("rep")) & (plain["known"] == wanted["known"]))
-    others = F.expr("IF(blocks = 1, array(0), filter(sequence(0, blocks - 1), j -> j <> b))")
-    dealt = texts.select("label", "rep", "b", "text", F.explode(others).alias("o")).select("label", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "rep", "text")
-    packed = dealt.mapInArrow(_packed, "label long, i int, j int, rep long, body binary")
-    return packed.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "rep").mapInArrow(_confirmed(words, similarity), "u long, v long")
+    wanted = shared.keep(grouped.join(distinct.select("rep", "known", F.col("size").alias("weight")), "rep"), "groups")
+    large = shared.keep(wanted.groupBy("label").agg(F.sum("weight").alias("weight")).where(F.col("weight") > block).select("label"), "large")
+    few = F.broadcast(wanted) if wanted.count() <= MAX_SENT_IDS else wanted
+    texts = plain.join(few, (F.col("doc_id") == F.col("rep")) & (plain["known"] == few["known"])).select("label", "rep", "weight", "text")
+    # a text that stands in several rows of one id is taken once, as a group's tasks hold each member once
+    members = texts.mapInArrow(shared.lean(_packed), _MEMBER)
+    zero = F.lit(0).cast("int")
+    if large.limit(1).count():
+        members = shared.keep(members, "members")
+        met = members.join(crowds.sent(large), "label", "left_anti")
+        crowd = members.join(crowds.sent(large), "label", "left_semi").dropDuplicates(["label", "rep"])
+
+        def near(df: DataFrame) -> DataFrame:
+            sides = df.select("label", "rep", "body", F.col("pivot.rep").alias("tied"), F.col("pivot.body").alias("other"))
+            return sides.mapInArrow(shared.lean(_as_similar(words, similarity)), "label long, rep long, tied long, near boolean")
+
+        edges, again = crowds.settle(crowd, ["label"], ["body"], near, block)
+        met = met.select("label", zero.alias("i"), zero.alias("j"), "rep", "body").unionByName(again)
+    else:
+        met, edges = members.select("label", zero.alias("i"), zero.alias("j"), "rep", "body"), None
+    found = met.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "rep").mapInArrow(shared.lean(_confirmed(words, similarity)), "u long, v long")
+    return found if edges is None else found.unionByName(edges)
+
+
+def _plain(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return plain.withColumn("known", F.xxhash64("text"))
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, sketch and component_id of every row, linked where word shingles have the similarity.
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text", crowd: int = CROWD, one_in: int = ONE_IN, block: int = BLOCK) -> DataFrame:
+    """doc_id, known (a hash of the text), own (a digest of its set of shingles) and component_id of every row, linked
+    where word shingles have the similarity.
 
     Candidates come from the same trees, over 64 * LANES bits. At such distances no cut of the bits leaves a common part,
     so shards come from tables of sampled bits, as many as RECALL asks for. Links are confirmed by the shingles
     themselves. Nulls, empty texts and repeated ids are as in near_duplicates.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    plain = plain.withColumn("known", F.xxhash64("text"))
-    own = shared.keep(plain.mapInArrow(_sketches(words), "doc_id long, known long, sketch binary, own binary"), "sketches")
-    least = F.min(F.struct("doc_id", "known")).alias("least")
-    distinct = shared.keep(own.where("doc_id IS NOT NULL").groupBy("sketch", "own").agg(least).select("sketch", "own", F.col("least.doc_id").alias("rep"), "least.known"), "distinct")
+    plain = _plain(docs, id_col, text)
+    own = shared.keep(plain.select("doc_id", "text", "known").mapInArrow(shared.lean(_sketches(words)), _SKETCHED), "sketches")
+    least = F.min(F.struct("doc_id", "known", "size", *_WORDS)).alias("least")
+    distinct = shared.keep(own.where("doc_id IS NOT NULL").groupBy("own").agg(least).select("own", F.col("least.doc_id").alias("rep"), "least.known", "least.size", *[f"least.{w}" for w in _WORDS]), "distinct")
     places = tables(distinct.count(), similarity)
-    dealt = distinct.select("sketch", "rep").mapInArrow(_dealt(places), "mask int, bits long, sketch binary, rep long")
-    candidates = dealt.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "rep").mapInArrow(_stars(radius_for(similarity)), "u long, v long")
-    edges = _exact(candidates, distinct, plain, words, similarity)
+    dealt = distinct.select("rep", *_WORDS).mapInArrow(shared.lean(_dealt(places)), f"mask int, bits long, rep long, {', '.join(f'{w} long' for w in _WORDS)}")
+    candidates = shared.keep(_starred(dealt, _WORDS, radius_for(similarity), crowd, one_in), "candidates")
+    edges = shared.keep(_exact(candidates, distinct, plain, words, similarity, block), "edges")
     tied = components.components(edges).withColumnsRenamed({"u": "rep", "v": "_least"})
-    found = distinct.join(tied, "rep", "left").select("own", F.coalesce("_least", "rep").alias("component_id"))
-    return own.join(found, "own", "left").select("doc_id", "sketch", "component_id")
+    found = shared.keep(distinct.join(tied, "rep", "left").select("own", F.coalesce("_least", "rep").alias("component_id")), "found")
+    return own.join(found, "own", "left").select("doc_id", "known", "own", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their component of similar texts, unchanged; rows with a null id stay.
+    """The rows of docs that are the smallest doc_id of their component of similar texts, unchanged.
 
-    Of several rows with one id and one sketch the one with the smallest text stays.
+    A null text is empty, and all empty texts are copies. Rows with a null id stay. Of several rows with one id and one set
+    of shingles the one with the smallest text stays, of equal ones any. An empty table gives no rows. Other columns may
+    have any names.
     """
     found = shared.keep(similar(docs, words, similarity, id_col, text).where("doc_id IS NOT NULL"), "near")
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"), F.col("sketch").alias("_print")).distinct()
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_keep"))
-    own = F.col(id_col).cast("long") == F.col("_keep")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_keep")).union(again).distinct()
+    key, known, place = (shared.unused(docs, x) for x in ("key", "known", "place"))
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
+    own = F.col(id_col).cast("long") == F.col(key)
+    gone = shared.keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).union(again).distinct(), "gone")
     if gone.count() <= MAX_SENT_IDS:
         gone = F.broadcast(gone)
-    known = docs.where(F.col(id_col).isNotNull()).join(gone, own, "left_anti")
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, own, "left_anti")
     if again.limit(1).count():
-        rows = docs.join(again, own, "left_semi")
-        marked = rows.withColumn("_print_", _column(words)(F.col(text).cast("string")))
-        marked = marked.join(first, own & (F.col("_print_") == F.col("_print")), "left_semi")
-        place = F.row_number().over(Window.partitionBy(id_col, "_print_").orderBy(text))
-        known = known.unionByName(marked.withColumn("_place_", place).where("_place_ = 1").select(*[docs[c] for c in docs.columns]))
-    return known.unionByName(docs.where(F.col(id_col).isNull()))
-
-
-def _column(words: int):
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(x or "", words) for x in texts])
-
-    return run
+        first = found.where("doc_id = component_id").select(F.col("doc_id").alias(key), F.col("known").alias(known), F.col("own").alias(place)).distinct()
+        rows = docs.join(again, own, "left_semi").withColumn(known, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+        marked = rows.join(first, [F.col(id_col).cast("long") == first[key], rows[known] == first[known]]).select(*[rows[c] for c in docs.columns], first[key], first[place])
+        ranked = marked.withColumn(known, F.row_number().over(Window.partitionBy(key, place).orderBy(text)))
+        kept = kept.unionByName(ranked.where(F.col(known) == 1).select(*docs.columns))
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -289,16 +289,16 @@ def _settled(batches):
 def marks(docs: DataFrame, limit: int = RUNS) -> DataFrame:
     """doc_id, at, n: places at, at + 1, ... whose strings of LENGTH bytes also start earlier. docs: doc_id, text; ids differ."""
     own = docs.where("doc_id IS NOT NULL")
-    rows = own.mapInArrow(_runs, _FOUND)
+    rows = own.mapInArrow(shared.lean(_runs), _FOUND)
     key = F.when(F.col("kind") == RUN, F.col("h")).otherwise(F.xxhash64("doc_id", "at"))
     dealt = rows.repartition(key).sortWithinPartitions("kind", "h", "r", "doc_id", "at")
-    found = shared.keep(dealt.mapInArrow(_firsts, _FOUND), "runs")
+    found = shared.keep(dealt.mapInArrow(shared.lean(_firsts), _FOUND), "runs")
     apart = found.where(F.col("kind") == RUN).select("doc_id", "at", "n", "h")
     crowds = apart.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("crowded"))
     own_runs = apart.join(crowds, "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     wanted = own_runs.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "h", "crowded")).alias("runs"))
-    bodies = own.mapInArrow(_packed, "doc_id long, z binary").join(wanted, "doc_id").mapInArrow(_bodies, _DEALT)
-    met = bodies.repartition("k1", "k2").sortWithinPartitions("kind", "k1", "k2", "doc_id", "at").mapInArrow(_settled, _MARKS)
+    bodies = own.mapInArrow(shared.lean(_packed), "doc_id long, z binary").join(wanted, "doc_id").mapInArrow(shared.lean(_bodies), _DEALT)
+    met = bodies.repartition("k1", "k2").sortWithinPartitions("kind", "k1", "k2", "doc_id", "at").mapInArrow(shared.lean(_settled), _MARKS)
     return found.where(F.col("kind") == MARK).select("doc_id", "at", "n").unionByName(met)
 
 
@@ -348,8 +348,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     """
     own = _one_each(_plain(docs, id_col, text))
     found = _per_document(marks(own))
-    whole = own.mapInArrow(_packed, "doc_id long, z binary").join(found, "doc_id", "left")
-    return whole.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = own.mapInArrow(shared.lean(_packed), "doc_id long, z binary").join(found, "doc_id", "left")
+    return whole.mapInArrow(shared.lean(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_text(text: str, found: list[tuple[int, int]]) -> str:
@@ -390,8 +390,8 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length_co
     # texts are packed before they travel
     rows = meta.select(F.col("_id").alias("id"), F.struct("_id", "rest").alias("meta"), F.col("_text").alias("text"))
     schema = T.StructType([rows.schema["id"], rows.schema["meta"], T.StructField("z", T.BinaryType())])
-    kept = rows.mapInArrow(_packed_with_meta, schema).join(found, F.col("id") == F.col("doc_id"), "left").select("meta", "z", "marks")
-    out = kept.mapInArrow(_stripped, T.StructType([rows.schema["meta"], T.StructField("text", T.StringType())]))
+    kept = rows.mapInArrow(shared.lean(_packed_with_meta), schema).join(found, F.col("id") == F.col("doc_id"), "left").select("meta", "z", "marks")
+    out = kept.mapInArrow(shared.lean(_stripped), T.StructType([rows.schema["meta"], T.StructField("text", T.StringType())]))
     columns = {id_col: F.col("meta._id").cast(docs.schema[id_col].dataType).alias(id_col), text: F.col("text").alias(text)}
     if length_col in docs.columns:
         columns[length_col] = F.length("text").cast(docs.schema[length_col].dataType).alias(length_col)

@@ -52,16 +52,21 @@ def _values() -> np.ndarray:
 
 
 _POWERS: list[np.ndarray] = []
+#: Powers that a worker keeps; a longer text makes its own.
+_KEPT_POWERS = 1 << 21
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        _POWERS[:] = [np.full(size, _R, np.uint64), np.full(size, pow(_R, -1, 1 << 64), np.uint64)]
-        for p in _POWERS:
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    size = max(n, 1 << 20)
+    made = [np.full(size, _R, np.uint64), np.full(size, pow(_R, -1, 1 << 64), np.uint64)]
+    for p in made:
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+    if size <= _KEPT_POWERS:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def sums(values: np.ndarray) -> np.ndarray:

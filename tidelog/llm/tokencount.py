@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, textscan
+from tidelog.llm import bpe, shared, textscan
 
 BLOCK_CHARS = 4 << 20
 BLOCK_DOCS = 60_000
@@ -206,8 +206,8 @@ def count(docs: DataFrame, file: str, limit: int = 2048, id_col: str = "doc_id",
     gives no rows. Other columns are left out.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = own.mapInArrow(_postings(file), _POSTINGS)
+    rows = own.mapInArrow(shared.lean(_postings(file)), _POSTINGS)
     met = rows.repartition(F.coalesce(F.xxhash64("word"), F.lit(0)) + F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(0)).sortWithinPartitions("word")
-    sums = met.mapInArrow(_summed(file), "block long, docs binary, freqs binary, head boolean")
-    return sums.repartition("block").sortWithinPartitions("block", F.col("head").desc()).mapInArrow(_joined(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    sums = met.mapInArrow(shared.lean(_summed(file)), "block long, docs binary, freqs binary, head boolean")
+    return sums.repartition("block").sortWithinPartitions("block", F.col("head").desc()).mapInArrow(shared.lean(_joined(limit)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

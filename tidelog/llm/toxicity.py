@@ -240,14 +240,14 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Model:
     able = own.where((fold() == 1) & F.col("label").isNotNull()).select("doc_id").distinct()
     few = F.broadcast(shared.keep(able.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_CALIBRATION), "calibration"))
     counted = _labelled(texts, own.join(few, "doc_id", "left_anti")).select("text", "label")
-    words = counted.mapInArrow(_word_counts, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    grams = words.mapInArrow(_grams(order), "gram string, k int, ordinary long, toxic long").groupBy("gram", "k").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    words = counted.mapInArrow(shared.lean(_word_counts), "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    grams = words.mapInArrow(shared.lean(_grams(order)), "gram string, k int, ordinary long, toxic long").groupBy("gram", "k").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     table = grams.toArrow()
     if not table.num_rows:
         return None
     model = Model(table["gram"].to_pylist(), np.asarray(table["ordinary"]), np.asarray(table["toxic"]), order)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = _labelled(texts, own.join(few, "doc_id", "left_semi")).select("text", "label").mapInArrow(_featured(sent), "x array<double>, label int").toArrow()
+    rows = _labelled(texts, own.join(few, "doc_id", "left_semi")).select("text", "label").mapInArrow(shared.lean(_featured(sent)), "x array<double>, label int").toArrow()
     y = np.asarray(rows["label"]).astype(float) if rows.num_rows else np.empty(0)
     if 0 < y.sum() < len(y):
         model.weights = logistic(np.array(rows["x"].to_pylist()), y).tolist()
@@ -295,4 +295,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return own.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return own.mapInArrow(_scored(sent), "doc_id long, score double, predicted int").select("doc_id", held, "score", "predicted")
+    return own.mapInArrow(shared.lean(_scored(sent)), "doc_id long, score double, predicted int").select("doc_id", held, "score", "predicted")
