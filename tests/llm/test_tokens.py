@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SMALL
@@ -38,6 +39,35 @@ def test_counts(spark):
     assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows} == {i: (len(x.encode()), n, n > 100) for i, (x, n) in enumerate(zip(texts, want))}
 
 
+def test_pre_tokens_with_one_hash_are_told_apart(monkeypatch):
+    texts, own = ["aa bb aa cc", "dd bb", ""], textscan.piece_hash
+    want = tokencount.words(WORD).block(texts)
+    calls = []
+
+    def clash(c, starts, ends):
+        calls.append(1)
+        h = own(c, starts, ends)
+        return h & np.uint64(1) if len(calls) == 1 else h
+
+    monkeypatch.setattr(textscan, "piece_hash", clash)
+    got = tokencount.words(WORD).block(texts)
+    assert len(calls) == 2 and sorted(got[0]) == sorted(want[0]) == ["aa", "bb", "cc", "dd"]
+    assert {w: got[4][a:b].tolist() for w, a, b in zip(got[0], got[2], got[2][1:])} == {"aa": [2], "bb": [1, 1], "cc": [1], "dd": [1]}
+
+
+@pytest.mark.parametrize("chars, buckets", [(50, 1), (1 << 22, 7), (300, 1 << 16)])
+def test_any_blocks_and_buckets_give_the_same(spark, chars, buckets, monkeypatch):
+    texts = strange_texts(300, 5) + ["the " * 3000, "the" * 9000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    monkeypatch.setattr(tokencount, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(tokencount, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    rows = pa.Table.from_batches(tokencount._asked(WORD, buckets)([batch]))
+    rows = pa.Table.from_batches(tokencount._answered(WORD)(rows.sort_by("bucket").to_batches(max_chunksize=50)))
+    found = pa.Table.from_batches(tokencount._joined(100)(rows.sort_by([("block", "ascending"), ("bucket", "ascending")]).to_batches(max_chunksize=50)))
+    want = [len(e.ids) for e in bpe.library(WORD).encode_batch_fast(texts, add_special_tokens=False)]
+    assert dict(zip(found["doc_id"].to_pylist(), found["n_tokens"].to_pylist())) == dict(enumerate(want))
+
+
 def test_counts_of_odd_rows(spark, odd, none):
     assert tokencount.count(none, WORD).count() == 0
     rows = tokencount.count(odd, WORD).collect()

@@ -46,9 +46,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.cache
-def _values() -> np.ndarray:
-    return mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(_R))
+@functools.lru_cache(2)
+def _values(seed: int = 0) -> np.ndarray:
+    return mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(_R) + np.uint64(seed))
 
 
 _POWERS: list[np.ndarray] = []
@@ -82,8 +82,30 @@ def piece_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((c[ends] - c[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def values_of(cp: np.ndarray) -> np.ndarray:
-    return _values()[cp]
+class HashClash(ValueError):
+    """Two different pieces have one 64-bit hash: code points must have other values (another seed)."""
+
+
+def distinct(cp: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique of pieces by their hashes, after every piece is compared to the one that stands for it, symbol by symbol."""
+    found, sample, back = np.unique(h, return_index=True, return_inverse=True)
+    n, twin = ends - starts, starts[sample][back]
+    other = np.flatnonzero(twin != starts)
+    if (n != (ends - starts)[sample][back]).any() or (cp[slices(starts[other], n[other])] != cp[slices(twin[other], n[other])]).any():
+        raise HashClash
+    return found, sample, back
+
+
+def same_words(found: np.ndarray, distinct: np.ndarray, first: np.ndarray, names: list[str]) -> None:
+    """That names of equal hashes found are equal; first: the place that stands for each of distinct."""
+    if len(found) > len(distinct):
+        for i, k in enumerate(first[np.searchsorted(distinct, found)].tolist()):
+            if names[i] != names[k]:
+                raise HashClash
+
+
+def values_of(cp: np.ndarray, seed: int = 0) -> np.ndarray:
+    return _values(seed)[cp]
 
 
 def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,18 +1,21 @@
 """Token counts without ids: pieces are counted once for each distinct pre-token and joined to its frequencies.
 
-Documents are taken in blocks. A block gives a row for each distinct pre-token, with the documents that hold it and how
-often. Rows meet by pre-token, where the tokenizer's model counts its pieces once; products are summed for each document
-of each block where they are, and the sums meet by block. Both shuffles carry packed postings, never a row for each
-word, and how many rows one pre-token has is bounded by the number of blocks.
+Documents are taken in blocks. A block knows which of its documents hold each of its distinct pre-tokens, and how often.
+It sends every distinct pre-token once, to the bucket that its hash names, where the tokenizer's model counts the pieces
+of each pre-token once for all blocks. Buckets answer with counts alone, in the order that they were asked in, and these
+meet the block's frequencies, which give the sums of its documents. However common a pre-token is, it arrives once for
+each block, and a bucket's pre-tokens are so many by their hashes: no task grows with one key.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +24,10 @@ from tidelog.llm import bpe, shared, textscan
 
 BLOCK_CHARS = 4 << 20
 BLOCK_DOCS = 60_000
-_SUMS = 1 << 21
-_POSTINGS = "word string, block long, docs binary, freqs binary"
+#: Buckets of pre-tokens, at least; more where the session has more shuffle partitions.
+BUCKETS = 1024
+_ROWS = "bucket int, block long, body binary"
+_HEAD = -1  # the bucket of a block's own row: its documents and frequencies
 
 
 class Words:
@@ -46,8 +51,14 @@ class Words:
                 texts[i] = "\n".join([normal(p) for p in parts])
         return texts, fixed
 
-    def block(self, texts: list[str]):
-        """Distinct pre-tokens, where each one's postings begin, documents and frequencies; special tokens of each text."""
+    def block(self, texts: list[str], seed: int = 0):
+        """Distinct pre-tokens with their hashes, and for each the documents that hold it; frequencies; special tokens of each text."""
+        try:
+            return self._block(texts, seed)
+        except textscan.HashClash:
+            return self.block(texts, seed + 1)
+
+    def _block(self, texts: list[str], seed: int):
         hashes, docs, names, fixed = [], [], [], np.zeros(len(texts), np.int64)
         for a, b in textscan.chunks(texts):
             own, fixed[a:b] = self.prepared(texts[a:b])
@@ -56,19 +67,22 @@ class Words:
             starts, ends = textscan.word_level(cp, at)
             if not len(starts):
                 continue
-            h = textscan.piece_hash(textscan.sums(textscan.values_of(cp)), starts, ends)
-            distinct, sample = np.unique(h, return_index=True)
+            h = textscan.piece_hash(textscan.sums(textscan.values_of(cp, seed)), starts, ends)
+            distinct, sample, back = textscan.distinct(cp, h, starts, ends)
             joined = cp.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
             names.append((distinct, [joined[x:y] for x, y in zip(starts[sample].tolist(), ends[sample].tolist())]))
-            hashes.append(h)
+            hashes.append(distinct[back])
             docs.append(a + textscan.owners(at, starts))
         if not hashes:
-            return [], np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), fixed
-        distinct, first = np.unique(np.concatenate([x for x, _ in names]), return_index=True)
+            empty = np.empty(0, np.int64)
+            return [], empty.view(np.uint64), np.zeros(1, np.int64), empty, empty, fixed
+        found = np.concatenate([x for x, _ in names])
+        distinct, first = np.unique(found, return_index=True)
         every = [w for _, own in names for w in own]
+        textscan.same_words(found, distinct, first, every)
         back = np.searchsorted(distinct, np.concatenate(hashes))
         pair, freq = np.unique(back * len(texts) + np.concatenate(docs), return_counts=True)
-        return [every[i] for i in first.tolist()], np.searchsorted(pair, np.arange(len(distinct) + 1) * len(texts)), pair % len(texts), freq, fixed
+        return [every[i] for i in first.tolist()], distinct, np.searchsorted(pair, np.arange(len(distinct) + 1) * len(texts)), pair % len(texts), freq, fixed
 
 
 @functools.cache
@@ -76,124 +90,108 @@ def words(file: str) -> Words:
     return Words(file)
 
 
-def _packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    """A binary column of slices at[i]:at[i+1] of values."""
-    offsets = (at * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def _blocks(batches):
+    """Ids and texts of documents in blocks of bounded size; a longer text is a block of its own."""
+    ids, texts, n = [], [], 0
+    for batch in batches:
+        for i, x in zip(batch.column(0).to_pylist(), textscan.strings(batch.column(1))):
+            if texts and (n + len(x) > BLOCK_CHARS or len(texts) >= BLOCK_DOCS):
+                yield ids, texts
+                ids, texts, n = [], [], 0
+            ids.append(i)
+            texts.append(x)
+            n += len(x)
+    if texts:
+        yield ids, texts
+
 
+def _body(pack, *arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, each behind its size, packed."""
+    return pack(b"".join(x for a in arrays for x in (struct.pack("<q", a.nbytes), a.tobytes())))
 
-def _unpacked(column, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """The values of all rows one after the other, and how many each row has."""
-    column = column if isinstance(column, pa.Array) else column.combine_chunks()
-    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
-    return np.frombuffer(raw.tobytes(), dtype), np.diff(offsets) // np.dtype(dtype).itemsize
 
+def _arrays(data: bytes, *types: str) -> list[np.ndarray]:
+    out, at = [], 0
+    for t in types:
+        n = struct.unpack_from("<q", data, at)[0]
+        out.append(np.frombuffer(data, t, n // np.dtype(t).itemsize, at + 8))
+        at += 8 + n
+    return out
 
-def _blocks(batch):
-    """Slices of a batch of bounded size."""
-    texts, a, n = textscan.strings(batch.column(1)), 0, 0
-    ids = batch.column(0).to_pylist()
-    for i, x in enumerate(texts):
-        if n and (n + len(x) > BLOCK_CHARS or i - a >= BLOCK_DOCS):
-            yield ids[a:i], texts[a:i]
-            a, n = i, 0
-        n += len(x)
-    if a < len(texts):
-        yield ids[a:], texts[a:]
 
+def _asked(file: str, buckets: int):
+    """Of documents: each block's own row, and a row for each bucket that it asks."""
 
-def _postings(file: str):
     def run(batches):
         own, number = words(file), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for ids, texts in _blocks(batch):
-                names, at, docs, freq, fixed = own.block(texts)
-                # a frequency above 255 takes several postings
-                more = -(-freq // 255)
-                if len(more) and more.max() > 1:
-                    k = np.repeat(np.arange(len(freq)), more)
-                    at = np.concatenate([[0], np.cumsum(more)])[at]
-                    freq = np.where(np.arange(len(k)) < np.repeat(np.cumsum(more) - 1, more), 255, (freq - (more - 1) * 255)[k])
-                    docs = docs[k]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.full(len(names), number), pa.int64()), _packed(docs.astype("<u2"), at), _packed(freq.astype(np.uint8), at)], ["word", "block", "docs", "freqs"])
-                n_bytes = np.array([len(x.encode("utf-8", "replace")) for x in texts], "<i8")
-                known = np.array([i is not None for i in ids], bool)
-                head = np.array([[i or 0 for i in ids], np.where(known, n_bytes, -1 - n_bytes)], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([number]), pa.array([head.tobytes()], pa.binary()), pa.array([fixed.astype("<i8").tobytes()], pa.binary())], ["word", "block", "docs", "freqs"])
-                number += 1
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for ids, texts in _blocks(batches):
+            names, hashes, at, docs, freq, fixed = own.block(texts)
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            held = np.diff(at)[order]
+            slots = textscan.slices(at[:-1][order], held)
+            known = np.array([i is not None for i in ids], bool)
+            n_bytes = np.array([len(x.encode("utf-8", "replace")) for x in texts], "<i8")
+            head = _body(pack, np.array([i or 0 for i in ids], "<i8"), known.astype("u1"), n_bytes, fixed.astype("<i8"), held.astype("<u4"), docs[slots].astype("<u2"), freq[slots].astype("<u4"))
+            some, first = np.unique(bucket[order], return_index=True)
+            edges = [*first.tolist(), len(order)]
+            listed = [names[i] for i in order.tolist()]
+            bodies = [pack("\n".join(listed[a:b]).encode("utf-8", "replace")) for a, b in zip(edges, edges[1:])]
+            rows = [np.append(_HEAD, some).astype(np.int32), np.full(len(some) + 1, number)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array([head, *bodies], pa.binary())], ["bucket", "block", "body"])
+            number += 1
 
     return run
 
 
-def _summed(file: str):
-    """Of rows sorted by word: sums for each document of each block, from pieces counted once for each word."""
+def _answered(file: str):
+    """Of rows sorted by bucket: the counts of their pre-tokens' pieces, each pre-token of a bucket counted once. Blocks' own rows pass."""
 
     def run(batches):
         tokenize, table = bpe.library(file).model.tokenize, bpe._visible()
-        last, pieces, held, size = None, 0, [], 0
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        last, known = _HEAD, {}
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            heads = sum(x is None for x in names)  # nulls sort first
-            if heads:
-                yield _tagged(batch.slice(0, heads).columns[1:], True)
-                batch, names = batch.slice(heads), names[heads:]
-            if not names:
-                continue
-            count = np.empty(len(names), np.int64)
-            for i, x in enumerate(names):
-                if x != last:
-                    last, pieces = x, len(tokenize(x.encode("utf-8", "replace").decode("latin-1").translate(table)))
-                count[i] = pieces
-            docs, n = _unpacked(batch.column(2), "<u2")
-            freqs, _ = _unpacked(batch.column(3), "u1")
-            held.append((np.repeat(np.asarray(batch.column(1)), n), docs, freqs * np.repeat(count, n)))
-            size += len(docs)
-            if size > _SUMS:
-                yield from _flush(held)
-                held, size = [], 0
-        if held:
-            yield from _flush(held)
+            bodies = batch.column(2).to_pylist()
+            for k, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket == _HEAD:
+                    continue
+                if bucket != last:
+                    last, known = bucket, {}
+                names = unpack(bodies[k]).decode("utf-8").split("\n")
+                for x in set(names).difference(known):
+                    known[x] = len(tokenize(x.encode("utf-8").decode("latin-1").translate(table)))
+                bodies[k] = pack(np.fromiter(map(known.__getitem__, names), "<u4", len(names)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], ["bucket", "block", "body"])
 
     return run
 
 
-def _flush(held):
-    block, docs, total = (np.concatenate(x) for x in zip(*held))
-    blocks, b = np.unique(block, return_inverse=True)
-    key, k = np.unique(b.astype(np.int64) << 16 | docs, return_inverse=True)
-    total = np.bincount(k, total, len(key)).astype("<i8")
-    at = np.searchsorted(key, np.arange(len(blocks) + 1) << 16)
-    yield _tagged([pa.array(blocks), _packed((key & 0xFFFF).astype("<u2"), at), _packed(total, at)], False)
-
-
-def _tagged(columns, head: bool):
-    return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), head))], ["block", "docs", "freqs", "head"])
-
-
 def _joined(limit: int):
-    """Of rows sorted by block with its head first: the documents of each block with their sums."""
+    """Of rows sorted by block and bucket: the documents of each block with their sums."""
 
-    def done(block, ids, n_bytes, total):
-        null = n_bytes < 0
-        n_bytes = np.where(null, -1 - n_bytes, n_bytes)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(n_bytes, pa.int64()), pa.array(total, pa.int64()), pa.array(total > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+    def done(head: bytes, counts: list[bytes]):
+        ids, known, n_bytes, fixed, held, docs, freq = _arrays(head, "<i8", "u1", "<i8", "<i8", "<u4", "<u2", "<u4")
+        pieces = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
+        if len(pieces) != len(held):
+            raise ValueError("a block's buckets did not all answer")
+        total = fixed + np.bincount(docs, freq * np.repeat(pieces, held), len(ids)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(n_bytes), pa.array(total), pa.array(total > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     def run(batches):
-        state = None
+        unpack = zstandard.ZstdDecompressor().decompress
+        head, counts = None, []
         for batch in batches:
-            for block, docs, freqs, head in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
-                if head:
-                    if state:
-                        yield done(*state)
-                    pair = np.frombuffer(docs.as_py(), "<i8").reshape(2, -1)
-                    state = (block, pair[0], pair[1], np.frombuffer(freqs.as_py(), "<i8").copy())
+            for bucket, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if bucket == _HEAD:
+                    if head is not None:
+                        yield done(head, counts)
+                    head, counts = unpack(body), []
                 else:
-                    # a document stands once in a row, so plain addition by index is right
-                    state[3][np.frombuffer(docs.as_py(), "<u2")] += np.frombuffer(freqs.as_py(), "<i8")
-        if state:
-            yield done(*state)
+                    counts.append(unpack(body))
+        if head is not None:
+            yield done(head, counts)
 
     return run
 
@@ -205,9 +203,9 @@ def count(docs: DataFrame, file: str, limit: int = 2048, id_col: str = "doc_id",
     in the same order. A null text is empty: 0 bytes, 0 tokens. Rows with equal or null ids are counted each for itself. An empty table
     gives no rows. Other columns are left out.
     """
+    buckets = max(BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = own.mapInArrow(shared.lean(_postings(file)), _POSTINGS)
-    met = rows.repartition(F.coalesce(F.xxhash64("word"), F.lit(0)) + F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(0)).sortWithinPartitions("word")
-    sums = met.mapInArrow(shared.lean(_summed(file)), "block long, docs binary, freqs binary, head boolean")
-    return sums.repartition("block").sortWithinPartitions("block", F.col("head").desc()).mapInArrow(shared.lean(_joined(limit)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
-
+    rows = own.mapInArrow(shared.lean(_asked(file, buckets)), _ROWS)
+    met = rows.repartition("bucket", F.when(F.col("bucket") == _HEAD, F.col("block"))).sortWithinPartitions("bucket")
+    answers = met.mapInArrow(shared.lean(_answered(file)), _ROWS)
+    return answers.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(shared.lean(_joined(limit)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
