@@ -180,6 +180,26 @@ def plain_removed(rows, length=100):
     return out
 
 
+@pytest.mark.parametrize("seed, length, letters", [(0, 100, 2), (1, 13, 2), (2, 8, 3), (3, 5, 1), (4, 20, 1)])
+def test_longest_previous_factors(seed, length, letters):
+    r = np.random.default_rng(seed)
+    data = r.integers(97, 97 + letters, 700).astype(np.uint8)
+    data[300:450] = data[20:170]
+    place = np.sort(r.choice(len(data) - length + 1, 400, replace=False))
+    group = np.sort(r.integers(0, 3, len(place)))
+    order, common = suffix.suffix_order(data, place, group, length)
+    text = data.tobytes()
+    keys = [(group[i], text[place[i] : place[i] + length], place[i]) for i in range(len(place))]
+    assert [keys[i] for i in order] == sorted(keys)
+
+    def prefix(i, j):
+        return next((k for k in range(length) if text[place[i] + k] != text[place[j] + k]), length)
+
+    want = [max([0, *(prefix(i, j) for j in range(i) if group[i] == group[j])]) for i in range(len(place))]
+    assert suffix.longest_previous(place, order, common).tolist() == want
+    assert suffix.repeated(data, place, group, length).tolist() == [x == length for x in want]
+
+
 def passages(seed, n=200):
     r = random.Random(seed)
     words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 6))) for _ in range(40)]

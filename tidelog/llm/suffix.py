@@ -3,12 +3,13 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a document with a smaller id, or earlier in
 the same one. To find earlier matches without one suffix array over everything, places are dealt by anchors: the k-gram
 with the least hash among those of a string. Equal strings have equal anchors, so the places of an anchor's strings (a
-run) meet in one task, where suffixes are sorted to LENGTH bytes. In that order, a place has an earlier match of LENGTH
-if the previous smaller place stands in the same run of equal suffixes.
+run) meet in one task, where suffixes are put in order, to LENGTH bytes. There a place's longest previous factor is what
+it has in common with the nearest smaller place before it or after it; the place is marked if that is LENGTH.
 
-Runs with equal bytes are settled by hash before any text travels: the first stays, the others are marked. Only firsts of
-anchors whose runs differ are sorted. An anchor with more of them than a task should hold is settled by digests of its
-strings instead, which spread over all tasks.
+Runs with equal bytes (by 128 bits of hash, with their anchor's) are settled before any text travels: the first stays, the
+others are marked. Only firsts of anchors whose runs differ are sorted. An anchor with more of them than a task should
+hold is settled by digests of its strings instead, which spread over all tasks: there the longest previous factor is
+LENGTH for all of a digest's places but the first. The result is the same.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ LENGTH = 100
 GRAM = 24
 #: Runs of one anchor that are sorted in one task.
 RUNS = 1_000
+#: Up to so many crowded anchors are sent to the executors; more are joined by shuffle.
+MAX_SENT_ANCHORS = 1_000_000
 #: Bytes of runs that are sorted at once, about.
 _SORT = 1 << 22
 _FOUND = "kind int, doc_id long, at long, n int, shift int, h long, r long"
@@ -195,39 +198,94 @@ def _body_rows(out):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["kind", "k1", "k2", "doc_id", "at", "n", "body"])
 
 
-def equal_before(data: np.ndarray, place: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which places have an earlier one in their group with the same length bytes. Places of a group are in order.
+def _leading(x: np.ndarray, size: int) -> np.ndarray:
+    """How many leading bytes, of size, each number has in common with the one before it."""
+    differ = np.zeros(len(x), np.uint64)
+    differ[1:] = x[1:] ^ x[:-1]
+    return size - sum(((differ >> _U(8 * k)) > 0).astype(np.int64) for k in range(size))
 
-    Suffixes are put in order word by word; a suffix that differs from all others of its group has no match of that length
-    and is left out. What is left at the end are runs of suffixes equal for length bytes, by place, so the previous smaller
-    place of each but the first is the one before it.
+
+def suffix_order(data: np.ndarray, place: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places by group, by the length bytes of their suffixes, and by themselves; and how many bytes, up to length, each
+    has in common with the one before it in that order (0 for a group's first).
+
+    Suffixes with equal bytes are told by hash, and then compared byte by byte; one of each is sorted.
+    """
+    steps = range(0, length, 8)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    words = np.ndarray(len(padded) - 8, ">u8", padded, strides=(1,))
+    shift = _U(8 * (-length % 8))
+
+    def word(at: np.ndarray, w: int) -> np.ndarray:
+        x = words[at + w].astype(np.uint64)
+        return x >> shift if length - w < 8 else x
+
+    h = textscan.piece_hash(textscan.sums(_values()[data]), place, place + length)
+    order = np.lexsort((h, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1])
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1
+    one = order[new]
+    if any((word(place, w) != word(place[one][own], w)).any() for w in steps):  # unequal bytes with one hash: sort them all
+        one = own = np.arange(len(place))
+    columns = [word(place[one], w) for w in steps]
+    sort = np.lexsort((place[one], *columns[::-1], group[one]))
+    same = np.zeros(len(sort), np.int64)
+    open_ = np.zeros(len(sort), bool)
+    open_[1:] = group[one][sort][1:] == group[one][sort][:-1]
+    for w, column in zip(steps, columns):
+        size = min(8, length - w)
+        lead = _leading(column[sort], size)
+        same += np.where(open_, lead, 0)
+        open_ &= lead == size
+    rank = np.empty(len(sort), np.int64)
+    rank[sort] = np.arange(len(sort))
+    order = np.lexsort((place, rank[own]))
+    common = np.full(len(order), length, np.int64)
+    head = np.ones(len(order), bool)
+    head[1:] = own[order][1:] != own[order][:-1]
+    common[head] = same
+    return order, common
+
+
+def longest_previous(place: np.ndarray, order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each place: what it has in common with an earlier place, at most.
+
+    In suffix order that is with the nearest smaller place before it or after it. Each place looks at its neighbour; while
+    that is not smaller, it goes on to where the neighbour looks, with the least of what the steps have in common.
+    """
+    found = np.zeros(len(place), np.int64)
+    for way in (1, -1):
+        own, near = place[order][::way], (common if way == 1 else np.append(common[1:], 0)[::-1]).copy()
+        at = np.arange(len(own)) - 1
+        todo = np.flatnonzero((at >= 0) & (near > 0))
+        todo = todo[own[at[todo]] >= own[todo]]
+        while len(todo):
+            step = at[todo]
+            near_next, at_next = np.minimum(near[todo], near[step]), at[step]
+            near[todo], at[todo] = near_next, at_next
+            todo = todo[(at_next >= 0) & (near_next > 0)]
+            todo = todo[own[at[todo]] >= own[todo]]
+        near[at < 0] = 0
+        best = found[order[::way]]
+        found[order[::way]] = np.maximum(best, near)
+    return found
+
+
+def repeated(data: np.ndarray, place: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which places have a longest previous factor of length in their group; others in a group are earlier if they stand earlier.
+
+    Only places whose string's hash stands twice in the group get into suffix order: others have a shorter factor.
     """
     hit = np.zeros(len(place), bool)
-    c = textscan.sums(_values()[data])
-    h = textscan.piece_hash(c, place, place + length)
-    order = np.lexsort((np.arange(len(place)), h, group))
+    h = textscan.piece_hash(textscan.sums(_values()[data]), place, place + length)
+    order = np.lexsort((h, group))
     tied = np.zeros(len(place) + 1, bool)
     tied[1:-1] = (h[order][1:] == h[order][:-1]) & (group[order][1:] == group[order][:-1])
-    left = np.sort(order[tied[1:] | tied[:-1]])  # others can't have a match
-    cls = group[left]
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    words = np.ndarray(len(padded) - 8, ">u8", padded, strides=(1,))
-    for w in range(0, length, 8):
-        if not len(left):
-            return hit
-        word = words[place[left] + w].astype(np.uint64)
-        if length - w < 8:
-            word >>= _U(8 * (8 - (length - w)))
-        order = np.lexsort((word, cls))
-        left, cls, word = left[order], cls[order], word[order]
-        new = np.ones(len(left) + 1, bool)
-        new[1:-1] = (cls[1:] != cls[:-1]) | (word[1:] != word[:-1])
-        alone = new[:-1] & new[1:]
-        cls = np.cumsum(new[:-1])
-        left, cls = left[~alone], cls[~alone]
-    later = np.zeros(len(left), bool)
-    later[1:] = cls[1:] == cls[:-1]
-    hit[left[later]] = True
+    left = np.sort(order[tied[1:] | tied[:-1]])
+    if len(left):
+        hit[left] = longest_previous(left, *suffix_order(data, place[left], group[left], length)) >= length
     return hit
 
 
@@ -254,7 +312,7 @@ def _solve(table: pa.Table):
     data, at = joined_bytes(table["body"].to_pylist())
     h = np.asarray(table["k1"])
     group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]]))
-    return _stretches(np.asarray(table["doc_id"]), np.asarray(table["at"]), n, equal_before(data, textscan.slices(at[:-1], n), np.repeat(group, n)))
+    return _stretches(np.asarray(table["doc_id"]), np.asarray(table["at"]), n, repeated(data, textscan.slices(at[:-1], n), np.repeat(group, n)))
 
 
 def _settled(batches):
@@ -294,8 +352,9 @@ def marks(docs: DataFrame, limit: int = RUNS) -> DataFrame:
     dealt = rows.repartition(key).sortWithinPartitions("kind", "h", "r", "doc_id", "at")
     found = shared.keep(dealt.mapInArrow(shared.lean(_firsts), _FOUND), "runs")
     apart = found.where(F.col("kind") == RUN).select("doc_id", "at", "n", "h")
-    crowds = apart.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("crowded"))
-    own_runs = apart.join(crowds, "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    crowds = shared.keep(apart.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("crowded")), "crowded")
+    few = F.broadcast(crowds) if crowds.count() <= MAX_SENT_ANCHORS else crowds
+    own_runs = apart.join(few, "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     wanted = own_runs.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "h", "crowded")).alias("runs"))
     bodies = own.mapInArrow(shared.lean(_packed), "doc_id long, z binary").join(wanted, "doc_id").mapInArrow(shared.lean(_bodies), _DEALT)
     met = bodies.repartition("k1", "k2").sortWithinPartitions("kind", "k1", "k2", "doc_id", "at").mapInArrow(shared.lean(_settled), _MARKS)
