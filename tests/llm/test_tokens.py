@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tidelog.llm import bpe, idstore, packing, shared, textscan, tokencount
@@ -86,24 +87,51 @@ def test_store_round_trip(spark):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32, r.verified) for r in idstore.read(spark, path, BYTE, 2).collect()} == want
     chunks = idstore._chunks(spark, path)
     assert chunks.count() == chunks.select("digest").distinct().count()
-    whole = {r.doc_id: bytes.fromhex(r.ids_hex) for r in idstore.reconstruct(spark, path).collect()}
+    rows = idstore.reconstruct(spark, path).collect()
+    assert all(r.verified for r in rows)
+    whole = {r.doc_id: bytes(r.ids) for r in rows}
     assert all(zlib.crc32(np.frombuffer(whole[i], "<u2").astype("<u4").tobytes()) == want[i][2] for i in want)
 
 
-def test_a_changed_chunk_is_found(spark, tmp_path):
-    docs = spark.createDataFrame([(i, f"some text {i} " * 400) for i in range(4)], "doc_id long, text string")
-    path = idstore.store(docs, BYTE, 2)
-    raw = spark.read.schema(idstore._RAW).parquet(f"{path}/raw")
-    name = raw.where("kind = 0").orderBy("digest").first().digest
-    from pyspark.sql import functions as F
-
-    spoiled = raw.withColumn("body", F.when((F.col("kind") == 0) & (F.col("digest") == F.lit(bytes(name))), F.lit(b"\1\0")).otherwise(F.col("body")))
-    other = f"file://{tmp_path}/store"
-    spoiled.write.partitionBy("kind").parquet(f"{other}/raw")
-    for part in ("recipes", "manifest"):
-        df = spark.read.parquet(f"{path}/{part}")
-        (df.write.partitionBy("part") if part == "recipes" else df.write).parquet(f"{other}/{part}")
-    assert not all(r.verified for r in idstore.read(spark, other, BYTE, 2).collect())
+@pytest.mark.parametrize("fault", ["none", "chunk changed", "chunk lost", "recipe lost", "recipe foreign", "partition lost", "manifest row lost", "root changed"])
+def test_a_changed_or_lost_part_is_found(spark, tmp_path, fault):
+    docs = spark.createDataFrame([(i, f"some text {i} " * 400) for i in range(40)], "doc_id long, text string")
+    path, other = idstore.store(docs, BYTE, 2), f"file://{tmp_path}/store"
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("recipes", "manifest", "root")}
+    tables["raw"] = spark.read.schema(idstore._RAW).parquet(f"{path}/raw")
+    raw, recipes, manifest = tables["raw"], tables["recipes"], tables["manifest"]
+    name = F.col("digest") == F.lit(bytes(raw.where("kind = 0").orderBy("digest").first().digest))
+    part = manifest.orderBy("part").first().part
+    tables |= {
+        "chunk changed": {"raw": raw.withColumn("body", F.when((F.col("kind") == 0) & name, F.lit(b"\1\0")).otherwise(F.col("body")))},
+        "chunk lost": {"raw": raw.where(~((F.col("kind") == 0) & name))},
+        "recipe lost": {"recipes": recipes.where("doc_id <> 7")},
+        "recipe foreign": {"recipes": recipes.withColumn("doc_id", F.col("doc_id")).withColumn("root", F.when(F.col("doc_id") == 7, F.lit(bytes(16))).otherwise(F.col("root")))},
+        "partition lost": {"recipes": recipes.where(F.col("part") != part)},
+        "manifest row lost": {"manifest": manifest.where(F.col("part") != part)},
+        "root changed": {"root": tables["root"].withColumn("docs", F.col("docs") + 1)},
+        "none": {},
+    }[fault]
+    for t in ("raw", "recipes", "manifest", "root"):
+        by = {"raw": ["kind"], "recipes": ["part"]}.get(t)
+        (tables[t].write.partitionBy(*by) if by else tables[t].write).parquet(f"{other}/{t}")
+    if fault.startswith(("none", "chunk")):
+        for rows in (idstore.read(spark, other, BYTE, 2).collect(), idstore.reconstruct(spark, other).collect()):
+            assert len(rows) == 40 and all(r.verified for r in rows) == (fault == "none")
+    else:
+        with pytest.raises(ValueError):
+            idstore.read(spark, other, BYTE, 2)
+        with pytest.raises(ValueError):
+            idstore.reconstruct(spark, other)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 7, 8, 31])
+def test_merkle_root(n):
+    leaves = [bytes([i]) * 16 for i in range(n)]
+    level = leaves or [idstore.digest(b"")]
+    while len(level) > 1:
+        level = [idstore.digest(level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert idstore.merkle(leaves) == level[0]
 
 
 def test_store_of_odd_rows(spark, odd, none):

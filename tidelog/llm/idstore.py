@@ -2,11 +2,14 @@
 
 A rolling hash over ids cuts each document's stream into chunks, so equal passages give equal chunks wherever they
 stand. A chunk is stored once, under the digest of its bytes. A document's recipe lists its chunks' digests and has
-the Merkle root over them; each partition of recipes has a root in the manifest. Readers hash what they read, so a
-changed, lost or foreign chunk is found.
+the Merkle root over them; a partition of recipes has the Merkle root over theirs, and the store the one over those of
+its partitions. Readers go the same way up: they hash every chunk, put a recipe's root together from what they found,
+and hold the recipes of each partition, and the partitions, against the manifest. So a changed, lost or foreign chunk,
+recipe or partition is found.
 
 Files: chunks (kind=0: digest, ids little-endian, 2 bytes each where the vocabulary allows, else 4), recipes in
-ascending order of doc_id (start, n_tokens, digests, root) and manifest (a row for each partition of recipes).
+ascending order of doc_id (start, n_tokens, digests, root), manifest (a row for each partition of recipes: how many
+recipes and ids, root) and root (one row: partitions, recipes, ids, root).
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ DIGEST = 16
 WINDOW = 16
 MEAN_BITS = 9
 MIN_CHUNK, MAX_CHUNK = 128, 4096
+#: Chunks that a task remembers; beyond that it forgets them all and may send one again.
+MAX_SEEN = 500_000
 _RAW = "kind int, doc_id long, n_tokens long, digest binary, body binary"
 
 
@@ -33,12 +38,35 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
+class Merkle:
+    """A Merkle tree of which only the open nodes are held, one for each level. A node without a partner moves up as it is."""
+
+    def __init__(self):
+        self.open: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level = 0
+        while self.open and self.open[-1][0] == level:
+            leaf = digest(self.open.pop()[1] + leaf)
+            level += 1
+        self.open.append((level, leaf))
+
+    def root(self) -> bytes:
+        """Without a leaf: the digest of nothing."""
+        if not self.open:
+            return digest(b"")
+        out = self.open[-1][1]
+        for _, left in reversed(self.open[:-1]):
+            out = digest(left + out)
+        return out
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """The root over digests; a node without a partner moves up as it is. No leaf: the digest of nothing."""
-    level = leaves or [digest(b"")]
-    while len(level) > 1:
-        level = [digest(level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    """The root over digests."""
+    tree = Merkle()
+    for x in leaves:
+        tree.add(x)
+    return tree.root()
 
 
 def cuts(ids: np.ndarray, at: np.ndarray) -> list[list[int]]:
@@ -67,11 +95,13 @@ def cuts(ids: np.ndarray, at: np.ndarray) -> list[list[int]]:
 
 def _encode(file: str, end_id: int, dtype: str):
     def run(batches):
-        enc = bpe.encoder(file)
+        enc, seen = bpe.encoder(file), set()  # a task sends a chunk once, however many of its documents have it
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), textscan.strings(batch.column(1))
             for a, b, ids, count in enc.batches(texts):
-                rows, seen = [], set()
+                rows = []
+                if len(seen) > MAX_SEEN:
+                    seen.clear()
                 ends = np.cumsum(count)
                 ids = np.insert(ids, ends, end_id)
                 count = count + 1
@@ -129,41 +159,58 @@ def write(docs: DataFrame, path: str, file: str, end_id: int, id_col: str = "doc
     recipes = spark.read.schema(_RAW).parquet(f"{path}/raw").where("kind = 1").select("doc_id", "n_tokens", F.col("digest").alias("root"), F.col("body").alias("digests"))
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("root")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(shared.lean(_order), "doc_id long, n_tokens long, root binary, digests binary, part int, local_start long, place long").write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
-    stored = _recipes(spark, path)
-    one = stored.select("doc_id", "n_tokens", "root", "digests", "part", "place").repartition("part").sortWithinPartitions("part", "place")
-    one.mapInArrow(shared.lean(_roots_by_part), "part int, docs long, tokens long, root binary").write.parquet(f"{path}/manifest")
+    _roots(spark, path).write.parquet(f"{path}/manifest")
+    spark.createDataFrame([_whole(_manifest(spark, path))], _ROOT).write.parquet(f"{path}/root")
+
+
+_PART = "part int, docs long, tokens long, root binary"
+_ROOT = "parts long, docs long, tokens long, root binary"
+
+
+def _roots(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each partition of recipes, from the recipes."""
+    own = _recipes(spark, path).select("part", "place", "n_tokens", "root")
+    return own.repartition("part").sortWithinPartitions("part", "place").mapInArrow(shared.lean(_roots_by_part), _PART)
 
 
 def _roots_by_part(batches):
-    """The manifest's row for each partition of recipes that was dealt here, folded so that memory stays small."""
-    open_part = None
+    """Of rows sorted by part and place; a lost place, and so a lost recipe, changes the root."""
+    now, tree, docs, tokens = None, None, 0, 0
+
+    def row():
+        return pa.RecordBatch.from_pydict({"part": [now], "docs": [docs], "tokens": [tokens], "root": [tree.root()]}, pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())]))
+
     for batch in batches:
-        parts = np.asarray(batch.column(4))
-        edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
-        for a, b in zip(edges[:-1], edges[1:]):
-            if a == b:
-                continue
-            if open_part is not None and parts[a] != open_part.part:
-                yield open_part.row()
-                open_part = None
-            open_part = open_part or _Fold(int(parts[a]))
-            open_part.add(batch.slice(a, b - a))
-    if open_part is not None:
-        yield open_part.row()
+        for part, place, n, root in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != now:
+                if now is not None:
+                    yield row()
+                now, tree, docs, tokens = part, Merkle(), 0, 0
+            tree.add(digest(root + place.to_bytes(8, "little") + n.to_bytes(8, "little")))
+            docs, tokens = docs + 1, tokens + n
+    if now is not None:
+        yield row()
 
 
-class _Fold:
-    def __init__(self, part: int):
-        self.part, self.docs, self.tokens, self.hash = part, 0, 0, hashlib.blake2b(digest_size=DIGEST)
+def _manifest(spark: SparkSession, path: str) -> list:
+    """The manifest's rows in order. There are as many as partitions, which the session's settings bound."""
+    return sorted(tuple(r) for r in spark.read.schema(_PART).parquet(f"{path}/manifest").collect())
 
-    def add(self, batch) -> None:
-        for root in batch.column(2).to_pylist():
-            self.hash.update(root)
-        self.docs += batch.num_rows
-        self.tokens += int(np.asarray(batch.column(1)).sum())
 
-    def row(self):
-        return pa.RecordBatch.from_pydict({"part": [self.part], "docs": [self.docs], "tokens": [self.tokens], "root": [self.hash.digest()]}, pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())]))
+def _whole(manifest: list) -> tuple:
+    return len(manifest), sum(r[1] for r in manifest), sum(r[2] for r in manifest), merkle([bytes(r[3]) for r in manifest])
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """An error if the recipes are not those of the manifest, or the manifest is not that of the root. Chunks are checked as they are read."""
+    manifest = _manifest(spark, path)
+    root = spark.read.schema(_ROOT).parquet(f"{path}/root").first()
+    if root is None or tuple(root) != _whole(manifest):
+        raise ValueError(f"{path}: the manifest does not have the store's root")
+    found = sorted(tuple(r) for r in _roots(spark, path).collect())
+    if found != manifest:
+        wrong = sorted({r[0] for r in set(found) ^ set(manifest)})
+        raise ValueError(f"{path}: recipes of partitions {wrong[:20]} are not those of the manifest")
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -176,9 +223,8 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, root, digests, and uid (a recipe's own number). Starts come from the manifest: a row for each partition."""
-    manifest = spark.read.schema("part int, docs long, tokens long, root binary").parquet(f"{path}/manifest").select("part", "tokens").collect()
     base, upto = [], 0
-    for part, tokens in sorted((r.part, r.tokens) for r in manifest):
+    for part, _, tokens, _ in _manifest(spark, path):
         base.append((part, upto))
         upto += tokens
     before = F.broadcast(spark.createDataFrame(base, "part int, _base long"))
@@ -280,9 +326,13 @@ def _width(file: str, end_id: int) -> int:
 def read(spark: SparkSession, path: str, file: str, end_id: int) -> DataFrame:
     """What the files hold for each document: doc_id, start, n_tokens, ids_crc32, verified.
 
-    Chunks are read and hashed once each; a document's crc32 follows from those of its chunks. verified is true if the
-    digests found, put in the recipe's order, have the recipe's root and as many ids as it says.
+    Recipes that are not those of the manifest are an error. Chunks are read and hashed once each; a document's crc32
+    follows from those of its chunks. verified is true if the digests found, put in the recipe's order, have the recipe's
+    root and as many ids as it says; a recipe of which a chunk is lost is not. An empty store gives no rows.
+
+    A chunk that very many recipes list is a hot key of a sort-merge join, whose partitions Spark splits.
     """
+    verify(spark, path)
     own = recipes(spark, path)
     chunks = _chunks(spark, path).mapInArrow(shared.lean(_checked(_width(file, end_id))), "found binary, name binary, crc long, n long")
     parts = _listed(own).join(chunks, "name").select("uid", "seq", "found", "crc", "n")
@@ -292,12 +342,38 @@ def read(spark: SparkSession, path: str, file: str, end_id: int) -> DataFrame:
     )
 
 
+def _hashed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(x) for x in batch.column(1).to_pylist()], pa.binary())], ["name", "body", "found"])
+
+
+def _joined(batches):
+    """Of rows (uid, seq, found, body) sorted by uid and seq: the bytes of each uid and the root over what was found."""
+    now, bodies, tree = None, [], None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([b"".join(bodies)], pa.binary()), pa.array([tree.root()], pa.binary())], ["uid", "ids", "root_read"])
+
+    for batch in batches:
+        for uid, _, found, body in zip(*(c.to_pylist() for c in batch.columns)):
+            if uid != now:
+                if now is not None:
+                    yield row()
+                now, bodies, tree = uid, [], Merkle()
+            bodies.append(body)
+            tree.add(found)
+    if now is not None:
+        yield row()
+
+
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and the document's ids, as stored bytes."""
+    """doc_id, start, n_tokens, ids (as stored bytes; null if every chunk is lost) and verified, as read has it."""
+    verify(spark, path)
     own = recipes(spark, path)
-    parts = _listed(own).join(_chunks(spark, path).withColumnRenamed("digest", "name"), "name")
-    bodies = parts.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("parts"))
-    return own.join(bodies, "uid").select("doc_id", "start", "n_tokens", F.concat_ws("", F.transform("parts", lambda p: F.hex(p["body"]))).alias("ids_hex"))
+    chunks = _chunks(spark, path).withColumnRenamed("digest", "name").mapInArrow(shared.lean(_hashed), "name binary, body binary, found binary")
+    parts = _listed(own).join(chunks, "name").select("uid", "seq", "found", "body")
+    whole = parts.repartition("uid").sortWithinPartitions("uid", "seq").mapInArrow(shared.lean(_joined), "uid long, ids binary, root_read binary")
+    return own.join(whole, "uid", "left").select("doc_id", "start", "n_tokens", "ids", F.coalesce(F.col("root") == F.col("root_read"), F.lit(False)).alias("verified"))
 
 
 def store(docs: DataFrame, file: str, end_id: int) -> str:
