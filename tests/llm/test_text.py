@@ -1,11 +1,14 @@
 """Toxicity, dialogues, pages, decontamination and the pipeline."""
 
 import html
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF, SMALL, same_rows
 from tidelog.llm import bpe, chat, decontam, pages, quality, queries, shared, toxicity
@@ -19,16 +22,73 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted == r.toxic for r in own) >= 0.9 * len(own)
 
 
-def test_model_tells_rare_expressions_apart():
-    words = {"the": (900, 100), "idiot": (0, 20), "lovely": (30, 3), "idle": (9, 1)}
-    import numpy as np
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"w": list(words), "a": [a for a, _ in words.values()], "b": [b for _, b in words.values()]})
-    grams = pa.Table.from_batches(toxicity._grams(5)([batch])).group_by("gram").aggregate([("ordinary", "sum"), ("toxic", "sum")])
-    model = toxicity.Model(grams["gram"].to_pylist(), np.asarray(grams["ordinary_sum"]), np.asarray(grams["toxic_sum"]), 5)
-    ratio = dict(zip(["the", "idiot", "idiots", "lovely", "zzz"], model.word_ratios(["the", "idiot", "idiots", "lovely", "zzz"])))
-    assert ratio["idiot"] > 2 and ratio["idiots"] > 1 and abs(ratio["the"]) < 1 and ratio["lovely"] < ratio["idiot"]
+def plain_ratios(counts):
+    """The two Kneser-Ney models by their definition: counts of n-grams in dictionaries, for every window of every word."""
+    n, low, d = toxicity.ORDER, toxicity.SHORTEST, toxicity.DISCOUNT
+    seen = {k: {} for k in range(2, n + 1)}  # order -> n-gram -> counts in ordinary, toxic and all texts
+    spelled = {w: "\1" + w + "\2" for w in counts}
+    cut = lambda s, i: s[max(0, i + 1 - n) : i + 1]
+    for w, (o, t) in counts.items():
+        for i in range(1, len(spelled[w])):
+            own = seen[len(x := cut(spelled[w], i))].setdefault(x, [0, 0, 0])
+            for c, v in enumerate((o, t, o + t)):
+                own[c] += v
+    for k in range(2, n + 1):
+        seen[k] = {g: c for g, c in seen[k].items() if c[2]}
+    for k in range(n - 1, low - 1, -1):
+        for g, c in seen[k + 1].items():
+            own = seen[k].setdefault(g[1:], [0, 0, 0])
+            for j in range(3):
+                own[j] += c[j] > 0
+    by = {}
+    for k in seen:
+        for g, c in seen[k].items():
+            by.setdefault(g[:-1], []).append(c)
+
+    def parts(g, j):
+        """What is left of the n-gram's count, and what its context frees, both for one of the context's counts."""
+        total = sum(c[j] for c in by.get(g[:-1], []))
+        if not total:
+            return 0.0, 1.0
+        return max(seen[len(g)].get(g, [0, 0, 0])[j] - d, 0) / total, sum(min(c[j], d) for c in by[g[:-1]]) / total
+
+    def both(g):
+        left, free = parts(g, 2)
+        return left + free * (both(g[1:]) if len(g) > low else 1 / toxicity._SYMBOLS)
+
+    def ratio(x):
+        while x[:-1] not in by:
+            if len(x) <= low:
+                return 0.0
+            x = x[1:]
+        (o, fo), (t, ft) = parts(x, 0), parts(x, 1)
+        return math.log(t + ft * both(x)) - math.log(o + fo * both(x))
+
+    return {w: [ratio(cut(x, i)) for i in range(1, len(x))] for w, x in spelled.items()}
+
+
+@pytest.mark.parametrize("seed, letters", [(0, "ab"), (1, "abcdé"), (2, "a")])
+def test_ratios_are_those_of_the_definition(seed, letters):
+    r = random.Random(seed)
+    words = {"".join(r.choice(letters) for _ in range(r.randint(1, 9))): (r.choice([0, 1, 2, 5, 30]), r.choice([0, 0, 1, 3, 20])) for _ in range(150)}
+    rows, owner = toxicity.windows(list(words))
+    o, t = (np.array([c[k] for c in words.values()])[owner] for k in (0, 1))
+    want = plain_ratios(words)
+    assert np.allclose(toxicity.ratios(rows, o, t), [x for w in words for x in want[w]], atol=1e-9)
+    key, apart = toxicity.key_of(rows), np.zeros(len(rows))
+    for k in np.unique(key):  # a bucket knows all that decides on its windows
+        apart[key == k] = toxicity.ratios(rows[key == k], o[key == k], t[key == k])
+    assert np.allclose(apart, [x for w in words for x in want[w]], atol=1e-9)
+
+
+def test_words_with_evidence(spark):
+    words = {"the": (900, 100), "idiot": (0, 20), "lovely": (30, 3), "idle": (9, 1), "idiots": (0, 0), "zzz": (0, 0)}
+    want = {w: sum(x) for w, x in plain_ratios(words).items()}
+    rows = spark.createDataFrame([(w, *n) for w, n in words.items()], "word string, ordinary long, toxic long")
+    for margin in (-100.0, 1.0):
+        got = {r.word: r.excess + margin for r in toxicity.evidence(rows, margin).collect()}
+        assert got == pytest.approx({w: x for w, x in want.items() if x > margin}, abs=1e-4)
+    assert want["idiot"] > 2 and want["idiots"] > 1 and abs(want["the"]) < 1 and want["lovely"] < 1
 
 
 def test_toxicity_of_odd_rows(spark, odd, none):
@@ -38,12 +98,11 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.fit(none, labels) is None and toxicity.score(odd, None).where("score = 0").count() == odd.count()
 
 
-def test_order_does_not_depend_on_the_input(spark):
-    r = random.Random(2)
-    rows = [(i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(600))) for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, label int"))
-    assert model.order == toxicity.ORDER and len(model.gram) > 1_000_000
+def test_words_that_are_sent_and_words_that_are_joined_score_alike(spark, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    found = [sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 6), r.predicted, r.held_out) for r in toxicity.score(docs, toxicity.fit(docs, labels, margin=0.5, most=n), most=n).collect()) for n in (10**6, 0)]
+    assert found[0] == found[1] and len({x[2] for x in found[0]}) > 10
 
 
 def test_labels_beyond_calibration_are_counted(spark, monkeypatch):
@@ -51,7 +110,7 @@ def test_labels_beyond_calibration_are_counted(spark, monkeypatch):
     first = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1]
     rows = [(i, "what a lovely day" if k % 2 else "you are a grumblefrotz") for k, i in enumerate(first)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1 - k % 2) for k, i in enumerate(first)], "doc_id long, label int"))
-    assert model and model.word_ratios(["grumblefrotz"])[0] > toxicity.NOTABLE > 0 > model.word_ratios(["lovely"])[0]
+    assert {r.word for r in model.words.collect()} >= {"grumblefrotz"} and "lovely" not in {r.word for r in model.words.collect()}
 
 
 def test_rotation_oracle(spark, duck):
