@@ -32,6 +32,8 @@ DISCOUNT = 1.5
 MARGIN = 3.5
 #: Labelled documents that the logistic function is fitted on, at most; those with the smallest hashes of their ids. All others are counted.
 MAX_CALIBRATION = 20_000
+#: Words of a block that asks about its windows.
+BLOCK_WORDS = 1 << 15
 #: Up to so many labels are sent to the executors; more are joined by shuffle.
 MAX_SENT_LABELS = 2_000_000
 #: Up to so many words with evidence are sent to the executors, 12 bytes each; more are joined by shuffle.
@@ -67,7 +69,7 @@ def _word_counts(batches):
     for batch in batches:
         texts = textscan.strings(batch.column(0))
         label = np.array([-1 if x is None else int(bool(x)) for x in batch.column(1).to_pylist()])
-        for a, b in textscan.chunks(texts, 1 << 22):
+        for a, b in textscan.chunks(texts):
             cp, starts, ends, docs, hashes = words_of(texts[a:b])
             distinct, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
             own, joined = label[a:b][docs], _text(cp)
@@ -165,26 +167,45 @@ def ratios(rows: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndar
     return out
 
 
+def _blocks(batches):
+    """Words with their counts, in blocks of bounded size."""
+    held, n = [], 0
+    for batch in batches:
+        for a in range(0, batch.num_rows, BLOCK_WORDS):
+            part = batch.slice(a, BLOCK_WORDS)
+            if n + part.num_rows > BLOCK_WORDS:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+            held.append(part)
+            n += part.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _asked(buckets: int):
-    """Of (word, ordinary, toxic): a row with the words, and a row for each bucket with their windows and counts."""
+    """Of (word, ordinary, toxic): a row with the words, and a row for each bucket with their distinct windows and counts."""
 
     def run(batches):
         pack, number = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1 << 16):
-                words, o, t = (batch.column(c).slice(a, 1 << 16) for c in range(3))
-                words, o, t = words.to_pylist(), np.asarray(o), np.asarray(t)
-                rows, owner = windows(words)
-                bucket = (key_of(rows) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                some, first = np.unique(bucket[order], return_index=True)
-                bodies = [_body(pack, np.frombuffer("\n".join(words).encode(), "u1"), owner[order].astype("<u4"))]
-                edges = [*first.tolist(), len(order)]
-                for x, y in zip(edges, edges[1:]):
-                    own = order[x:y]
-                    bodies.append(_body(pack, rows[own].astype("<u4"), o[owner[own]].astype("<i8"), t[owner[own]].astype("<i8")))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(_HEAD, some).astype(np.int32)), pa.array(np.full(len(some) + 1, number)), pa.array(bodies, pa.binary())], ["bucket", "block", "body"])
-                number += 1
+        for table in _blocks(batches):
+            words, o, t = table["word"].to_pylist(), np.asarray(table["ordinary"]), np.asarray(table["toxic"])
+            every, owner = windows(words)
+            # many words begin or end alike: each window is asked about once, with the counts of all its words
+            _, first, back = np.unique(_hashes(every)[ORDER], return_index=True, return_inverse=True)
+            rows = every[first]
+            n = [np.bincount(back, x[owner], len(rows)).astype("<i8") for x in (o, t)]
+            bucket = (key_of(rows) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            some, begin = np.unique(bucket[order], return_index=True)
+            bodies = [_body(pack, np.frombuffer("\n".join(words).encode(), "u1"), np.bincount(owner, minlength=len(words)).astype("<u4"), place[back].astype("<u4"))]
+            edges = [*begin.tolist(), len(order)]
+            for x, y in zip(edges, edges[1:]):
+                own = order[x:y]
+                bodies.append(_body(pack, rows[own].astype("<u4"), n[0][own], n[1][own]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(_HEAD, some).astype(np.int32)), pa.array(np.full(len(some) + 1, number)), pa.array(bodies, pa.binary())], ["bucket", "block", "body"])
+            number += 1
 
     return run
 
@@ -219,11 +240,11 @@ def _evidence(margin: float):
     """Of rows sorted by block and bucket: words whose ratio exceeds margin, and by how much."""
 
     def done(head: bytes, answers: list[bytes]):
-        words, owner = _arrays(head, "u1", "<u4")
+        words, size, place = _arrays(head, "u1", "<u4", "<u4")
         words, ratio = words.tobytes().decode().split("\n"), np.frombuffer(b"".join(answers), "<f4")
-        if len(ratio) != len(owner):
+        if len(ratio) != len(np.unique(place)):
             raise ValueError("a block's buckets did not all answer")
-        total = np.bincount(owner, ratio, len(words)) - margin
+        total = np.bincount(np.repeat(np.arange(len(words)), size), ratio[place], len(words)) - margin
         loud = np.flatnonzero(total > 0)
         return pa.RecordBatch.from_arrays([pa.array([words[i] for i in loud.tolist()], pa.string()), pa.array(total[loud])], ["word", "excess"])
 
