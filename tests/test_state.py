@@ -118,3 +118,32 @@ def test_quantitative_recovery(spark):
     own = [("PUT", f"mix_{i:04d}", "v1") for i in range(1000)] + [("PUT", f"mix_{i:04d}", "v2") for i in range(500)] + [("DELETE", f"mix_{i:04d}") for i in range(500, 750)]
     found = as_dict(segments.recover(log(spark, *own), 100, 1300))
     assert sum(v == "v2" for v in found.values()) == 500 and sum(v == "v1" for v in found.values()) == 250
+
+
+def test_what_stood_behind_a_conflict_is_gone(spark):
+    rows = [(i, 1, "k", "PUT") for i in range(1, 11)] + [(6, 2, "k", "DELETE"), (7, 2, "k", "DELETE")]
+    for span in (1, 3, 1000):
+        got = sorted((r.seq, r.term) for r in state.resolve_terms(spark.createDataFrame(rows, "seq long, term long, key string, op string"), span).collect())
+        assert got == [(i, 1) for i in range(1, 6)] + [(6, 2), (7, 2)]
+
+
+@pytest.mark.parametrize("bad", [{"total": -1}, {"concurrency": 0}, {"read_mode": "quorum"}, {"prefill": -1}, {"warmup": -1}, {"timeout": 0}, {"write_ratio": 1.1}, {"delete_ratio": -0.1}, {"keyspace": 0}, {"value_size": 0}])
+def test_validation(bad):
+    own = {"total": 0, "write_ratio": 0.5, "delete_ratio": 0.5, "keyspace": 1, "value_size": 1}
+    workload.validate(**own)
+    with pytest.raises(ValueError):
+        workload.validate(**(own | bad))
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 50])
+def test_any_ranges_of_keys_give_the_same(spark, ranges):
+    own = random_log(spark, 300, 25)
+    segs, keys = segments.assign(own, 30), own.select("key").union(spark.createDataFrame([("a",), ("zzz",)], "key string"))
+    zones = [(r.min_key, r.max_key, r.seg_order) for r in segments.zone_maps(segs).collect()]
+    hits = {}
+    for r in segs.collect():
+        hits[r.key] = max(hits.get(r.key, -1), r.seg_order)
+    wanted = {r.key for r in keys.collect()}
+    touched = {k: (sum(a <= k <= b and s >= hits.get(k, -1) for a, b, s in zones), k in hits) for k in wanted}
+    assert {r.key: (r.touched, r.found) for r in segments.read_amplification(segs, keys, ranges).collect()} == touched
+    assert {r.key: r.pruned for r in segments.prune_ratio(segs, keys, ranges).collect()} == {k: sum(not a <= k <= b for a, b, _ in zones) for k in wanted}

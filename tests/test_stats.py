@@ -17,6 +17,31 @@ def test_nearest_rank(spark, n):
     assert row.avg_ns == sum(xs) // n and row.max_ns == max(xs)
 
 
+def test_percentiles_of_groups_with_ties_nulls_and_large_values(spark):
+    r = random.Random(3)
+    rows = [(g, r.choice([None, r.randrange(5), r.randrange(10**6), r.randrange(10**15)])) for g in ("a", "b", None) for _ in range(400)] + [("empty", None), ("neg", -5), ("neg", -700), ("neg", 3)]
+    got = {x.g: x for x in stats.latency(spark.createDataFrame(rows, "g string, latency_ns long"), "g").collect()}
+    for g in ("a", "b", None, "empty", "neg"):
+        xs = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g].n == len(xs) and got[g].max_ns == max(xs, default=0)
+        for name, p in stats.PERCENTILES.items():
+            assert got[g][f"{name}_ns"] == (xs[max(0, math.ceil(len(xs) * p) - 1)] if xs else 0)
+
+
+def test_quorum_of_the_current_term(spark):
+    rows = [("a", 5, 2, 2), ("a", 4, 2, 2), ("a", 1, 1, 2), ("b", 5, 1, 2), ("b", 4, 1, 2), ("b", 9, 2, 2)]
+    df = spark.createDataFrame(rows, "c string, match_index long, t long, now long")
+    assert {r.c: r.commit_index for r in stats.quorum_index(df, ["c"]).collect()} == {"a": 4, "b": 5}
+    assert {r.c: r.commit_index for r in stats.quorum_index(df, ["c"], term="t", current="now").collect()} == {"a": 4, "b": None}
+
+
+def test_what_cannot_be_read_is_a_mismatch(spark):
+    bodies = ["", "x", "[]", '"x"', '{"value":5}', '{"value":', '{"other":1}', '{"value":null}', "{}", '{"value":""}']
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    flags = E.matches(F.lit(200), F.col("body"), F.lit(None).cast("string"), F.lit(""))
+    assert [r[0] for r in df.select(flags["success"]).collect()] == [False] * 6 + [True] * 4
+
+
 def test_no_latencies_give_zeros(spark):
     row = stats.latency(spark.createDataFrame([], "latency_ns long")).first()
     assert tuple(row) == (0,) * 7

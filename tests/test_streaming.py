@@ -31,11 +31,50 @@ def test_restart_duplicates_and_disorder(spark, tmp_path):
     assert len(rows) == 3  # the late and the repeated write changed nothing
 
 
+def batches(spark, n=5):
+    for i in range(n):
+        yield i, spark.createDataFrame([(10 * i + 1, "PUT", f"k{i}", f"v{i}"), (10 * i + 2, "DELETE" if i == 4 else "PUT", "k0", None if i == 4 else f"w{i}")], SCHEMA)
+
+
 @pytest.mark.parametrize("compaction", [True, False])
 def test_segment_sink(spark, tmp_path, compaction):
-    sink = apply.SegmentSink(str(tmp_path / "segs"), compact_every=2, enable_compaction=compaction)
-    for i in range(5):
-        sink(spark.createDataFrame([(10 * i + 1, "PUT", f"k{i}", f"v{i}"), (10 * i + 2, "DELETE" if i == 4 else "PUT", "k0", None if i == 4 else f"w{i}")], SCHEMA), i)
+    sink = apply.SegmentSink(str(tmp_path / "segs"), threshold=2, enable_compaction=compaction)
+    for i, batch in batches(spark):
+        sink(batch, i)
     got = {r.key: r.value for r in segments.visible(sink.read(spark)).collect()}
     assert got == {f"k{i}": f"v{i}" for i in range(1, 5)}
-    assert sink.read(spark).select("seg_order").distinct().count() == (2 if compaction else 5)
+    assert len(sink.manifest(spark)) == sink.read(spark).select("seg_order").distinct().count() == (1 if compaction else 5)
+    assert sorted(x.name for x in (tmp_path / "segs").iterdir() if x.is_dir()) == sorted(sink.manifest(spark))  # vacuumed
+
+
+def test_only_the_oldest_segments_are_merged(spark, tmp_path):
+    sink = apply.SegmentSink(str(tmp_path / "segs"), threshold=4)
+    for i, batch in batches(spark, 4):
+        sink(batch, i)
+    assert sink.manifest(spark) == ["m000000000-00000_000000003-00000"]
+    for i, batch in list(batches(spark, 5))[4:]:
+        sink(batch, i)
+        sink(batch, i)  # delivered again
+    assert sink.manifest(spark) == ["m000000000-00000_000000003-00000", "b000000004-00000"]
+    for i, batch in list(batches(spark, 4))[2:]:
+        sink(batch, i)  # delivered again after its merge
+    assert {r.key: r.value for r in segments.visible(sink.read(spark)).collect()} == {f"k{i}": f"v{i}" for i in range(1, 5)}
+
+
+def test_flush_by_size(spark, tmp_path):
+    sink = apply.SegmentSink(str(tmp_path / "segs"), enable_compaction=False, flush_bytes=1000)
+    rows = [(i, "PUT" if i % 7 else "DELETE", f"k{i % 60:03d}", f"value {i}" if i % 7 else None) for i in range(1, 400)]
+    sink(spark.createDataFrame(rows, SCHEMA), 0)
+    assert len(sink.manifest(spark)) > 3
+    want = {}
+    for _, op, k, v in rows:
+        want[k] = v if op == "PUT" else None
+    assert {r.key: r.value for r in segments.visible(sink.read(spark)).collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_garbage_goes(spark, tmp_path):
+    sink = apply.SegmentSink(str(tmp_path / "segs"))
+    for i, batch in batches(spark, 1):
+        sink(batch, i)
+    (tmp_path / "segs" / "b000000099-00000").mkdir()  # of a batch that broke off
+    assert sink.vacuum(spark) == ["b000000099-00000"]

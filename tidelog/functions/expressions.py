@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +48,13 @@ def error_type(operation: Column, status: Column, body: Column, error: Column) -
     return F.when(error.isNotNull(), network_error(error)).when(~success(operation, status, error), http_failure(status, body))
 
 
+def json_object(body: Column) -> Column:
+    """Whether the text is a JSON object whose value, if it has one, is a text; what else comes can't be read."""
+    parsed = F.try_parse_json(body)
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.value", "variant"))
+    return F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT") & (kind.isNull() | kind.isin("STRING", "VOID")), F.lit(False))
+
+
 def matches(status: Column, body: Column, error: Column, expected: Column) -> dict[str, Column]:
     """Flags of a verified read. The first rule that fits decides; a 500 may set a second flag with it."""
     low, failed = F.lower(F.coalesce(body, F.lit(""))), F.lower(error)
@@ -63,7 +68,7 @@ def matches(status: Column, body: Column, error: Column, expected: Column) -> di
         .when(status == 503, "http_503")
         .when(status == 500, "http_500")
         .when(status != 200, "other_error")
-        .when(F.coalesce(F.get_json_object(body, "$.value"), F.lit("")) == expected, "success")
+        .when(json_object(body) & (F.coalesce(F.get_json_object(body, "$.value"), F.lit("")) == expected), "success")
         .otherwise("result_mismatch")
     )
     names = ["success", "result_mismatch", "not_leader", "request_timeout", "leadership_changed", "http_500", "http_503", "other_error"]
@@ -124,21 +129,21 @@ def get_qps(reported: Column, successes: Column, seconds: Column) -> Column:
     return F.when(reported > 0, reported).when(seconds > 0, successes / seconds).otherwise(F.lit(0.0))
 
 
-def duration_text(ns: int) -> str:
-    """Such as 1.5s, 250ms, 1h2m3s."""
-    if ns == 0:
-        return "0s"
-    sign, ns = ("-", -ns) if ns < 0 else ("", ns)
-    for unit, size in (("ns", 1), ("µs", 1_000), ("ms", 1_000_000)):
-        if ns < size * 1000:
-            return sign + _decimal(ns, size) + unit
-    minutes, rest = divmod(ns, 60_000_000_000)
-    hours, minutes = divmod(minutes, 60)
-    head = (f"{hours}h" if hours else "") + (f"{minutes}m" if hours or minutes else "")
-    return sign + head + _decimal(rest, 1_000_000_000) + "s"
-
-
-def _decimal(n: int, size: int) -> str:
-    whole, part = divmod(n, size)
-    digits = str(part).zfill(len(str(size)) - 1) if size > 1 else ""
-    return re.sub(r"\.?0*$", "", f"{whole}.{digits}") if part else str(whole)
+def duration_text(ns: Column) -> Column:
+    """Such as 1.5s, 250ms, 1h2m3s, from whole nanoseconds."""
+    ns = ns.cast("long")
+    size = F.abs(ns.cast("decimal(20,0)"))  # the smallest long has no positive one
+
+    def decimal(n: Column, digits: int) -> Column:
+        unit = F.lit(10**digits).cast("decimal(20,0)")
+        whole = F.floor(n / unit).cast("decimal(20,0)")
+        part = F.lpad((n - whole * unit).cast("decimal(20,0)").cast("string"), digits, "0")
+        return F.regexp_replace(F.concat(whole.cast("string"), F.lit("."), part), r"\.?0+$", "")
+
+    minutes = F.floor(size / F.lit(60 * 10**9)).cast("decimal(20,0)")
+    hours = F.floor(minutes / 60).cast("decimal(20,0)")
+    left = lambda n, unit: F.concat((n).cast("decimal(20,0)").cast("string"), F.lit(unit))
+    head = F.concat(F.when(hours > 0, left(hours, "h")).otherwise(""), F.when(minutes > 0, left(minutes - hours * 60, "m")).otherwise(""))
+    long = F.concat(head, decimal((size - minutes * F.lit(60 * 10**9)).cast("decimal(20,0)"), 9), F.lit("s"))
+    shown = F.when(size < 1000, F.concat(size.cast("string"), F.lit("ns"))).when(size < 10**6, F.concat(decimal(size, 3), F.lit("µs"))).when(size < 10**9, F.concat(decimal(size, 6), F.lit("ms"))).otherwise(long)
+    return F.when(ns == 0, "0s").otherwise(F.concat(F.when(ns < 0, "-").otherwise(""), shown))

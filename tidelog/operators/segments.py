@@ -65,26 +65,44 @@ def flush_boundaries(log: DataFrame, limit: int = 4096) -> DataFrame:
     return own.select("shard", "seq", "key", "op", "value").groupBy("shard").applyInPandas(fold, "shard long, seq long, key string, op string, value string, seg_order long")
 
 
-def read_amplification(segments: DataFrame, keys: DataFrame) -> DataFrame:
-    """For each key: segments whose range holds it and that a read touches, newest first, until one has it.
+#: Ranges that keys are dealt to where they meet the ranges of segments.
+RANGES = 256
 
-    The catalog has one row for each segment; Spark decides by its size whether it is broadcast.
-    """
+
+def _cuts(keys: DataFrame, ranges: int) -> list[str]:
+    """At most ranges - 1 keys that cut the wanted keys into about equal ranges, from a sample of bounded size."""
+    some = keys.select("key").orderBy(F.xxhash64("key")).limit(ranges * 16)
+    found = sorted(r.key for r in some.collect())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+
+
+def _in_range(keys: DataFrame, zones: DataFrame, ranges: int) -> DataFrame:
+    """Keys with every segment whose range holds them: both are dealt to ranges of keys, so the join is by equality, and a
+    segment goes only to the ranges that it reaches into."""
+    cuts = F.array(*[F.lit(c) for c in _cuts(keys, ranges)]).cast("array<string>")
+    at = lambda c: F.size(F.filter(cuts, lambda x: x <= c))
+    own = keys.withColumn("_range", at(F.col("key")))
+    reach = zones.withColumn("_range", F.explode(F.sequence(at(F.col("min_key")), at(F.col("max_key")))))
+    return own.join(reach, "_range").where((F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).drop("_range")
+
+
+def read_amplification(segments: DataFrame, keys: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """For each key: segments whose range holds it and that a read touches, newest first, until one has it."""
     zones = zone_maps(segments).select("seg_order", "min_key", "max_key")
     newest = segments.groupBy("key").agg(F.max("seg_order").alias("hit"))
     wanted = keys.select("key").distinct().join(newest, "key", "left")
-    near = wanted.join(zones, (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")), "left")
-    touched = F.count_if(F.col("seg_order").isNotNull() & (F.col("hit").isNull() | (F.col("seg_order") >= F.col("hit"))))
-    return near.groupBy("key").agg(touched.alias("touched"), F.max("hit").isNotNull().alias("found"))
+    near = _in_range(wanted, zones, ranges)
+    touched = near.where(F.col("hit").isNull() | (F.col("seg_order") >= F.col("hit"))).groupBy("key").agg(F.count("*").alias("touched"))
+    return wanted.join(touched, "key", "left").select("key", F.coalesce("touched", F.lit(0)).alias("touched"), F.col("hit").isNotNull().alias("found"))
 
 
-def prune_ratio(segments: DataFrame, keys: DataFrame) -> DataFrame:
+def prune_ratio(segments: DataFrame, keys: DataFrame, ranges: int = RANGES) -> DataFrame:
     """For each key: segments that the zone maps leave out, of all."""
-    zones = zone_maps(segments)
-    total = zones.agg(F.count("*").alias("segments"))
-    inside = (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))
-    held = keys.select("key").distinct().join(zones, inside, "left").groupBy("key").agg(F.count("seg_order").alias("in_range"))
-    return held.join(F.broadcast(total)).select("key", (F.col("segments") - F.col("in_range")).alias("pruned"), "segments")
+    zones = zone_maps(segments).select("seg_order", "min_key", "max_key")
+    total = zones.agg(F.count("*").alias("segments"))  # one row
+    wanted = keys.select("key").distinct()
+    held = _in_range(wanted, zones, ranges).groupBy("key").agg(F.count("*").alias("in_range"))
+    return wanted.join(held, "key", "left").join(F.broadcast(total)).select("key", (F.col("segments") - F.coalesce("in_range", F.lit(0))).alias("pruned"), "segments")
 
 
 def merge(segments: DataFrame, drop_tombstones: bool = False) -> DataFrame:

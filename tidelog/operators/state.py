@@ -100,10 +100,25 @@ def live_by_bucket(log: DataFrame, size: int) -> DataFrame:
     return last.groupBy("bucket").agg(F.count("*").alias("n_keys"), F.count_if(live()).alias("n_live"))
 
 
-def resolve_terms(log: DataFrame) -> DataFrame:
-    """One entry for each seq of a log with diverging copies: the one with the highest term."""
+def resolve_terms(log: DataFrame, span: int = SPAN) -> DataFrame:
+    """The log that is left of diverging copies: of each seq the entry with the highest term, cut off behind conflicts.
+
+    An entry with a lower term than one before it stood in a copy that was cut there, so it is gone. The highest term
+    before an entry comes from spans of seq, like in linear_reads: a row for each span meets in one task.
+    """
     fields = [c for c in log.columns if c not in ("seq", "term")]
-    return log.groupBy("seq").agg(F.max_by(F.struct("term", *fields), "term").alias("e")).select("seq", "e.term", *[f"e.{c}" for c in fields])
+    best = log.groupBy("seq").agg(F.max_by(F.struct("term", *fields), "term").alias("e"))
+    best = best.select("seq", F.col("e.term").alias("term"), "e", F.floor(F.col("seq") / span).alias("span"))
+    upto = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = best.groupBy("span").agg(F.max("term").alias("top")).select("span", F.max("top").over(upto).alias("before"))
+    inside = F.max("term").over(Window.partitionBy("span").orderBy("seq"))
+    kept = best.withColumn("inside", inside).join(before, "span").where(F.col("term") >= F.greatest("inside", F.coalesce("before", "inside")))
+    return kept.select("seq", "term", *[f"e.{c}" for c in fields])
+
+
+def up_to_date(last_term: Column, last_seq: Column, own_term: Column, own_seq: Column) -> Column:
+    """Whether a log that ends with (last_term, last_seq) is at least as new as the own one: terms first, then length."""
+    return F.struct(last_term.alias("t"), last_seq.alias("s")) >= F.struct(own_term.alias("t"), own_seq.alias("s"))
 
 
 def results(commands: DataFrame, applied: DataFrame) -> DataFrame:

@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from tidelog.functions import expressions as E
 
 
-def validate(total: int, write_ratio: float, delete_ratio: float, keyspace: int, value_size: int, concurrency: int = 1) -> None:
-    if total <= 0 or keyspace <= 0 or value_size <= 0 or concurrency <= 0:
-        raise ValueError("total, keyspace, value_size and concurrency must be positive")
+READ_MODES = ("raft", "local")
+
+
+def validate(total: int, write_ratio: float, delete_ratio: float, keyspace: int, value_size: int, concurrency: int = 1, read_mode: str = "raft", prefill: int = 0, warmup: int = 0, timeout: float = 5.0) -> None:
+    """A ValueError that names the first setting that no run can have. No request at all (total 0) is allowed."""
+    for name, value, least in (("concurrency", concurrency, 1), ("total", total, 0), ("keyspace", keyspace, 1), ("value_size", value_size, 1), ("prefill", prefill, 0), ("warmup", warmup, 0)):
+        if value < least:
+            raise ValueError(f"{name} must be at least {least}, not {value}")
     if not 0 <= write_ratio <= 1 or not 0 <= delete_ratio <= 1 or write_ratio + delete_ratio > 1:
         raise ValueError("write_ratio and delete_ratio must lie in 0 to 1, as must their sum")
+    if read_mode not in READ_MODES:
+        raise ValueError(f"read_mode must be one of {', '.join(READ_MODES)}, not {read_mode!r}")
+    if timeout <= 0:
+        raise ValueError(f"timeout must be greater than 0, not {timeout}")
 
 
 def tasks(spark: SparkSession, total: int, write_ratio: float, delete_ratio: float, keyspace: int, value_size: int, seed: int) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import expressions as E
 from tidelog.operators import segments, state, stats, workload
-from tidelog.sources import binary, changelog, requests
+from tidelog.plans import report
+from tidelog.sources import binary, changelog, files, requests
 from tidelog.streaming import apply as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,13 +187,31 @@ def kv_orders_state(spark, sf_dir):
 
 @query(
     "log_term_conflict",
-    """SELECT seq, CAST(CASE WHEN seq % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS term, key,
-    CASE WHEN seq % 10 = 0 THEN 'DELETE' ELSE op END AS op FROM ops""",
+    """, own AS (SELECT seq, 1 + seq // 100 AS term, key, op FROM ops),
+    copies AS (SELECT * FROM own UNION ALL SELECT seq, term + 1, key, 'DELETE' FROM own WHERE seq % 100 BETWEEN 50 AND 59),
+    best AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY term DESC) AS rn FROM copies),
+    cut AS (SELECT *, max(term) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS top FROM best WHERE rn = 1)
+    SELECT seq, term, key, op FROM cut WHERE term = top""",
 )
 def log_term_conflict(spark, sf_dir):
-    own = log(spark, sf_dir).select("seq", F.lit(1).cast("long").alias("term"), "key", "op")
-    other = own.where("seq % 10 = 0").select("seq", F.lit(2).cast("long").alias("term"), "key", F.lit("DELETE").alias("op"))
-    return state.resolve_terms(own.unionByName(other))
+    """Another leader overwrote some entries of each hundred in a higher term: what stood behind them is gone."""
+    own = log(spark, sf_dir).select("seq", (F.floor(F.col("seq") / 100) + 1).alias("term"), "key", "op")
+    other = own.where("seq % 100 BETWEEN 50 AND 59").select("seq", (F.col("term") + 1).alias("term"), "key", F.lit("DELETE").alias("op"))
+    return state.resolve_terms(own.unionByName(other), span=1000)
+
+
+@query(
+    "log_up_to_date",
+    """, n AS (SELECT user_id % 7 AS node, max(1 + seq // 1000) AS last_term, max(seq) AS last_seq FROM ops GROUP BY 1)
+    SELECT a.node, b.node AS candidate, b.last_term > a.last_term OR (b.last_term = a.last_term AND b.last_seq >= a.last_seq) AS vote
+    FROM n a JOIN n b ON (a.node + 1) % 7 = b.node""",
+)
+def log_up_to_date(spark, sf_dir):
+    events = changelog.table(spark, sf_dir, "events")
+    seq = F.col("event_id") + 1
+    nodes = events.groupBy((F.col("user_id") % 7).alias("node")).agg(F.max(F.floor(seq / 1000) + 1).alias("last_term"), F.max(seq).alias("last_seq"))
+    other = nodes.select(F.col("node").alias("candidate"), ((F.col("node") + 6) % 7).alias("node"), F.col("last_term").alias("t"), F.col("last_seq").alias("s"))
+    return nodes.join(other, "node").select("node", "candidate", state.up_to_date(F.col("t"), F.col("s"), F.col("last_term"), F.col("last_seq")).alias("vote"))
 
 
 @query(
@@ -254,10 +273,23 @@ def compact_full_gc(spark, sf_dir):
     return segments.merge(segs(spark, sf_dir), drop_tombstones=True)
 
 
-@query("compact_equivalence", "SELECT CAST(0 AS BIGINT) AS only_before, CAST(0 AS BIGINT) AS only_after", using="")
+@query(
+    "compact_equivalence",
+    """, after AS (SELECT key, seq, op, value, (SELECT max(seg_order) FROM picked) AS seg_order FROM merged4
+                   UNION ALL SELECT key, seq, op, value, seg_order FROM segs WHERE seg_order NOT IN (SELECT seg_order FROM picked)),
+    seen AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seg_order DESC) AS rn FROM after) WHERE rn = 1 AND op = 'PUT')
+    SELECT (SELECT count(*) FROM latest WHERE op = 'PUT') AS before, (SELECT count(*) FROM seen) AS after, (SELECT count(*) FROM segs) AS rows_before,
+           (SELECT count(*) FROM after) AS rows_after, CAST(0 AS BIGINT) AS only_before, CAST(0 AS BIGINT) AS only_after""",
+)
 def compact_equivalence(spark, sf_dir):
+    """A round of compaction leaves fewer entries and the same state."""
     own = segs(spark, sf_dir)
-    return segments.difference(segments.visible(own), segments.visible(segments.compacted(own, 4)))
+    once = segments.compacted(own, 4)
+    counts = [f.agg(F.count("*").alias(n)) for f, n in ((segments.visible(own), "before"), (segments.visible(once), "after"), (own, "rows_before"), (once, "rows_after"))]
+    out = segments.difference(segments.visible(own), segments.visible(once))
+    for c in counts:
+        out = out.join(F.broadcast(c))  # one row each
+    return out
 
 
 @query(
@@ -289,13 +321,17 @@ def recover_union(spark, sf_dir):
 
 @query(
     "manifest_order",
-    """SELECT * FROM (VALUES (CAST(5 AS BIGINT), 1), (CAST(1 AS BIGINT), 2), (CAST(7 AS BIGINT), 3), (CAST(2 AS BIGINT), 4), (CAST(9 AS BIGINT), 5)) t(file_id, place)""",
-    using="",
+    """, ids AS (SELECT DISTINCT seg_order + 1 AS id FROM segs), n AS (SELECT max(id) AS n FROM ids),
+    listed AS (SELECT id, row_number() OVER (ORDER BY id % 3, id) AS pos FROM ids WHERE id < (SELECT n FROM n))
+    SELECT i.id AS file_id, row_number() OVER (ORDER BY pos NULLS LAST, i.id) AS place FROM ids i LEFT JOIN listed l ON i.id = l.id""",
 )
 def manifest_order(spark, sf_dir):
-    lines = spark.createDataFrame([(0, "1,2"), (1, "5,x,1,8,7"), (2, "  ")], "line_no long, value string")
-    files = spark.createDataFrame([(i,) for i in (1, 2, 5, 7, 9)], "file_id long")
-    return segments.manifest_order(lines, files)
+    """Two lines of a manifest written and read again; the newest file is not listed yet."""
+    ids = sorted(r.seg_order + 1 for r in segs(spark, sf_dir).select("seg_order").distinct().collect())
+    file = f"{streaming.shared_folder(spark, 'manifest')}/manifest.log"
+    binary.append_manifest(spark, file, ids[:2])
+    binary.append_manifest(spark, file, [*sorted(ids[:-1], key=lambda i: (i % 3, i)), max(ids) + 100])
+    return segments.manifest_order(binary.read_manifest(spark, file), spark.createDataFrame([(i,) for i in ids], "file_id long"))
 
 
 # requests
@@ -397,14 +433,14 @@ def tele_counter_delta(spark, sf_dir):
 
 @query(
     "tele_cluster_rollup",
-    """, each AS (SELECT cluster, node, count(*) AS gets, CAST(sum(counter) AS BIGINT) AS touched, max(counter) AS touched_max, bool_and(counter >= 0) AS enabled FROM nodes GROUP BY cluster, node)
-    SELECT cluster, CAST(sum(gets) AS BIGINT) AS gets, CAST(sum(touched) AS BIGINT) AS touched, max(touched_max) AS touched_max, bool_and(enabled) AS enabled,
+    """, each AS (SELECT cluster, node, count(*) AS gets, CAST(sum(counter) AS BIGINT) AS touched, max(counter) AS touched_max, bool_and(counter >= 0) AS enabled, max(event_id) AS last_id, arg_max(counter, event_id) AS last_touched FROM nodes GROUP BY cluster, node)
+    SELECT cluster, arg_max(last_touched, last_id) AS last_touched, CAST(sum(gets) AS BIGINT) AS gets, CAST(sum(touched) AS BIGINT) AS touched, max(touched_max) AS touched_max, bool_and(enabled) AS enabled,
            CAST(sum(touched) AS DOUBLE) / sum(gets) AS touched_per_get FROM each GROUP BY cluster""",
     using=NODES,
 )
 def tele_cluster_rollup(spark, sf_dir):
-    each = nodes(spark, sf_dir).groupBy("cluster", "node").agg(F.count("*").alias("gets"), F.sum("counter").alias("touched"), F.max("counter").alias("touched_max"), F.bool_and(F.col("counter") >= 0).alias("enabled"))
-    return stats.rollup(each, ["cluster"], ["gets", "touched"], ["touched_max"], ["enabled"], {"touched_per_get": ("touched", "gets")})
+    each = nodes(spark, sf_dir).groupBy("cluster", "node").agg(F.count("*").alias("gets"), F.sum("counter").alias("touched"), F.max("counter").alias("touched_max"), F.bool_and(F.col("counter") >= 0).alias("enabled"), F.max("event_id").alias("last_id"), F.max_by("counter", "event_id").alias("last_touched"))
+    return stats.rollup(each, ["cluster"], ["gets", "touched"], ["touched_max"], ["enabled"], {"touched_per_get": ("touched", "gets")}, {"last_touched": "last_id"})
 
 
 @query(
@@ -424,13 +460,20 @@ def tele_leader(spark, sf_dir):
 @query(
     "tele_quorum_index",
     """, each AS (SELECT cluster, node, max(event_id) AS match_index FROM nodes GROUP BY cluster, node),
+    last AS (SELECT cluster, max(1 + event_id // 100) AS current FROM nodes GROUP BY cluster),
     r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY match_index DESC) AS place, count(*) OVER (PARTITION BY cluster) AS n FROM each)
-    SELECT cluster, match_index AS commit_index FROM r WHERE place = n // 2 + 1""",
+    SELECT r.cluster, match_index AS any_term, CASE WHEN 1 + match_index // 100 = current - r.cluster % 2 THEN match_index END AS commit_index
+    FROM r JOIN last l ON r.cluster = l.cluster WHERE place = n // 2 + 1""",
     using=NODES,
 )
 def tele_quorum_index(spark, sf_dir):
-    each = nodes(spark, sf_dir).groupBy("cluster", "node").agg(F.max("event_id").alias("match_index"))
-    return stats.quorum_index(each, ["cluster"])
+    """Terms change every hundred entries; every second cluster's leader is still in the term before the last."""
+    own = nodes(spark, sf_dir)
+    term = lambda c: F.floor(c / 100) + 1
+    each = own.groupBy("cluster", "node").agg(F.max("event_id").alias("match_index")).withColumn("match_term", term(F.col("match_index")))
+    last = own.groupBy("cluster").agg((F.max(term(F.col("event_id"))) - F.first(F.col("cluster") % 2)).alias("current"))
+    plain = stats.quorum_index(each, ["cluster"]).withColumnRenamed("commit_index", "any_term")
+    return plain.join(stats.quorum_index(each.join(last, "cluster"), ["cluster"], term="match_term", current="current"), "cluster")
 
 
 @query(
@@ -461,13 +504,13 @@ def exp_matrix(spark, sf_dir):
 
 @query(
     "exp_group_summary",
-    """SELECT event_type AS scenario, count(*) AS runs, count(CASE WHEN value >= 1 THEN 1 END) AS passed, min(value) AS min_ms, max(value) AS max_ms, bool_and(value >= 1) AS all_passed
+    """SELECT event_type AS scenario, count(*) AS runs, count(CASE WHEN value >= 1 THEN 1 END) AS passed, round(CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*), 6) AS avg_ms, min(value) AS min_ms, max(value) AS max_ms, bool_and(value >= 1) AS all_passed
     FROM events GROUP BY event_type""",
     using="",
 )
 def exp_group_summary(spark, sf_dir):
     runs = changelog.table(spark, sf_dir, "events").select(F.col("event_type").alias("scenario"), F.col("value").alias("ms"), (F.col("value") >= 1).alias("pass"))
-    return stats.experiment_summary(runs).drop("avg_ms")
+    return stats.experiment_summary(runs).withColumn("avg_ms", F.round("avg_ms", 6))
 
 
 @query(
@@ -538,3 +581,245 @@ def src_sst_roundtrip(spark, sf_dir):
     path = streaming.shared_folder(spark, "segment-files")
     binary.write_segments(state.latest(log(spark, sf_dir)).select("key", F.when(state.live(), F.col("value")).alias("value")), path)
     return binary.read_segments(spark, path).select(F.col("key").cast("string"), F.col("value").cast("string"))
+
+
+@query(
+    "sst_point_get",
+    """, wanted AS (SELECT 'user_' || CAST(n AS VARCHAR) AS key FROM (SELECT unnest([3, 42, 77, 100000]) AS n))
+    SELECT key, value, true AS found FROM (SELECT key, CASE WHEN op = 'PUT' THEN value END AS value FROM latest) WHERE key IN (SELECT key FROM wanted)""",
+)
+def sst_point_get(spark, sf_dir):
+    """Point reads of segment files: only files whose range holds a key are opened, and one block of each."""
+    path = streaming.shared_folder(spark, "segment-files")
+    binary.write_segments(state.latest(log(spark, sf_dir)).select("key", F.when(state.live(), F.col("value")).alias("value")), path, files=8)
+    found = binary.find(spark, path, ["user_3", "user_42", "user_77", "user_100000"])
+    return found.select(F.col("key").cast("string"), F.col("value").cast("string"), F.lit(True).alias("found"))
+
+
+@query(
+    "sst_catalog",
+    """, e AS (SELECT key, CASE WHEN op = 'PUT' THEN value END AS value FROM latest)
+    SELECT min(key) AS first, max(key) AS last, CAST(sum(8 + strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS record_bytes FROM e""",
+)
+def sst_catalog(spark, sf_dir):
+    """Ranges of segment files from their footers, and the bytes of their records: a file without footer and index."""
+    path = streaming.shared_folder(spark, "segment-files")
+    binary.write_segments(state.latest(log(spark, sf_dir)).select("key", F.when(state.live(), F.col("value")).alias("value")), path, files=1)
+    known = binary.segment_catalog(spark, path)
+    rows = binary.read_segments(spark, path)
+    bytes_ = rows.agg(F.sum(8 + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("record_bytes"))
+    return known.agg(F.min("min_key").cast("string").alias("first"), F.max("max_key").cast("string").alias("last")).join(F.broadcast(bytes_))
+
+
+@query("wal_purge", "SELECT count(*) AS records, CAST(0 AS BIGINT) AS logs_left, CAST(1 AS BIGINT) AS next_id FROM writes")
+def wal_purge(spark, sf_dir):
+    """Logs are written, replayed and removed once their records are in segments."""
+    path = streaming.shared_folder(spark, "log-files")
+    binary.write_log(log(spark, sf_dir), path, files=3)
+    n = binary.read_log(spark, path, strict=True).count()
+    binary.remove_files(spark, path, r"\d+wal\.log")
+    return spark.createDataFrame([(n, sum(x.endswith(".log") for x in binary.names(spark, path)), binary.next_file_id(spark, path))], "records long, logs_left long, next_id long")
+
+
+@query("stream_restart", "SELECT key, value, seq FROM latest WHERE op = 'PUT'")
+def stream_restart(spark, sf_dir):
+    """The stream stops after half of the events and goes on from its checkpoint, with some delivered twice."""
+    return streaming.replay_with_restart(spark, sf_dir)
+
+
+@query(
+    "stream_sink_catalog",
+    """, last AS (SELECT * FROM latest WHERE op = 'PUT') SELECT count(*) AS n_keys, CAST(1 AS BIGINT) AS unlisted_never, true AS below_threshold FROM last""",
+)
+def stream_sink_catalog(spark, sf_dir):
+    """Flushes by size, merges of the oldest four, and nothing left that the manifest doesn't list."""
+    sink = streaming.replay_flushes(spark, sf_dir, flush_bytes=1 << 14)
+    listed = sink.manifest(spark)
+    left = set(x for x in binary.names(spark, sink.folder) if x != "manifest" and not x.startswith(".")) - set(listed)
+    return segments.visible(sink.read(spark)).agg(F.count("*").alias("n_keys")).select("n_keys", F.lit(1 - len(left)).cast("long").alias("unlisted_never"), F.lit(len(listed) < sink.threshold).alias("below_threshold"))
+
+
+# reports: written and read again
+
+REPORT = "operation string, total long, succeeded long, failed long, found long, not_found long, success_rate double, success_qps double, max_ns long"
+REPORT_SQL = """, g AS (SELECT operation, count(*) AS total, count(CASE WHEN success THEN 1 END) AS succeeded, max(latency_ns) AS max_ns FROM req GROUP BY operation),
+    r AS (SELECT * FROM g UNION ALL SELECT 'all', CAST(sum(total) AS BIGINT), CAST(sum(succeeded) AS BIGINT), max(max_ns) FROM g)"""
+
+
+def _report(spark, sf_dir):
+    return stats.report(requests.from_events(spark, sf_dir), 3600.0)
+
+
+@query("report_json", REPORT_SQL + " SELECT operation, total, succeeded, max_ns FROM r", using=REQUESTS)
+def report_json(spark, sf_dir):
+    path = streaming.shared_folder(spark, "report")
+    report.to_json(_report(spark, sf_dir).repartition("operation"), path)
+    return spark.read.schema(REPORT).json(path).select("operation", "total", "succeeded", "max_ns")
+
+
+@query("report_csv", REPORT_SQL + " SELECT operation, total, succeeded, max_ns FROM r", using=REQUESTS)
+def report_csv(spark, sf_dir):
+    path = streaming.shared_folder(spark, "report")
+    report.to_csv(_report(spark, sf_dir), path)
+    return files.read_csv(spark, path, REPORT).select("operation", "total", "succeeded", "max_ns")
+
+
+@query("report_tsv", REPORT_SQL + " SELECT operation, total, succeeded, max_ns FROM r", using=REQUESTS)
+def report_tsv(spark, sf_dir):
+    path = streaming.shared_folder(spark, "report")
+    report.to_tsv(_report(spark, sf_dir), path)
+    return files.read_csv(spark, path, REPORT, sep="\t").select("operation", "total", "succeeded", "max_ns")
+
+
+@query("report_markdown", REPORT_SQL + " SELECT '| ' || operation || ' | ' || total || ' | ' || printf('%.4f', succeeded / total) || ' |' AS value FROM r", using=REQUESTS)
+def report_markdown(spark, sf_dir):
+    return report.markdown_lines(_report(spark, sf_dir).select("operation", "total", "success_rate"))
+
+
+@query(
+    "report_console",
+    REPORT_SQL + """, l AS (SELECT operation, 'total' AS name, CAST(total AS VARCHAR) AS t FROM r UNION ALL SELECT operation, 'max_ns', CAST(max_ns AS VARCHAR) FROM r)
+    SELECT rpad(operation, 10, ' ') || rpad(name, 16, ' ') || lpad(t, 20, ' ') AS value FROM l""",
+    using=REQUESTS,
+)
+def report_console(spark, sf_dir):
+    return report.console_lines(_report(spark, sf_dir).select("operation", "total", "max_ns"))
+
+
+@query(
+    "report_rows",
+    """, k AS (SELECT operation, count(*) AS total FROM req GROUP BY operation)
+    SELECT operation, total, CASE WHEN operation = 'get' THEN (SELECT count(*) FROM req WHERE operation = 'get' AND net IS NULL AND http_status = 200) END AS found FROM k""",
+    using=REQUESTS,
+)
+def report_rows(spark, sf_dir):
+    """One-row reports of runs as one table; a run without reads has no such figure."""
+    own = requests.from_events(spark, sf_dir)
+    rows = [stats.report(own.where(F.col("operation") == op), 1.0).where("operation <> 'all'") for op in ("get", "put", "delete")]
+    return report.append_rows(rows[0].select("operation", "total", "found"), *[r.select("operation", "total") for r in rows[1:]])
+
+
+@query(
+    "csv_lines",
+    """SELECT event_id || ',' || CASE WHEN event_id % 3 = 0 THEN '"a ""quoted"", text"' WHEN event_id % 3 = 1 THEN 'plain' ELSE '' END || ',' || printf('%.4f', value) AS value FROM events""",
+    using="",
+)
+def csv_lines(spark, sf_dir):
+    text = F.when(F.col("event_id") % 3 == 0, 'a "quoted", text').when(F.col("event_id") % 3 == 1, "plain")
+    return report.csv_lines(changelog.table(spark, sf_dir, "events").select("event_id", text.alias("text"), "value"))
+
+
+@query(
+    "log_fields",
+    """SELECT CAST(user_id AS VARCHAR) AS "user", event_type AS kind, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) END AS id FROM events WHERE event_id % 5 <> 0""",
+    using="",
+)
+def log_fields(spark, sf_dir):
+    """Prefixed lines of a log file, among others, as columns."""
+    path = streaming.shared_folder(spark, "lines")
+    e = changelog.table(spark, sf_dir, "events")
+    line = F.concat(F.lit("12:00 RESULT|user="), "user_id", F.lit("|kind="), "event_type", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("|id="), "event_id")).otherwise(""))
+    e.select(F.when(F.col("event_id") % 5 == 0, "other line").otherwise(line).alias("value")).write.text(path)
+    return files.fields(spark.read.text(path), "RESULT", ["user", "kind", "id"])
+
+
+@query("log_word_count", "SELECT CAST(sum(CASE WHEN event_id % 4 = 0 THEN 2 WHEN event_id % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM events", using="")
+def log_word_count(spark, sf_dir):
+    path = streaming.shared_folder(spark, "lines")
+    kind = F.col("event_id") % 4
+    lines = F.when(kind == 0, "Compaction begins: compaction of 4").when(kind == 1, "COMPACTION ended").otherwise("put")
+    changelog.table(spark, sf_dir, "events").select(lines.alias("value")).write.text(path)
+    return files.count_in_log(spark, path)
+
+
+@query(
+    "file_figures",
+    """, n AS (SELECT 'node_' || CAST(user_id % 3 AS VARCHAR) AS node, CAST(sum(strlen(event_type) + 1) AS BIGINT) AS bytes FROM events GROUP BY 1)
+    SELECT node, CAST(1 AS BIGINT) AS files, bytes FROM n UNION ALL SELECT NULL, count(*), CAST(sum(bytes) AS BIGINT) FROM n""",
+    using="x AS (SELECT 1)",
+)
+def file_figures(spark, sf_dir):
+    """Files of each node by suffix, and of all nodes."""
+    path = streaming.shared_folder(spark, "files")
+    rows = changelog.table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("n"), F.col("event_type").alias("value"))
+    for i in range(3):
+        rows.where(F.col("n") == i).select("value").coalesce(1).write.text(f"{path}/node_{i}")
+    return files.file_stats(spark, path, "*.txt")
+
+
+@query(
+    "metrics_snapshots",
+    """, m AS (SELECT user_id % 5 AS node, event_id < 5000 AS early, count(*) AS gets FROM events GROUP BY 1, 2)
+    SELECT a.node, CAST(greatest(b.gets * 2 - a.gets, 0) AS BIGINT) AS get_total_delta FROM m a JOIN m b ON a.node = b.node WHERE a.early AND NOT b.early""",
+    using="x AS (SELECT 1)",
+)
+def metrics_snapshots(spark, sf_dir):
+    """Two metrics documents written as JSON and read again; what each node's counters gained."""
+    e = changelog.table(spark, sf_dir, "events")
+    each = e.groupBy((F.col("event_id") < 5000).alias("early"), (F.col("user_id") % 5).alias("node")).agg(F.count("*").alias("gets"))
+    node = F.struct(F.col("node").alias("node_id"), F.struct(F.when(F.col("early"), F.col("gets")).otherwise(F.col("gets") * 2).alias("get_total")).alias("lsm"))
+    docs = each.groupBy("early").agg(F.collect_list(node).alias("nodes")).select(F.when(F.col("early"), "2026-01-01T00:00:00Z").otherwise("2026-01-01T01:00:00Z").alias("timestamp"), "nodes")
+    path = streaming.shared_folder(spark, "metrics")
+    docs.repartition("timestamp").write.json(path)
+    rows = files.node_metrics(spark.read.schema(files.METRICS).json(path)).select("ts", "node", "get_total")
+    first = F.col("ts") == F.to_timestamp(F.lit("2026-01-01T00:00:00Z"))
+    return stats.before_after(rows.where(first), rows.where(~first), ["node"], ["get_total"])
+
+
+@query("req_slow", "SELECT seq, latency_ns / 1e6 AS ms FROM req WHERE latency_ns > 50000000", using=REQUESTS)
+def req_slow(spark, sf_dir):
+    return stats.slower_than(requests.from_events(spark, sf_dir), 50_000_000).select("seq", E.ms(F.col("latency_ns")).alias("ms"))
+
+
+@query(
+    "fmt_text",
+    """SELECT event_id, 'a%20' || CAST(event_id AS VARCHAR) || '%2F%3F' AS path, CASE WHEN event_id % 2 = 0 THEN 'x\\|y<br>z' ELSE 'plain' END AS cell,
+    CASE event_id % 3 WHEN 0 THEN 'raft' WHEN 1 THEN 'local' ELSE 'unknown' END AS read_mode FROM events""",
+    using="",
+)
+def fmt_text(spark, sf_dir):
+    i = F.col("event_id")
+    e = changelog.table(spark, sf_dir, "events")
+    cell = F.when(i % 2 == 0, "x|y\r\nz").otherwise("plain")
+    mode = E.first_text(F.when(i % 3 == 0, "raft").otherwise(""), F.when(i % 3 == 1, "local"))
+    return e.select("event_id", E.path_escape(F.concat(F.lit("a "), i.cast("string"), F.lit("/?"))).alias("path"), E.markdown_escape(cell).alias("cell"), mode.alias("read_mode"))
+
+
+@query(
+    "fmt_duration",
+    """SELECT ns, CASE WHEN ns = 0 THEN '0s' WHEN ns < 1000 THEN ns || 'ns' WHEN ns < 1000000 THEN num3 || 'µs' WHEN ns < 1000000000 THEN num6 || 'ms' ELSE
+      CASE WHEN ns >= 3600000000000 THEN (ns // 3600000000000) || 'h' ELSE '' END || CASE WHEN ns >= 60000000000 THEN (ns // 60000000000 % 60) || 'm' ELSE '' END || num9 || 's' END AS shown
+    FROM (SELECT ns, regexp_replace((ns // 1000) || '.' || lpad(CAST(ns % 1000 AS VARCHAR), 3, '0'), '\\.?0+$', '') AS num3,
+                 regexp_replace((ns // 1000000) || '.' || lpad(CAST(ns % 1000000 AS VARCHAR), 6, '0'), '\\.?0+$', '') AS num6,
+                 regexp_replace((ns % 60000000000 // 1000000000) || '.' || lpad(CAST(ns % 1000000000 AS VARCHAR), 9, '0'), '\\.?0+$', '') AS num9 FROM d)""",
+    using="d AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id * 1237 WHEN 2 THEN event_id * 98765 ELSE event_id * 1234567000 END AS ns FROM events)",
+)
+def fmt_duration(spark, sf_dir):
+    i = F.col("event_id")
+    ns = F.when(i % 4 == 0, i).when(i % 4 == 1, i * 1237).when(i % 4 == 2, i * 98765).otherwise(i * 1234567000)
+    return changelog.table(spark, sf_dir, "events").select(ns.alias("ns")).select("ns", E.duration_text(F.col("ns")).alias("shown"))
+
+
+@query(
+    "exp_old_reports",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'write_only' WHEN 1 THEN 'read_only' WHEN 2 THEN 'read_write_50_50' ELSE 'custom' END AS workload,
+    CASE WHEN event_id % 2 = 0 THEN value + 1 ELSE event_id / 4.0::DOUBLE END AS get_qps FROM events""",
+    using="",
+)
+def exp_old_reports(spark, sf_dir):
+    """Old reports lack names and rates: both follow from what they have."""
+    i = F.col("event_id")
+    e = changelog.table(spark, sf_dir, "events")
+    ratio = F.when(i % 4 == 0, 1.0).when(i % 4 == 1, 0.0).when(i % 4 == 2, 0.5 + 1e-9).otherwise(0.3)
+    qps = E.get_qps(F.when(i % 2 == 0, F.col("value") + 1).otherwise(0.0), i, F.lit(4.0))
+    return e.select("event_id", E.workload_name(ratio, i % 4 != 0).alias("workload"), qps.alias("get_qps"))
+
+
+@query("gen_tasks", "SELECT CAST(5000 AS BIGINT) AS n, CAST(5000 AS BIGINT) AS valid, true AS mixed, CAST(40 AS BIGINT) AS n_keys", using="")
+def gen_tasks(spark, sf_dir):
+    """A drawn workload: only what every seed must give."""
+    rows = workload.tasks(spark, 5000, 0.4, 0.2, 40, 8, seed=1)
+    valid = F.col("operation").isin("put", "get", "delete") & F.col("key").rlike(r"^key_\d+$") & (F.col("value") == "v" * 8)
+    share = lambda op: F.count_if(F.col("operation") == op) / F.count("*")
+    mixed = (F.abs(share("put") - 0.4) < 0.05) & (F.abs(share("delete") - 0.2) < 0.05)
+    return rows.agg(F.count("*").alias("n"), F.count_if(valid).alias("valid"), mixed.alias("mixed"), F.countDistinct("key").alias("n_keys"))

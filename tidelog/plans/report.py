@@ -43,9 +43,31 @@ def csv_lines(df: DataFrame) -> DataFrame:
 
 def markdown(df: DataFrame) -> str:
     """The whole table in the order of df."""
-    shown = [F.coalesce(E.markdown_escape(x), F.lit("")) for x in _shown(df)]
-    rows = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("value")).take(MARKDOWN_ROWS + 1)
+    rows = markdown_lines(df).take(MARKDOWN_ROWS + 1)
     if len(rows) > MARKDOWN_ROWS:
         raise ValueError(f"more than {MARKDOWN_ROWS} rows: write CSV instead")
     head = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
     return "\n".join(head + [r.value for r in rows]) + "\n"
+
+
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """value: each row as a line of a Markdown table, without its head."""
+    shown = [F.coalesce(E.markdown_escape(x), F.lit("")) for x in _shown(df)]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("value"))
+
+
+def console_lines(report: DataFrame, title: str = "operation") -> DataFrame:
+    """value: a report for people, a line for each figure of each row, behind the row's title; null figures have none."""
+    names = [c for c in report.columns if c != title]
+    shown = dict(zip(report.columns, _shown(report)))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), shown[n].alias("text")) for n in names]))
+    rows = report.select(shown[title].alias("title"), each.alias("x")).where("x.text IS NOT NULL")
+    return rows.select(F.concat(F.rpad("title", 10, " "), F.rpad("x.name", 16, " "), F.lpad("x.text", 20, " ")).alias("value"))
+
+
+def console(report: DataFrame, title: str = "operation") -> str:
+    """The lines in order; a longer report than MARKDOWN_ROWS lines is refused."""
+    rows = console_lines(report, title).take(MARKDOWN_ROWS + 1)
+    if len(rows) > MARKDOWN_ROWS:
+        raise ValueError(f"more than {MARKDOWN_ROWS} lines: write CSV instead")
+    return "\n".join(sorted(r.value for r in rows))

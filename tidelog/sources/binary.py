@@ -5,19 +5,23 @@ bits, big-endian. Segment file: records (key length, key, value length, value; l
 blocks of at least 4096 bytes, an index entry for each block (key length, largest key, offset, size) and a footer of 24
 bytes (index offset, index size, magic).
 
-Files are read with Spark's binaryFile source, so they may lie wherever Spark reads; they are written by a data source.
+Files are read with Spark's binaryFile source, so they may lie wherever Spark reads; they are written by a data source, each
+under a temporary name that the commit of the whole write changes to its own. A catalogue of segment files has their ranges
+of keys, and readers open only files that can hold what is wanted.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import re
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 #: Fixed values of the formats.
 MAGIC = 0x12345678ABCDEF00
@@ -195,23 +199,44 @@ def read_manifest(spark: SparkSession, file: str) -> DataFrame:
     return text.select(F.col("line_no").cast("long"), "value")
 
 
-class _FileWriter(DataSourceWriter):
-    """Each task writes one file named by its number; the commit lists them."""
+@dataclasses.dataclass
+class _Written(WriterCommitMessage):
+    temporary: str | None
+    name: str | None
+
+
+class _FileWriter(DataSourceArrowWriter):
+    """Each task writes one file under a temporary name; the commit gives files their numbers, in the order of partitions."""
 
     def __init__(self, path: str, suffix: str, first: int, encode):
         self.path, self.suffix, self.first, self.encode = path, suffix, first, encode
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
-        data = self.encode(rows)
-        number = self.first + TaskContext.get().partitionId()
-        if data is not None:
-            fs, base = _file_system(self.path)
-            fs.create_dir(base, recursive=True)
-            with fs.open_output_stream(f"{base}/{number:06d}{self.suffix}") as out:
-                out.write(data)
-        return WriterCommitMessage()
+        context = TaskContext.get()
+        data = self.encode(batches)
+        if data is None:
+            return _Written(None, None)
+        fs, base = _file_system(self.path)
+        fs.create_dir(base, recursive=True)
+        number = self.first + context.partitionId()
+        temporary = f"{base}/_{number:06d}-{context.taskAttemptId()}.tmp"
+        with fs.open_output_stream(temporary) as out:
+            out.write(data)
+        return _Written(temporary, f"{base}/{number:06d}{self.suffix}")
+
+    def commit(self, messages):
+        fs, _ = _file_system(self.path)
+        for m in messages:
+            if m is not None and m.temporary:
+                fs.move(m.temporary, m.name)
+
+    def abort(self, messages):
+        fs, _ = _file_system(self.path)
+        for m in messages:
+            if m is not None and m.temporary:
+                fs.delete_file(m.temporary)
 
 
 def _file_system(path: str):
@@ -220,14 +245,17 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def _encode_log_rows(rows):
-    records = [(r["op"], bytes(r["key"]), None if r["value"] is None else bytes(r["value"])) for r in rows]
-    return encode_log(records) if records else None
+def _columns(batches) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
 
+def _encode_log_rows(batches):
+    return encode_log(_columns(batches)) or None
 
-def _encode_segment_rows(rows):
-    pairs = [(bytes(r["key"]), None if r["value"] is None else bytes(r["value"])) for r in rows]
-    return encode_segment(pairs) if pairs else None
+
+def _encode_segment_rows(batches):
+    return encode_segment(_columns(batches)) or None
 
 
 class LogFiles(DataSource):
@@ -257,15 +285,122 @@ def _register(spark: SparkSession) -> None:
     spark.dataSource.register(SegmentFiles)
 
 
-def write_log(log: DataFrame, path: str, files: int = 4) -> None:
-    """A change log as log files: ranges of seq, each in order."""
+#: Bytes of keys and values that a file should have, about: a task holds one.
+FILE_BYTES = 64 << 20
+
+
+def _count_of_files(rows: DataFrame) -> int:
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 8
+    return max(1, -(-(rows.agg(F.sum(size)).first()[0] or 0) // FILE_BYTES))
+
+
+def write_log(log: DataFrame, path: str, files: int | None = None) -> None:
+    """A change log as log files: ranges of seq, each in order. As many files as its size asks for, unless files is given."""
     _register(log.sparkSession)
-    own = log.where(F.col("op") != "GET").repartitionByRange(files, "seq").sortWithinPartitions("seq")
+    own = log.where(F.col("op") != "GET")
+    own = own.repartitionByRange(files or _count_of_files(own), "seq").sortWithinPartitions("seq")
     own.select("op", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")).write.format("tidelog_log").mode("append").save(path)
 
 
-def write_segments(entries: DataFrame, path: str, files: int = 4, first: int = 1) -> None:
-    """Entries (key, value, each key once) as segment files: ranges of keys, each sorted."""
-    _register(entries.sparkSession)
-    own = entries.repartitionByRange(files, "key").sortWithinPartitions("key")
-    own.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")).write.format("tidelog_segments").mode("append").save(path)
+def write_segments(entries: DataFrame, path: str, files: int | None = None, first: int | None = None) -> None:
+    """Entries (key, value, each key once) as segment files: ranges of keys, each sorted. Numbers follow those that are there."""
+    spark = entries.sparkSession
+    _register(spark)
+    first = first or next_file_id(spark, path)
+    own = entries.repartitionByRange(files or _count_of_files(entries), "key").sortWithinPartitions("key")
+    own.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")).write.format("tidelog_segments").option("first", first).mode("append").save(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it isn't there."""
+    at, fs = _folder(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def next_file_id(spark: SparkSession, path: str) -> int:
+    """One more than the largest number that a file of the folder has."""
+    return max([0, *(n for x in names(spark, path) if x.endswith(".sst") and (n := _number(x)) is not None)]) + 1
+
+
+def put_text(spark: SparkSession, file: str, text: str) -> None:
+    """The file with this text, all at once: written beside it, then renamed, so a reader sees the old text or the new."""
+    at, fs = _folder(spark, file)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{file}.tmp-{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(beside, at, how)
+
+
+def append_manifest(spark: SparkSession, file: str, ids: list[int]) -> None:
+    """Adds a line with the ids of all files, oldest first. The last line counts."""
+    before = "\n".join(r.value for r in sorted(read_manifest(spark, file).collect()) if r.value.strip())
+    put_text(spark, file, (before + "\n" if before else "") + ",".join(map(str, ids)) + "\n")
+
+
+def remove_files(spark: SparkSession, path: str, pattern: str) -> int:
+    """Deletes the files of a folder whose names the pattern (a regular expression) matches, such as logs whose records
+    were flushed; how many."""
+    gone = [x for x in names(spark, path) if re.fullmatch(pattern, x)]
+    for x in gone:
+        at, fs = _folder(spark, f"{path}/{x}")
+        fs.delete(at, False)
+    return len(gone)
+
+
+_CATALOG = "file_id long, path string, min_key binary, max_key binary, blocks int, size_bytes long"
+
+
+def _described(batches):
+    schema = pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("min_key", pa.binary()), ("max_key", pa.binary()), ("blocks", pa.int32()), ("size_bytes", pa.int64())])
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            index = segment_index(content)
+            if index:  # files too short for a footer, and empty ones, hold nothing
+                first = next(_block(content, index[0][1], index[0][1] + index[0][2]))[0]
+                rows.append((_number(path), path, first, index[-1][0], len(index), len(content)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, schema.types)], schema=schema)
+
+
+def segment_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each segment file with entries: file_id, path, min_key, max_key, blocks, size_bytes. A wrong footer is an error."""
+    return _files(spark, path, "*.sst").mapInArrow(_described, _CATALOG)
+
+
+def _looked_up(wanted: list[bytes]):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(_number(path), k, found[1]) for k in wanted if (found := lookup(content, k))[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()))], ["file_id", "key", "value"])
+
+    return run
+
+
+def find(spark: SparkSession, path: str, keys: list[str], catalog: DataFrame | None = None) -> DataFrame:
+    """file_id, key, value of the wanted keys in segment files; a null value is a tombstone. Keys are a query's arguments.
+
+    Only files whose range holds a key are opened, and of these one block for each key is read.
+    catalog: what segment_catalog gave, written by who has it; else it is made.
+    """
+    wanted = sorted(k.encode() for k in set(keys))
+    known = catalog if catalog is not None else segment_catalog(spark, path)
+    reach = F.exists(F.array(*[F.lit(k) for k in wanted]), lambda k: (k >= F.col("min_key")) & (k <= F.col("max_key")))
+    paths = [r.path for r in known.where(reach).select("path").collect()] if wanted else []
+    if not paths:
+        return spark.createDataFrame([], "file_id long, key binary, value binary")
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(_looked_up(wanted), "file_id long, key binary, value binary")

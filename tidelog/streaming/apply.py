@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +11,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidelog.operators import segments, state
-from tidelog.sources import changelog
+from tidelog.sources import binary, changelog
 
 STATE = "key string, seq long, op string, value string"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a temporary one in local mode, and an error on a
+    cluster, whose executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{next(tempfile._get_candidate_names())}" if base else tempfile.mkdtemp(prefix=f"tidelog-{name}-")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidelog-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 class LastWrite(StatefulProcessor):
@@ -76,33 +83,82 @@ def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class SegmentSink:
-    """foreachBatch: each micro-batch is one sorted segment; every so many batches the oldest segments are compacted."""
+    """foreachBatch: each micro-batch is flushed as sorted segments of about flush_bytes; whenever there are as many as
+    threshold, the oldest of them are merged into one.
 
-    def __init__(self, folder: str, compact_every: int = 4, enable_compaction: bool = True):
-        self.folder, self.every, self.enabled = folder, compact_every, enable_compaction
+    A manifest lists the segments, oldest first. Each change is a new manifest that takes the old one's place at once: a
+    flush adds segments at the end, a merge puts its output where its inputs were. A segment that no manifest lists is
+    garbage, of a batch or a merge that broke off or of inputs that were merged, and vacuum removes it. A batch that is
+    repeated replaces what it wrote. A merge reads threshold segments, never all.
+    """
+
+    def __init__(self, folder: str, threshold: int = 4, enable_compaction: bool = True, flush_bytes: int = 64 << 20):
+        self.folder, self.threshold, self.enabled, self.flush_bytes = folder, threshold, enable_compaction, flush_bytes
+
+    def manifest(self, spark: SparkSession) -> list[str]:
+        """Names of the segments, oldest first: b<batch>-<part>, or m<first>_<last> for a merge."""
+        lines = binary.read_manifest(spark, f"{self.folder}/manifest").collect()
+        return [x for r in lines for x in r.value.split(",") if x]
+
+    def _commit(self, spark: SparkSession, listed: list[str]) -> None:
+        binary.put_text(spark, f"{self.folder}/manifest", ",".join(listed))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        own = state.latest(batch).select(F.lit(batch_id).cast("long").alias("seg_order"), *segments.ENTRY)
-        own.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.folder}/seg_order={batch_id}")
-        if self.enabled and (batch_id + 1) % self.every == 0:
-            self.compact(batch.sparkSession)
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        """All segments; a compacted one replaces its inputs, which stay on disk until vacuumed."""
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().getName() for s in fs.listStatus(path))
-        merged = [int(n.split("=")[1]) for n in names if n.startswith("merged_upto=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
-        cut = max(merged, default=-1)
-        kept = [f"{self.folder}/{n}" for n in names if n.startswith("seg_order=") and int(n.split("=")[1]) > cut]
-        kept += [f"{self.folder}/merged_upto={cut}"] if merged else []
-        return spark.read.schema("seg_order long, key string, seq long, op string, value string").parquet(*kept)
+        spark = batch.sparkSession
+        rows = state.writes(batch)
+        size, low, high = rows.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))), F.min("seq"), F.max("seq")).first()
+        if size is None:
+            return
+        parts = -(-size // self.flush_bytes)
+        cuts = rows.select(F.col("seq").cast("double").alias("s")).stat.approxQuantile("s", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
+        listed = [x for x in self.manifest(spark) if not x.startswith(f"b{batch_id:09d}-")]
+        edges = [low, *sorted({int(c) for c in cuts if low < c <= high}), high + 1]
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            listed.append(f"b{batch_id:09d}-{i:05d}")
+            own = state.latest(rows.where((F.col("seq") >= a) & (F.col("seq") < b))).select(*segments.ENTRY)
+            own.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.folder}/{listed[-1]}")
+        merged = {x for x in listed if x.startswith("m")}
+        if not any(_covers(x, batch_id) for x in merged):  # a batch that is repeated after its merge is in it already
+            self._commit(spark, listed)
+        while self.enabled and len(self.manifest(spark)) >= self.threshold:
+            self.compact(spark)
+        self.vacuum(spark)
+
+    def read(self, spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+        """Entries of the listed segments with seg_order, their place in the manifest."""
+        listed = self.manifest(spark) if names is None else names
+        schema = "key string, seq long, op string, value string"
+        if not listed:
+            return spark.createDataFrame([], f"seg_order long, {schema}")
+        place = F.array_position(F.array(*[F.lit(x) for x in listed]), F.regexp_extract(F.input_file_name(), r"/([bm][^/]*)/[^/]*$", 1)) - 1
+        return spark.read.schema(schema).parquet(*[f"{self.folder}/{x}" for x in listed]).select(place.cast("long").alias("seg_order"), *segments.ENTRY)
 
     def compact(self, spark: SparkSession) -> None:
-        own = self.read(spark)
-        cut = own.agg(F.max("seg_order")).first()[0]
-        merged = segments.merge(own).select(F.lit(cut).cast("long").alias("seg_order"), *segments.ENTRY)
-        merged.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.folder}/merged_upto={cut}")
+        """Merges the oldest threshold segments. A tombstone may go, as no older segment is left."""
+        listed = self.manifest(spark)
+        inputs = listed[: self.threshold]
+        out = f"m{_ends(inputs[0])[0]}_{_ends(inputs[-1])[1]}"
+        merged = segments.merge(self.read(spark, inputs), drop_tombstones=True)
+        merged.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.folder}/{out}")
+        self._commit(spark, [out, *listed[self.threshold :]])
+
+    def vacuum(self, spark: SparkSession) -> list[str]:
+        """Removes segments that the manifest doesn't list; readers that began before the last change must be done."""
+        gone = sorted(set(x for x in binary.names(spark, self.folder) if x[0] in "bm" and x != "manifest") - set(self.manifest(spark)))
+        for x in gone:
+            at, fs = binary._folder(spark, f"{self.folder}/{x}")
+            fs.delete(at, True)
+        return gone
+
+
+def _ends(name: str) -> tuple[str, str]:
+    """The first and the last flushed segment in a segment, such as 000000003-00000."""
+    return tuple(name[1:].split("_")) if name.startswith("m") else (name[1:], name[1:])
+
+
+def _covers(merged: str, batch_id: int) -> bool:
+    first, last = (int(x.split("-")[0]) for x in _ends(merged))
+    return first <= batch_id <= last
 
 
 def replay_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,3 +167,31 @@ def replay_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = events_stream(spark, sf_dir).writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
     run.awaitTermination()
     return segments.visible(sink.read(spark))
+
+
+def replay_flushes(spark: SparkSession, sf_dir: str, flush_bytes: int) -> SegmentSink:
+    """The events as a stream into a sink that flushes by size; the sink."""
+    out = shared_folder(spark, "stream-flushes")
+    sink = SegmentSink(f"{out}/segments", flush_bytes=flush_bytes)
+    run = events_stream(spark, sf_dir).writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+    run.awaitTermination()
+    return sink
+
+
+def replay_with_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the events, a stop, and the other half with a tenth of the first again, from the checkpoint; the state that is left."""
+    out = shared_folder(spark, "stream-restart")
+    events = changelog.log_of(changelog.table(spark, sf_dir, "events")).select("key", "seq", "op", "value")
+    schema, middle = events.schema, events.agg(F.max("seq")).first()[0] // 2
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+
+    for half in (F.col("seq") <= middle, (F.col("seq") > middle) | (F.col("seq") % 10 == 0)):
+        events.where(half).write.mode("append").parquet(f"{out}/source")
+        log = spark.readStream.schema(schema).parquet(f"{out}/source")
+        run = final_state_stream(log).writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
+        run.awaitTermination()
+    changes = spark.read.parquet(f"{out}/state")
+    last = changes.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("w"))
+    return last.where(state.live(F.col("w.op"))).select("key", "w.value", "w.seq")
