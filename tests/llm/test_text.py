@@ -203,6 +203,57 @@ def test_furniture():
     assert pages.main_text(pages.lines(page), []) == "Title\nOne two\nThree &am &"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<aside><h3>Related</h3><article><p>Teaser</p></article></aside><article><p>Own</p></article>", "Own"),
+        ("<nav><article><p>Card</p></article></nav><p>x</p><article><p>Own</p></article><footer>f</footer>", "Own"),
+        ("<aside><h3>never closed</h3><article><p>Own</p></article>", "Own"),
+        ("<nav>menu<article><p>Own</p></article><footer>f</footer>", "Own"),
+        ("<article><div class='social-history'><p>Kept</p></div><div class=share-list>no</div><p>End</p></article>", "Kept\nEnd"),
+        ("<article><p>A</p><div class='commentList'>no<div>no</div></div><p class=ads>no<p>B</p></article>", "A\nB"),
+        ("<article><p>A</p></article><div><div>tail</div></div><article><p>B</p></article>", "A\nB"),
+        ("<article><li class=ad>no<li>yes<ul><li class=ad>no<li>yes</ul></article>", "yes\nyes"),
+    ],
+)
+def test_where_furniture_ends(page, text):
+    assert pages.main_text(pages.lines(page), []) == text
+
+
+def test_doubtful_blocks_of_an_article_are_differenced():
+    page = lambda i: pages.lines(f"<article><p>Text {i}</p><div class='share-price'><p>Buy our shares</p><p>Price {i}</p></div></article>")
+    assert pages.main_text(page(1), [page(0)], [page(2)]) == "Text 1\nPrice 1"
+    assert pages.main_text(page(1), [], []) == "Text 1\nBuy our shares\nPrice 1"
+
+
+@pytest.mark.parametrize("size", [5, 64, 512])
+def test_pairing_and_differencing_of_a_whole_table(spark, size, monkeypatch):
+    """Against the definition: pages of a host in the order of their paths, each differenced with its neighbours there."""
+    r = random.Random(11)
+    rows = []
+    for i in range(400):
+        host = r.choice(["big.example"] * 6 + ["a.example", "www.b.example", "B.example"])
+        section = r.randrange(60)
+        own = "".join(f"<p>{r.choice('abc')} {i if r.random() < 0.8 else section} {k}</p>" for k in range(r.randint(0, 5)))
+        menu = "".join(f"<li>{host[-9:]} {section} item {k}</li>" for k in range(4))
+        body = f"<div><ul>{menu}</ul>{own}<div>note of {section}</div></div>"
+        rows.append((i if i % 50 else None, f"http://{host}/s{section}/p{r.randrange(9)}?x={i}" if i % 70 else None, f"<article>{own}</article>" if i % 9 == 0 else body))
+    rows += rows[:5]
+    monkeypatch.setattr(pages, "RANGE", size)
+    monkeypatch.setattr(pages, "SORTED", 90)
+    got = sorted((x.page_id is None, x.page_id or 0, x.url or "", x.text) for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect())
+    known = {x.html: x.known for x in spark.createDataFrame(rows, "page_id long, url string, html string").select("html", F.xxhash64("html").alias("known")).collect()}
+    order = sorted(rows, key=lambda x: pages._key(x[1], x[0], known[x[2]]))
+    cut = [pages.lines(x[2]) for x in order]
+    host = [pages.place(x[1] or "")[0] for x in order]
+    want = []
+    for i, x in enumerate(order):
+        near = lambda js: [cut[j] for j in js if 0 <= j < len(order) and host[j] == host[i]]  # noqa: B023, E731
+        before, after = near(range(i - 1, i - 1 - pages.REACH, -1)), near(range(i + 1, i + 1 + pages.REACH))
+        want.append((x[0] is None, x[0] or 0, x[1] or "", pages.main_text(cut[i], before, after)))
+    assert got == sorted(want) and any("item" not in x[3] for x in want)
+
+
 def test_decontamination_finds_exact_and_changed_copies(spark):
     item = "Every day Tom buys 3 apples and 5 pears, so after 3 days he has spent 12 dollars on fruit."
     texts = [

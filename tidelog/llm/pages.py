@@ -1,10 +1,14 @@
 """Main text of web pages by differencing pages with near URLs.
 
 A page is cut into text lines, one for each block element, and each line knows where it stands: in the marked article,
-in marked furniture (menus, footers, adverts, forms and so on), or in neither. Pages of a host are sorted by URL path; a
-page's lines are aligned with those of the pages before and after it by longest common subsequence, and lines that they
-share are furniture too. Where nearly all is shared, more pages near it are asked, as two pages may be near copies. Lines of a marked article are never deleted for being shared: two pages may quote one passage.
-Markup decides where it speaks, differencing where it doesn't.
+in marked furniture (menus, footers, adverts, forms and so on), in a block whose name only hints at furniture, or in
+neither. Pages of a host are sorted by URL path; a page's lines are aligned with those of the pages before and after it by
+longest common subsequence, and lines that they share are furniture too. Where nearly all is shared, more pages near it are
+asked, as two pages may be near copies.
+
+Markup decides where it speaks, differencing where it doesn't: on all lines of pages without an article, and on an
+article's lines in blocks of doubtful names. An article's other lines are never deleted for being shared, as two pages may
+quote one passage.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
 MAIN = {"article", "main"}
 FURNITURE = set("nav footer aside form header menu dialog head title".split())
 HINTS = set("ad ads advert adverts advertisement banner sponsored sponsor promo cookie cookies consent gdpr notice newsletter subscribe popup modal sidebar menu navbar nav navigation breadcrumb breadcrumbs share sharing social related recommended comment comments respond disqus footer pagination widget toolbar masthead".split())
+#: Words that say nothing of what a block holds, beside a hint.
+PLAIN = set("area article articles bar block body bottom box btn button buttons card cards cell center col column container content feed foot form global grid group head heading holder icon icons img inline inner item items label left line link links list lists main middle mini module nav outer page panel post posts primary region right row secondary section signup site slot small stories story tab tabs text thread title top unit up wrap wrapper zone".split())
 ROLES = set("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar".split())
 OPEN_END = set("p li dt dd tr td th".split())  # a next one ends them
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,69 +57,108 @@ _TOKEN = re.compile(
 _HINTED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
-def _is_furniture(name: str, attributes: str, in_main: bool) -> bool:
+def _kind(name: str, attributes: str, in_main: bool) -> str:
+    """f for furniture, h for a block whose name has a word of furniture among others (social-history), else nothing."""
     if name in FURNITURE:
-        return not (name == "header" and in_main)  # an article's own header has its title
+        return "" if name == "header" and in_main else "f"  # an article's own header has its title
     if not attributes or name in MAIN or name in ("body", "html"):
-        return False
+        return ""
+    found = ""
     for kind, *values in _HINTED.findall(attributes):
-        kind, value = kind.lower(), next((v for v in values if v), "").lower()
-        if kind == "role" and value in ROLES or kind == "hidden" and not value or kind == "aria-hidden" and value == "true":
-            return True
+        kind, value = kind.lower(), next((v for v in values if v), "")
+        low = value.lower()
+        if kind == "role" and low in ROLES or kind == "hidden" and not low or kind == "aria-hidden" and low == "true":
+            return "f"
         if kind in ("class", "id"):
             for word in value.split():
-                if not word.startswith(("has-", "no-", "with-")) and HINTS.intersection(re.split("[-_]+", word)):
-                    return True
-    return False
+                parts = {x for x in re.split("[-_]+|(?<=[a-z])(?=[A-Z])|[0-9]+", word) if x}
+                parts = {x.lower() for x in parts}
+                if parts & HINTS and not word.lower().startswith(("has-", "no-", "with-")):
+                    if parts <= HINTS | PLAIN:
+                        return "f"
+                    found = "h"
+    return found
+
+
+def _ends(tags: list[tuple[bool, str]]) -> tuple[list[int], list[bool]]:
+    """For each opening tag the place of the tag that ends its element, and whether it is its own closing tag.
+
+    tags: (closing, name) of blocks. A closing tag ends the last open element of its name and all that were opened in it.
+    """
+    end, own = [len(tags)] * len(tags), [False] * len(tags)
+    opened: list[int] = []
+    by: dict[str, int] = {}
+    for i, (closing, name) in enumerate(tags):
+        if not closing:
+            opened.append(i)
+            by[name] = by.get(name, 0) + 1
+        elif by.get(name):
+            while True:
+                j = opened.pop()
+                by[tags[j][1]] -= 1
+                end[j] = i
+                if tags[j][1] == name:
+                    own[j] = True
+                    break
+    return end, own
 
 
 def lines(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of the page's blocks in order: zone a in an article, f in furniture, u in neither."""
+    """(zone, text) of the page's blocks in order: zone a in an article, f in furniture, u in neither; for blocks of doubtful
+    names h in an article and g elsewhere."""
+    found = [m for m in _TOKEN.finditer(page)]
+    blocks = [(k, bool(m[2]), m[3].lower(), m[4]) for k, m in enumerate(found) if m[3] and m[3].lower() in BLOCKS and not (m[3].lower() in VOID or not m[2] and m[4].endswith("/"))]
+    end, own = _ends([(c, n) for _, c, n, _ in blocks])
+    mains = [i for i, (_, c, n, _) in enumerate(blocks) if n in MAIN and not c]
+
+    def until(i: int) -> int:
+        """Where furniture that begins at i ends. What was never closed ends with what is around it, or where an article begins."""
+        name = blocks[i][2]
+        if own[i]:
+            return end[i]
+        if name in OPEN_END:
+            after = next((j for j in range(i + 1, end[i]) if not blocks[j][1] and (blocks[j][2] == name or name == "p")), end[i])
+            return after
+        k = bisect.bisect_right(mains, i)
+        return min(end[i], mains[k]) if k < len(mains) else end[i]
+
+    at = {k: i for i, (k, *_) in enumerate(blocks)}
     out: list[tuple[str, str]] = []
     held: list[str] = []
-    main, furniture, nested, last = 0, "", 0, 0
+    main = furniture = hinted = -1  # the block up to which each lasts
+    last = 0
+    zone = "u"
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append(("f" if furniture else "a" if main else "u", text))
+                out.append((zone, text))
 
-    for m in _TOKEN.finditer(page):
+    for k, m in enumerate(found):
         if m.start() > last:
             held.append(page[last : m.start()])
         last = m.end()
-        close, name = m[2], (m[3] or "").lower()
-        if not name:
+        if k not in at:
+            if m[3] and m[3].lower() in BLOCKS:
+                flush()
+            elif m[3] and m[3].lower() == "br":
+                held.append(" ")
             continue
-        block = name in BLOCKS
-        if block:
-            flush()
-        elif name == "br":
-            held.append(" ")
-        if close:
-            if furniture == name:
-                nested -= 1
-                if not nested:
-                    flush()
-                    furniture = ""
-            elif name in MAIN and main:
-                main -= 1
-            continue
-        if name in VOID or m[4].endswith("/"):
-            continue
-        if furniture and name in MAIN and not main:
-            furniture = ""  # what was never closed ends where an article begins
-        if furniture in OPEN_END and (name == furniture or furniture == "p" and block):
-            furniture = ""
-        if furniture:
-            nested += name == furniture
-        elif _is_furniture(name, m[4], main > 0):
-            flush()
-            furniture, nested = name, 1
-        if name in MAIN:
-            main += 1
+        flush()
+        i = at[k]
+        _, closing, name, attributes = blocks[i]
+        if i >= furniture and not closing:
+            kind = _kind(name, attributes, i < main)
+            if kind == "f":
+                furniture = until(i)
+            else:
+                if kind == "h":
+                    hinted = max(hinted, until(i))
+                if name in MAIN:
+                    main = max(main, end[i])
+        zone = "f" if i < furniture else ("h" if i < main else "g") if i < hinted else "a" if i < main else "u"
     held.append(page[last:])
     flush()
     return out
@@ -156,24 +201,27 @@ def main_text(own: list[tuple[str, str]], before: list[list[tuple[str, str]]], a
     page on a side are furniture. If that is over COPY of the text, it may be a near copy or a page of little but
     furniture; then only lines that over half of the pages within reach have, and two at least, are furniture.
     """
-    if any(z == "a" for z, _ in own):
-        return "\n".join(x for z, x in own if z == "a")
-    loose = [x for z, x in own if z == "u"]
-    sides = [[y for other in side if (y := [x for z, x in other if z == "u"]) != loose] for side in (before, after)]
-    total = COPY * sum(map(len, loose))
+    marked = any(z == "a" for z, _ in own)
+    asked = "h" if marked else "ug"
+    loose = [x for z, x in own if z in asked]
     shared: set[int] = set()
-    unsure = False
-    for side in sides:
-        found = common(loose, side[0]) if side else []
-        if sum(len(loose[i]) for i in found) <= total:
-            shared.update(found)
-        else:
-            unsure = True
-    if unsure:
-        asked = set(map(tuple, sides[0] + sides[1]))  # copies of each other speak once
-        votes = Counter(i for other in asked for i in common(loose, list(other)))
-        shared.update(i for i, n in votes.items() if n > 1 and 2 * n > len(asked))
-    return "\n".join(x for i, x in enumerate(loose) if i not in shared)
+    if loose:
+        sides = [[y for other in side if (y := [x for z, x in other if z in "ugh"]) != loose] for side in (before, after)]
+        total = COPY * sum(map(len, loose))
+        unsure = False
+        for side in sides:
+            found = common(loose, side[0]) if side else []
+            if marked or sum(len(loose[i]) for i in found) <= total:  # a doubtful block of an article may be shared as a whole
+                shared.update(found)
+            else:
+                unsure = True
+        if unsure:
+            others = set(map(tuple, sides[0] + sides[1]))  # copies of each other speak once
+            votes = Counter(i for other in others for i in common(loose, list(other)))
+            shared.update(i for i, n in votes.items() if n > 1 and 2 * n > len(others))
+    place = itertools.count()
+    kept = [x for z, x in own if (z in asked and next(place) not in shared) or (marked and z == "a")]
+    return "\n".join(kept)
 
 
 def place(url: str) -> tuple[str, str, str]:
