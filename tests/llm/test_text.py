@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tests.conftest import SF, SMALL, same_rows
@@ -298,6 +299,108 @@ def test_slots_must_be_consistent(spark):
     assert {r.doc_id for r in decontam.matches(docs, bench).collect()} == {2}
 
 
+def test_names_of_several_words_and_both_ways(spark):
+    item = "on that day the mayor Anna Maria Berg walked with Peter to the old bridge over the river near Bonn and met Anna Maria Berg there"
+    texts = [item.replace("Anna Maria Berg", "Otto").replace("Bonn", "New York City"), item.replace("Peter", "Anna Maria Berg").replace("Bonn", "Anna Maria Berg")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontam.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), coverage=0.9).collect()
+    assert [r.doc_id for r in rows] == [0]  # in the other, three of the item's values have become one
+
+
+def plain_forms(text):
+    """A text's tokens in each form by the definition: (canonical, value, is a slot)."""
+    found = [(m.start(), m.end(), m[0]) for m in regex.finditer(r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+", text)]
+    plain, names = [], []
+    for i, (a, b, x) in enumerate(found):
+        between = text[found[i - 1][1] : a] if i else "."
+        low, number = x.lower(), not x[0].isalpha()
+        unit = not number and i and not found[i - 1][2][0].isalpha() and low in decontam.UNITS
+        name = not number and not unit and i and not re.search("[.!?:]", between) and len(x) > 1 and x[0].isupper() and x[1].islower()
+        plain.append(("#" if number else "%" if unit else low, low, number or unit))
+        if name and names and names[-1][0] == "@" and names[-1][3] == i - 1 and not between.strip():
+            names[-1] = ("@", f"{names[-1][1]} {low}", True, i)
+        else:
+            names.append(("@", low, True, i) if name else (*plain[-1], i))
+    return {decontam.TEMPLATE: [x[:3] for x in names], decontam.LOOSE: [x[:3] for x in names], decontam.BLIND: plain, decontam.VALUES: [(v, v, False) for _, v, _ in plain]}
+
+
+def plain_windows(forms, form, n):
+    line = forms[form]
+    for i in range(len(line) - n + 1):
+        own = line[i : i + n]
+        words, least = sum(not x[2] for x in own), -(-n * decontam.LITERAL // decontam.WINDOW)
+        if n < decontam.SHORTEST and len(line) != n:
+            continue
+        if form in (decontam.TEMPLATE, decontam.BLIND) and words < least or form == decontam.LOOSE and not decontam.LEAST_WORDS <= words < least:
+            continue
+        yield i, tuple(x[0] for x in own), [x[1] for x in own if x[2]]
+
+
+def plain_matches(docs, items):
+    """Every document against every item, window by window."""
+    w, out = decontam.WINDOW, {}
+    for j, item in items:
+        forms = plain_forms(item)
+        wanted = []
+        for n in range(1, w + 1):
+            strict = 0
+            for form in (decontam.TEMPLATE, decontam.VALUES, decontam.LOOSE, decontam.BLIND):
+                size, merged = len(forms[form]), len(forms[decontam.TEMPLATE])
+                if n < decontam.SHORTEST and form != decontam.VALUES or not (size >= n if n == w else size == n):
+                    continue
+                own = list(plain_windows(forms, form, n))
+                if form == decontam.TEMPLATE:
+                    strict = len(own)
+                if form == decontam.VALUES and not (merged < n or strict < max(merged - w + 1, 1)) or form == decontam.LOOSE and strict:
+                    continue
+                wanted.append((n, form, own))
+        for i, text in docs:
+            other, best = plain_forms(text), {}
+            for n, form, own in wanted:
+                places = {}
+                for at, key, slots in plain_windows(other, form, n):
+                    places.setdefault(key, []).append((at, slots))
+                for at, key, slots in own:
+                    for p, filled in places.get(key, []):
+                        best.setdefault((form, p - at), []).append((at, n, slots, filled, len(own)))
+            cover = {}
+            for (form, _), hits in best.items():
+                pairs = {x for *_, a, b, _ in hits for x in zip(a, b)}
+                sides = []
+                for k in (0, 1):
+                    values = [x[k] for x in pairs]
+                    sides.append(sum(values.count(v) == 1 for v in set(values)) / len(set(values)) if values else 1.0)
+                if sum(sides) / 2 >= decontam.CONSISTENT - 1e-9:
+                    for at, _, _, _, total in hits:
+                        cover.setdefault(form, (set(), []))[0].add(at)
+                        cover[form][1].append(total)
+            share = max([len(x) / max(t) for x, t in cover.values()], default=0)
+            if share >= decontam.COVERAGE:
+                out[i, j] = round(share, 9)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_templates_are_those_of_the_definition(spark, seed):
+    r = random.Random(seed)
+    words = "the of and buys sells sees apples trains day old river near walks".split()
+    names, units = ["Ann", "Bob", "Anna Maria", "New York", "Eve"], ["kg", "dollars", "km"]
+
+    def sentence(k):
+        return " ".join(r.choice([r.choice(words), r.choice(words), r.choice(words), r.choice(names), f"{r.randint(1, 9)} {r.choice(units)}", str(r.randint(1, 2000))]) + r.choice(["", "", "", ",", ". ", ":"]) for _ in range(k))
+
+    items = [(k, sentence(r.choice([2, 4, 6, 9, 15, 25]))) for k in range(15)]
+    docs = []
+    for i in range(60):
+        text = r.choice(items)[1]
+        for _ in range(r.randint(0, 4)):
+            text = text.replace(r.choice(names), r.choice(names)).replace(str(r.randint(1, 9)), str(r.randint(1, 9)))
+        docs.append((i, r.choice(["", sentence(8) + " "]) + r.choice([text, text.lower(), text.upper(), text[: len(text) * 2 // 3], sentence(20)]) + r.choice(["", " " + sentence(8)])))
+    got = decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = plain_matches(docs, items)
+    assert {(x.doc_id, x.item_id): round(x.coverage, 9) for x in got} == want and len(want) > 15
+
+
 def test_decontamination_of_documents(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     norm = lambda x: " " + " ".join(re.findall(r"\w+", x.lower())) + " "
