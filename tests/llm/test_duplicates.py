@@ -22,6 +22,12 @@ def plain_fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def plain_shared(text, k=5):
+    """The set of a text's word shingles, in small letters."""
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
 def closed(ids, adjacent):
     label = np.array(ids)
     while True:

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import functions as F
 
 from tests.conftest import SF, SMALL, same_rows
-from tidelog.llm import bpe, chat, decontam, pages, quality, queries, shared, toxicity
+from tidelog.llm import bpe, chat, decontam, pages, quality, queries, toxicity
 
 
 def test_toxicity_held_out(spark):
@@ -407,30 +407,3 @@ def test_decontamination_of_documents(spark):
     texts, items = [(r.doc_id, norm(r.text)) for r in docs.collect()], [(r.item_id, norm(r.text)) for r in bench.collect()]
     want = {(d, i) for i, x in items for d, y in texts if x in y}
     assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench).collect()} == want and want
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = start = spark.read.parquet(f"{SMALL}/documents.parquet")
-    seen = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES:
-        docs = shared.keep(stage(spark, docs, SMALL), name)
-        seen.append(docs.select("doc_id").distinct().count())
-        assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == start.columns
-    assert seen == sorted(seen, reverse=True) and seen[4] == seen[5]
-    good = quality.judge(start).where("kept").count()
-    assert seen[1] == good
-    tokens = {r.doc_id: r.n for r in docs.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
-    assert corpus_pipeline.run(spark, SMALL).count() == docs.count() and min(tokens.values()) >= 1
-    assert bpe.path("byte_bpe_50k.json")
-
-
-def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
-    import corpus_pipeline
-
-    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for docs in (odd, none):
-        for name, stage in corpus_pipeline.STAGES:
-            docs = shared.keep(stage(spark, docs, str(tmp_path)), name)
-        assert docs.count() >= 0

@@ -233,9 +233,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that hold no item, unchanged.
 
-    Rows with a null id and null or empty texts stay. Rows with one id are one document: all stay or all go. An empty
-    table gives no rows, an empty benchmark all. Other columns may have any names.
+    Rows with a null id and null or empty texts stay. Rows with one id are documents of their own. An empty table gives no
+    rows, an empty benchmark all. Other columns may have any names.
     """
+    docs, own = shared.numbered(names := docs, id_col, text)
     key = shared.unused(docs, "found")
-    found = matches(docs, benchmark, id_col, text).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col(key), "left_anti")
+    found = matches(docs, benchmark, own, text).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(found, F.col(own).cast("long") == F.col(key), "left_anti").select(*names.columns)

@@ -10,6 +10,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of a batch that a Python worker takes at once; a larger row is a batch of its own.
 PART_BYTES = 8 << 20
@@ -74,6 +75,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
+    """docs with a column of whole numbers that tells all rows apart and follows the ids, and its name.
+
+    That is the id itself where no id repeats. Else rows are sorted by id and text (by its hash and length), which costs a
+    shuffle of the table, numbered, and written. Null ids stay null.
+    """
+    own = F.col(id_col).cast("long")
+    if not docs.where(own.isNotNull()).groupBy(own.alias("_id")).count().where("count > 1").limit(1).count():
+        return docs, id_col
+    key = unused(docs, "row")
+    order = [own.asc_nulls_first(), F.xxhash64(F.col(text).cast("string")), F.length(F.col(text).cast("string"))]
+    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return keep(rows.withColumn(key, F.when(own.isNotNull(), F.monotonically_increasing_id())), "numbered"), key
+
+
 #: Places made by this process, for clear().
 MADE: list[str] = []
 

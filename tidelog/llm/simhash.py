@@ -24,7 +24,6 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidelog.llm import components, crowds, shared, textscan
 
@@ -492,22 +491,13 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component of similar texts, unchanged.
 
-    A null text is empty, and all empty texts are copies. Rows with a null id stay. Of several rows with one id and one set
-    of shingles the one with the smallest text stays, of equal ones any. An empty table gives no rows. Other columns may
-    have any names.
+    A null text is empty, and all empty texts are copies. Rows with a null id stay. Rows with one id are documents of their
+    own; which of them counts as smaller follows a hash of the text. An empty table gives no rows. Other columns may have
+    any names.
     """
-    found = shared.keep(similar(docs, words, similarity, id_col, text).where("doc_id IS NOT NULL"), "near")
-    key, known, place = (shared.unused(docs, x) for x in ("key", "known", "place"))
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
-    own = F.col(id_col).cast("long") == F.col(key)
-    gone = shared.keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).union(again).distinct(), "gone")
-    if gone.count() <= MAX_SENT_IDS:
-        gone = F.broadcast(gone)
-    kept = docs.where(F.col(id_col).isNotNull()).join(gone, own, "left_anti")
-    if again.limit(1).count():
-        first = found.where("doc_id = component_id").select(F.col("doc_id").alias(key), F.col("known").alias(known), F.col("own").alias(place)).distinct()
-        rows = docs.join(again, own, "left_semi").withColumn(known, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-        marked = rows.join(first, [F.col(id_col).cast("long") == first[key], rows[known] == first[known]]).select(*[rows[c] for c in docs.columns], first[key], first[place])
-        ranked = marked.withColumn(known, F.row_number().over(Window.partitionBy(key, place).orderBy(text)))
-        kept = kept.unionByName(ranked.where(F.col(known) == 1).select(*docs.columns))
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    docs, own = shared.numbered(names := docs, id_col, text)
+    found = similar(docs, words, similarity, own, text)
+    key = shared.unused(docs, "key")
+    gone = shared.keep(found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(key)), "gone")
+    few = F.broadcast(gone) if gone.count() <= MAX_SENT_IDS else gone
+    return docs.join(few, F.col(own).cast("long") == F.col(key), "left_anti").select(*names.columns)

@@ -383,14 +383,6 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _one_each(docs: DataFrame) -> DataFrame:
-    """Of rows with one id, the one with the smallest text; costs a shuffle of texts only if ids repeat."""
-    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if ids.limit(1).count() == 0:
-        return docs
-    return docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(docs.where("doc_id IS NULL"))
-
-
 def _plain(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -400,15 +392,23 @@ def _per_document(found: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
-    A null text is empty. Of rows with one id the one with the smallest text is the document. Rows with a null id match
-    nothing and lose nothing. An empty table gives no rows. Other columns are left out.
+    A null text is empty. Rows with one id are documents of their own; which of them counts as earlier follows a hash of
+    the text. Rows with a null id match nothing and lose nothing. An empty table gives no rows. Other columns are left out.
     """
-    own = _one_each(_plain(docs, id_col, text))
+    docs, key = shared.numbered(docs, id_col, text)
+    own = _plain(docs, key, text)
     found = _per_document(marks(own))
-    whole = own.mapInArrow(shared.lean(_packed), "doc_id long, z binary").join(found, "doc_id", "left")
-    return whole.mapInArrow(shared.lean(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    if key == id_col:
+        whole = own.mapInArrow(shared.lean(_packed), "doc_id long, z binary").join(found, "doc_id", "left")
+        return whole.mapInArrow(shared.lean(_digests), _DIGESTS)
+    names = docs.select(F.col(key).alias("row"), F.col(id_col).cast("long").alias("doc_id")).where("row IS NOT NULL")
+    whole = own.mapInArrow(shared.lean(_packed), "doc_id long, z binary").join(found, "doc_id", "left").mapInArrow(shared.lean(_digests), _DIGESTS)
+    return whole.withColumnRenamed("doc_id", "row").join(names, "row", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+_DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def strip_text(text: str, found: list[tuple[int, int]]) -> str:
@@ -437,21 +437,19 @@ def _packed_with_meta(batches):
 
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with the texts that are left and their lengths, all other columns as they were. Of rows with one id the one with the smallest text stays."""
-    plain = _plain(docs, id_col, text)
-    own = _one_each(plain)
-    found = _per_document(marks(own))
-    rest = [c for c in docs.columns if c not in (id_col, text, length_col)]
-    meta = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), F.struct(*[docs[c] for c in rest] or [F.lit(0).alias("_none")]).alias("rest"))
-    if own is not plain:
-        known = meta.where("_id IS NOT NULL").groupBy("_id").agg(F.min_by("rest", F.coalesce("_text", F.lit(""))).alias("rest"), F.min("_text").alias("_text"))
-        meta = known.select("_id", "_text", "rest").unionByName(meta.where("_id IS NULL"))
+    """docs with the texts that are left and their lengths, all other columns as they were.
+
+    A null text stays null, and one of which nothing is left becomes empty. Rows with a null id stay as they are. Rows with
+    one id are documents of their own, as in removed. An empty table gives no rows. Other columns may have any names.
+    """
+    docs, key = shared.numbered(names := docs, id_col, text)
+    found = _per_document(marks(_plain(docs, key, text)))
     # texts are packed before they travel
-    rows = meta.select(F.col("_id").alias("id"), F.struct("_id", "rest").alias("meta"), F.col("_text").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.struct(*[docs[c] for c in names.columns if c != text] or [F.lit(0).alias("none")]).alias("meta"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([rows.schema["id"], rows.schema["meta"], T.StructField("z", T.BinaryType())])
     kept = rows.mapInArrow(shared.lean(_packed_with_meta), schema).join(found, F.col("id") == F.col("doc_id"), "left").select("meta", "z", "marks")
     out = kept.mapInArrow(shared.lean(_stripped), T.StructType([rows.schema["meta"], T.StructField("text", T.StringType())]))
-    columns = {id_col: F.col("meta._id").cast(docs.schema[id_col].dataType).alias(id_col), text: F.col("text").alias(text)}
-    if length_col in docs.columns:
-        columns[length_col] = F.length("text").cast(docs.schema[length_col].dataType).alias(length_col)
-    return out.select(*[columns[c] if c in columns else F.col("meta.rest")[c].alias(c) for c in docs.columns])
+    columns = {text: F.col("text").alias(text)}
+    if length_col in names.columns:
+        columns[length_col] = F.length("text").cast(names.schema[length_col].dataType).alias(length_col)
+    return out.select(*[columns[c] if c in columns else F.col("meta")[c].alias(c) for c in names.columns])
