@@ -183,6 +183,15 @@ def test_packing(spark):
     assert pdf.sequence_id.nunique() <= 1.01 * pdf.length.sum() / 1024 + 1
 
 
+def test_small_buckets_and_spans_pack_as_well(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = packing.pack(docs, BYTE, 2, 64).select("sequence_id").distinct().count()
+    monkeypatch.setattr(packing, "BUCKET", 3)
+    monkeypatch.setattr(packing, "SPAN", 2)
+    pdf = check_packing(packing.pack(docs, BYTE, 2, 64).collect(), 64)
+    assert pdf.sequence_id.nunique() == want
+
+
 def test_packing_of_odd_rows(spark, odd, none):
     assert packing.pack(none, BYTE, 2, 64).count() == 0
     pdf = check_packing(packing.pack(odd, BYTE, 2, 64).collect(), 64)

@@ -19,6 +19,8 @@ from tidelog.llm import bpe, shared, textscan
 
 #: Pieces in a bucket, on average.
 BUCKET = 5_000
+#: Buckets of a length whose sizes are added up in one task.
+SPAN = 4096
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -128,7 +130,12 @@ def assign(found: DataFrame, capacity: int) -> DataFrame:
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, -(-n // BUCKET))))
     dealt = found.withColumn("_bucket", bucket)
     sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_size")).drop("_size")
+    # sums over buckets in two steps, so that no task has all buckets of a common length
+    sizes = sizes.withColumn("_span", F.floor(F.col("_bucket") / SPAN))
+    inside = Window.partitionBy("length", "_span").orderBy("_bucket")
+    across = Window.partitionBy("length").orderBy("_span")
+    spans = sizes.groupBy("length", "_span").agg(F.sum("_size").alias("_all")).select("length", "_span", (F.sum("_all").over(across) - F.col("_all")).alias("_first"))
+    before = sizes.withColumn("_own", F.sum("_size").over(inside) - F.col("_size")).join(spans, ["length", "_span"]).select("length", "_bucket", (F.col("_first") + F.col("_own")).alias("_before"))
     counts = {r.length: r["count"] for r in found.groupBy("length").count().collect()}  # at most a row for each length
     slots = spark.createDataFrame(_slots(plan(counts, capacity)), "_len long, _first long, _last long, _base long, _times long, _at long")
     own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
