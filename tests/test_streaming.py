@@ -1,6 +1,7 @@
 import pytest
 
 from tidelog.operators import segments
+from tidelog.store import Store
 from tidelog.streaming import apply
 
 SCHEMA = "seq long, op string, key string, value string"
@@ -78,3 +79,33 @@ def test_garbage_goes(spark, tmp_path):
         sink(batch, i)
     (tmp_path / "segs" / "b000000099-00000").mkdir()  # of a batch that broke off
     assert sink.vacuum(spark) == ["b000000099-00000"]
+
+
+def test_store(spark, tmp_path):
+    own = Store(spark, str(tmp_path / "store"), threshold=3)
+    assert own.get("k") is None and own.metrics().first().segments == 0
+    own.put("k", "a")
+    own.put("k", "")
+    assert own.get("k") == ""
+    own.delete("k")
+    own.delete("never")
+    assert own.get("k") is None
+    number = own.apply(spark.createDataFrame([(1, "PUT", "x", "1"), (2, "PUT", "x", "2"), (3, "PUT", "y", "3")], SCHEMA))
+    own.apply(spark.createDataFrame([(1, "PUT", "x", "1"), (2, "PUT", "x", "2"), (3, "PUT", "y", "3")], SCHEMA), number)  # given again
+    old = spark.createDataFrame(own.state().collect(), "key string, value string")
+    own.put("x", "new")
+    keys = spark.createDataFrame([("x",), ("y",), ("k",)], "key string")
+    rows = lambda df: {(r.key, r.value, r.found) for r in df.collect()}
+    assert rows(own.get_many(keys)) == {("x", "new", True), ("y", "3", True), ("k", None, False)}
+    assert rows(own.get_many(keys, "local", old)) == {("x", "2", True), ("y", "3", True), ("k", None, False)}
+    with pytest.raises(ValueError):
+        own.get_many(keys, "quorum")
+    for bad in ((1, "PUT", "", "v"), (1, "PUT", "k", None), (1, "GET", "k", None)):
+        with pytest.raises(ValueError):
+            own.apply(spark.createDataFrame([bad], SCHEMA))
+    row = own.metrics().first()
+    assert row.live == 2 and row.segments == len(own.sink.manifest(spark)) < 3
+    own.clear()
+    assert own.get("x") is None and own.metrics().first().entries == 0
+    own.put("x", "after")
+    assert own.get("x") == "after"

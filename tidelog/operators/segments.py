@@ -6,6 +6,7 @@ merges the oldest segments and puts the result where they were, so older values
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,26 +44,28 @@ def flush_bytes(log: DataFrame, size: int) -> DataFrame:
 def flush_boundaries(log: DataFrame, limit: int = 4096) -> DataFrame:
     """Segments by bytes, exactly as a memtable of limit bytes flushes: an overwrite changes its size by the difference.
 
-    A fold in log order, so one task for each shard of the log (column shard, or the whole log where it has none).
+    Where a segment begins follows from all before it, so a shard of the log (column shard, or the whole log where it has
+    none) is one sequence in one task. It passes in batches; a task holds the sizes of one segment's keys.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        held: dict[str, int] = {}
-        size = segment = 0
-        out = []
-        for key, value in zip(pdf["key"], pdf["value"]):
-            n = 0 if value is None else len(value.encode())
-            size += n - held[key] if key in held else len(key.encode()) + n
-            held[key] = n
-            out.append(segment)
-            if size >= limit:
-                held, size, segment = {}, 0, segment + 1
-        return pdf.assign(seg_order=out)[["shard", "seq", "key", "op", "value", "seg_order"]]
-
-    own = state.writes(log).withColumn("shard", F.col("shard").cast("long") if "shard" in log.columns else F.lit(0).cast("long"))
-    return own.select("shard", "seq", "key", "op", "value").groupBy("shard").applyInPandas(fold, "shard long, seq long, key string, op string, value string, seg_order long")
+
+    def fold(batches):
+        shard = None
+        for batch in batches:
+            out = []
+            for s, key, value in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "value"))):
+                if s != shard:
+                    shard, held, size, segment = s, {}, 0, 0
+                n = 0 if value is None else len(value.encode())
+                size += n - held[key] if key in held else len(key.encode()) + n
+                held[key] = n
+                out.append(segment)
+                if size >= limit:
+                    held, size, segment = {}, 0, segment + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "seg_order"])
+
+    own = state.writes(log).withColumn("shard", F.coalesce(F.col("shard").cast("long"), F.lit(-1)) if "shard" in log.columns else F.lit(0).cast("long"))
+    rows = own.select("shard", F.col("seq").cast("long").alias("seq"), "key", "op", "value").repartition("shard").sortWithinPartitions("shard", "seq")
+    return rows.mapInArrow(fold, "shard long, seq long, key string, op string, value string, seg_order long")
 
 
 #: Ranges that keys are dealt to where they meet the ranges of segments.

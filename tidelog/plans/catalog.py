@@ -242,6 +242,18 @@ def seg_flush_bytes(spark, sf_dir):
     return segments.flush_bytes(log(spark, sf_dir), SEGMENT)
 
 
+@query(
+    "seg_flush_by_size",
+    """, w AS (SELECT seq, seq // 1000 AS shard, strlen(key) + coalesce(strlen(value), 0) AS n FROM writes),
+    lone AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS place FROM w)
+    SELECT shard, seq, CAST(place - 1 AS BIGINT) AS seg_order FROM lone""",
+)
+def seg_flush_by_size(spark, sf_dir):
+    """A memtable of one byte flushes every command; shards of the log are flushed each for itself."""
+    own = log(spark, sf_dir).withColumn("shard", F.floor(F.col("seq") / 1000))
+    return segments.flush_boundaries(own, 1).select("shard", "seq", "seg_order")
+
+
 @query(
     "seg_read_amplification",
     """, wanted AS (SELECT DISTINCT key FROM ops), hit AS (SELECT key, max(seg_order) AS hit FROM segs GROUP BY key)
@@ -823,3 +835,30 @@ def gen_tasks(spark, sf_dir):
     share = lambda op: F.count_if(F.col("operation") == op) / F.count("*")
     mixed = (F.abs(share("put") - 0.4) < 0.05) & (F.abs(share("delete") - 0.2) < 0.05)
     return rows.agg(F.count("*").alias("n"), F.count_if(valid).alias("valid"), mixed.alias("mixed"), F.countDistinct("key").alias("n_keys"))
+
+
+@query("stream_wal_replay", "SELECT key, value FROM latest WHERE op = 'PUT'")
+def stream_wal_replay(spark, sf_dir):
+    """Log files as a stream of records, applied until they end."""
+    return streaming.replay_log_files(spark, sf_dir)
+
+
+@query(
+    "store_reads",
+    """, w1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM writes) WHERE rn = 1),
+    wanted AS (SELECT 'user_' || CAST(n AS VARCHAR) AS key FROM (SELECT unnest(range(0, 300)) AS n)),
+    after AS (SELECT key, CASE WHEN key = 'user_3' THEN NULL WHEN key = 'user_7' THEN 'new' WHEN op = 'PUT' THEN value END AS value,
+                     CASE WHEN key = 'user_3' THEN false WHEN key = 'user_7' THEN true ELSE op = 'PUT' END AS found FROM w1)
+    SELECT w.key, a.value, coalesce(a.found, w.key = 'user_7') AS found FROM wanted w LEFT JOIN after a ON w.key = a.key""",
+)
+def store_reads(spark, sf_dir):
+    """The program's interface: the log in three batches, a delete and a put, then reads."""
+    from tidelog.store import Store
+
+    own = Store(spark, f"{streaming.shared_folder(spark, 'store')}/segments")
+    rows = state.writes(log(spark, sf_dir)).select("seq", "op", "key", "value")
+    for low, high in ((0, 3000), (3000, 6000), (6000, 1 << 60)):
+        own.apply(rows.where((F.col("seq") > low) & (F.col("seq") <= high)))
+    own.delete("user_3")
+    own.put("user_7", "new")
+    return own.get_many(spark.range(300).select(F.concat(F.lit("user_"), F.col("id").cast("string")).alias("key")))

@@ -29,6 +29,7 @@ BLOCK = 4096
 TOMBSTONE = 0xFFFFFFFF
 FOOTER = struct.Struct("<QQQ")
 
+_LOG_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.string()), ("d", pa.binary()), ("e", pa.binary())])
 LOG_ROWS = "wal_id long, offset long, op string, key binary, value binary"
 SEGMENT_ROWS = "file_id long, place long, key binary, value binary"
 
@@ -174,8 +175,13 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """wal_id, offset, op, key, value of all *.log files; (wal_id, offset) is their order."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.string()), ("d", pa.binary()), ("e", pa.binary())])
-    return _files(spark, path, "*.log").mapInArrow(_decoded(lambda x: decode_log(x, strict), ["wal_id", "offset", "op", "key", "value"], schema), LOG_ROWS)
+    return _files(spark, path, "*.log").mapInArrow(_decoded(lambda x: decode_log(x, strict), ["wal_id", "offset", "op", "key", "value"], _LOG_SCHEMA), LOG_ROWS)
+
+
+def stream_log(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """The same rows as a stream: each log file once, as it comes. A file should be whole when it gets its name."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.log").load(path)
+    return files.select("path", "content").mapInArrow(_decoded(lambda x: decode_log(x, strict), ["wal_id", "offset", "op", "key", "value"], _LOG_SCHEMA), LOG_ROWS)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -280,9 +286,9 @@ class SegmentFiles(DataSource):
         return _FileWriter(self.options["path"], ".sst", int(self.options.get("first", 1)), _encode_segment_rows)
 
 
-def _register(spark: SparkSession) -> None:
-    spark.dataSource.register(LogFiles)
-    spark.dataSource.register(SegmentFiles)
+def _register(spark: SparkSession, *sources: type[DataSource]) -> None:
+    for source in sources or (LogFiles, SegmentFiles):
+        spark.dataSource.register(source)
 
 
 #: Bytes of keys and values that a file should have, about: a task holds one.
@@ -296,7 +302,7 @@ def _count_of_files(rows: DataFrame) -> int:
 
 def write_log(log: DataFrame, path: str, files: int | None = None) -> None:
     """A change log as log files: ranges of seq, each in order. As many files as its size asks for, unless files is given."""
-    _register(log.sparkSession)
+    _register(log.sparkSession, LogFiles)
     own = log.where(F.col("op") != "GET")
     own = own.repartitionByRange(files or _count_of_files(own), "seq").sortWithinPartitions("seq")
     own.select("op", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")).write.format("tidelog_log").mode("append").save(path)
@@ -305,7 +311,7 @@ def write_log(log: DataFrame, path: str, files: int | None = None) -> None:
 def write_segments(entries: DataFrame, path: str, files: int | None = None, first: int | None = None) -> None:
     """Entries (key, value, each key once) as segment files: ranges of keys, each sorted. Numbers follow those that are there."""
     spark = entries.sparkSession
-    _register(spark)
+    _register(spark, SegmentFiles)
     first = first or next_file_id(spark, path)
     own = entries.repartitionByRange(files or _count_of_files(entries), "key").sortWithinPartitions("key")
     own.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")).write.format("tidelog_segments").option("first", first).mode("append").save(path)

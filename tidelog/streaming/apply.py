@@ -195,3 +195,20 @@ def replay_with_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = spark.read.parquet(f"{out}/state")
     last = changes.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("w"))
     return last.where(state.live(F.col("w.op"))).select("key", "w.value", "w.seq")
+
+
+def replay_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as binary log files, read as a stream and applied; the state that is left."""
+    out = shared_folder(spark, "stream-log-files")
+    binary.write_log(changelog.from_events(spark, sf_dir), f"{out}/logs", files=3)
+    rows = binary.as_log(binary.stream_log(spark, f"{out}/logs", strict=True))
+    # files may come in any order, so recency is that of seq, which a state of the last writes keeps
+    checkpoint = f"{out}/checkpoint"
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+
+    run = final_state_stream(rows).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
+    run.awaitTermination()
+    last = spark.read.parquet(f"{out}/state").groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("w"))
+    return last.where(state.live(F.col("w.op"))).select("key", "w.value")
