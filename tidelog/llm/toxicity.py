@@ -38,8 +38,8 @@ BLOCK_WORDS = 1 << 15
 MAX_SENT_LABELS = 2_000_000
 #: Up to so many words with evidence are sent to the executors, 12 bytes each; more are joined by shuffle.
 MAX_SENT_WORDS = 2_000_000
-#: Bits of the map that screens a document's words for that join.
-BITS = 27
+#: Bits of the map that screens a document's words for that join: 2 MB sent, and 64 MB of set bits in the driver at most.
+BITS = 24
 _FIRST, _LAST = 1, 2  # symbols for a word's start and end
 _SYMBOLS = 1 << 10  # below the shortest order all symbols are alike
 
@@ -338,7 +338,7 @@ def features(docs: DataFrame, words: DataFrame, most: int = MAX_SENT_WORDS) -> D
         order = np.argsort(hashes)
         sent = spark.sparkContext.broadcast((hashes[order], np.asarray(table["excess"])[order].astype(np.float32)))
         return docs.select("doc_id", "label", "text").mapInArrow(shared.lean(_summed(sent)), _FEATURE)
-    bits = words.mapInArrow(shared.lean(_bits), "bit long").distinct().toArrow()["bit"]  # at most a row for each bit
+    bits = words.mapInArrow(shared.lean(_bits), "bit int").distinct().toArrow()["bit"]  # at most a row for each bit
     map_ = np.zeros(1 << BITS, bool)
     map_[np.asarray(bits)] = True
     sent = spark.sparkContext.broadcast(np.packbits(map_, bitorder="little").tobytes())
@@ -350,7 +350,7 @@ def features(docs: DataFrame, words: DataFrame, most: int = MAX_SENT_WORDS) -> D
 
 def _bits(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array((_word_hash(batch.column(0).to_pylist()) >> np.uint64(64 - BITS)).astype(np.int64))], ["bit"])
+        yield pa.RecordBatch.from_arrays([pa.array((_word_hash(batch.column(0).to_pylist()) >> np.uint64(64 - BITS)).astype(np.int32))], ["bit"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
