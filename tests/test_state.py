@@ -147,3 +147,38 @@ def test_any_ranges_of_keys_give_the_same(spark, ranges):
     touched = {k: (sum(a <= k <= b and s >= hits.get(k, -1) for a, b, s in zones), k in hits) for k in wanted}
     assert {r.key: (r.touched, r.found) for r in segments.read_amplification(segs, keys, ranges).collect()} == touched
     assert {r.key: r.pruned for r in segments.prune_ratio(segs, keys, ranges).collect()} == {k: sum(not a <= k <= b for a, b, _ in zones) for k in wanted}
+
+
+def most_rows(df):
+    """The rows of df, and the most rows that any step of its last run put out."""
+    got, plans, most = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        made = plan.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return got, most
+
+
+@pytest.mark.parametrize("query", ["prune_ratio"])
+def test_keys_and_segments_are_counted_not_paired(spark, query):
+    """Every segment's range holds nearly every key, so pairs would be 90,000."""
+    n = 300
+    own = [(s, f"k{x:03}", s, "PUT", "v") for s in range(n) for x in (s % 3, s, 299 - s % 5)]
+    segs = spark.createDataFrame(sorted(set(own)), "seg_order long, key string, seq long, op string, value string")
+    wanted = [None, "a", "k0005", "zzz", *(f"k{x:03}" for x in range(n))]
+    zones, hits = {}, {}
+    for s, key, *_ in own:
+        a, b = zones.get(s, (key, key))
+        zones[s], hits[key] = (min(a, key), max(b, key)), max(hits.get(key, -1), s)
+    held = {k: [s for s, (a, b) in zones.items() if k is not None and a <= k <= b] for k in wanted}
+    got, most = most_rows(getattr(segments, query)(segs, spark.createDataFrame([(k,) for k in wanted], "key string"), 8))
+    if query == "prune_ratio":
+        assert {r.key: (r.pruned, r.segments) for r in got} == {k: (n - len(held[k]), n) for k in wanted}
+    assert len(got) == len(wanted) and sum(map(len, held.values())) > 80_000 and most < 10 * n

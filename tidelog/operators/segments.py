@@ -6,8 +6,12 @@ merges the oldest segments and puts the result where they were, so older values
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right, insort
+from collections import defaultdict
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,21 +72,107 @@ def flush_boundaries(log: DataFrame, limit: int = 4096) -> DataFrame:
     return rows.mapInArrow(fold, "shard long, seq long, key string, op string, value string, seg_order long")
 
 
-#: Ranges that keys are dealt to where they meet the ranges of segments.
+#: Ranges that keys, and blocks that segments, are dealt to where keys are counted against the ranges of segments.
 RANGES = 256
 
+#: Before every seg_order: counts all segments.
+ALL = -(1 << 63)
+
 
-def _cuts(keys: DataFrame, ranges: int) -> list[str]:
-    """At most ranges - 1 keys that cut the wanted keys into about equal ranges, from a sample of bounded size."""
-    some = keys.select("key").orderBy(F.xxhash64("key")).limit(ranges * 16)
-    found = sorted(r.key for r in some.collect())
+def _cuts(values: list, ranges: int) -> list:
+    """At most ranges - 1 values that cut all into about equal ranges."""
+    found = sorted(values)
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
 
 
+def _samples(keys: DataFrame, zones: DataFrame, ranges: int) -> tuple[list[str], list[int]]:
+    """Cuts of the keys, wanted ones and ends of segments, and of the segments, from samples of bounded size."""
+    some = keys.select("key").distinct().orderBy(F.xxhash64("key")).limit(ranges * 16).collect()
+    own = zones.orderBy(F.xxhash64("seg_order")).limit(ranges * 16).collect()
+    ends = {z.min_key for z in own} | {z.max_key for z in own}
+    names = [k for k in (*(r.key for r in some), *ends) if k is not None]
+    return _cuts(names, ranges), _cuts([z.seg_order for z in own if z.seg_order is not None], ranges)
+
+
+def _place(cuts: list, kind: str, c: Column) -> Column:
+    """How many cuts are at c or before it (null: none), in two steps of about the root of their number."""
+    step = math.isqrt(len(cuts)) + 1
+    among = lambda found, of: F.size(F.filter(of(F.array(*[F.lit(x) for x in found]).cast(f"array<{kind}>")), lambda x: x <= c))
+    coarse = among(cuts[step - 1 :: step], lambda a: a) * step
+    return coarse + among(cuts, lambda a: F.slice(a, coarse + 1, F.lit(step)))
+
+
+def _holders(wanted: DataFrame, zones: DataFrame, cuts: tuple[list[str], list[int]]) -> DataFrame:
+    """key, hit, n: the segments from seg_order hit on whose range holds the key. wanted has key and hit, each row once.
+
+    They are counted, never listed: the segments that begin at the key or before it, less those that end before it. Of these
+    ends, a task for each range of keys counts those in its range, and one for each block of segments, from the newest on,
+    those in the ranges before. A row goes to one task of each kind, however many segments hold a key.
+    """
+    names, orders = cuts
+    span, block = _place(names, "string", F.col("key")), _place(orders, "bigint", F.col("seg"))
+    n_ranges, n_blocks = len(names) + 1, len(orders) + 1
+
+    # At one key, segments begin before it is asked for (step 1) and end after that (step 3).
+    start = F.struct(F.col("min_key").alias("key"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("step"))
+    end = F.struct(F.col("max_key").alias("key"), F.lit(-1).cast("long").alias("n"), F.lit(3).alias("step"))
+    known = zones.where(F.col("seg_order").isNotNull() & F.col("min_key").isNotNull())
+    ends = known.select(F.col("seg_order").cast("long").alias("seg"), F.inline(F.array(start, end))).withColumns({"range": span, "block": block})
+    asked = wanted.select("key", F.col("hit").cast("long").alias("seg"), F.lit(None).cast("long").alias("n"), F.lit(2).alias("step")).withColumn("range", span)
+
+    # What newer blocks have of each range: ranges times blocks rows at most, with a row for each so that none is left out.
+    grid = zones.sparkSession.range(n_ranges * n_blocks).select((F.col("id") % n_ranges).cast("int").alias("range"), F.floor(F.col("id") / n_ranges).cast("int").alias("block"), F.lit(0).cast("long").alias("n"))
+    cells = ends.select("range", "block", "n").unionByName(grid).groupBy("range", "block").agg(F.sum("n").alias("n"))
+    newer = Window.partitionBy("range").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    newer = cells.select("block", F.lit((1 << 63) - 1).alias("seg"), "range", F.sum("n").over(newer).alias("n")).where("n <> 0")
+
+    def ranges_before(batches):
+        place = None
+        for batch in batches:
+            out = []
+            for b, seg, r, n, asks in zip(*(batch.column(c).to_pylist() for c in ("block", "seg", "range", "n", "asks"))):
+                if b != place:
+                    place, held = b, [0] * n_ranges
+                if asks:
+                    out.append((r, seg, sum(held[:r])))
+                else:
+                    held[r] += n
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["range", "seg", "n"])
+
+    # Counted, not only made distinct: else Spark leaves out that keys are distinct already, and places each of their copies.
+    pairs = asked.groupBy("range", "seg").agg(F.count("*").alias("asks")).withColumns({"block": block, "n": F.lit(0).cast("long")})
+    rows = ends.select("block", "seg", "range", "n").unionByName(newer).withColumn("asks", F.lit(0).cast("long")).unionByName(pairs)
+    before = rows.repartition("block").sortWithinPartitions("block", F.desc("seg"), "asks").mapInArrow(ranges_before, "range int, seg long, n long")
+
+    def in_range(batches):
+        place = None
+        for batch in batches:
+            out = []
+            for r, key, step, seg, n in zip(*(batch.column(c).to_pylist() for c in ("range", "key", "step", "seg", "n"))):
+                if r != place:
+                    place, base, count, held = r, {}, [0] * n_blocks, defaultdict(lambda: ([], []))
+                if step == 0:
+                    base[seg] = n
+                    continue
+                b = bisect_right(orders, seg)
+                if step == 2:
+                    starts, stops = held[b] if b in held else ([], [])
+                    own = len(starts) - bisect_left(starts, seg) - len(stops) + bisect_left(stops, seg)
+                    out.append((key, seg, base[seg] + sum(count[b + 1 :]) + own))
+                else:
+                    insort(held[b][n < 0], seg)
+                    count[b] += n
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["key", "hit", "n"])
+
+    first = before.select("range", F.lit(None).cast("string").alias("key"), F.lit(0).alias("step"), "seg", "n")
+    rows = first.unionByName(ends.select(*first.columns)).unionByName(asked.select(*first.columns))
+    return rows.repartition("range").sortWithinPartitions("range", F.asc_nulls_first("key"), "step").mapInArrow(in_range, "key string, hit long, n long")
+
+
 def _in_range(keys: DataFrame, zones: DataFrame, ranges: int) -> DataFrame:
     """Keys with every segment whose range holds them: both are dealt to ranges of keys, so the join is by equality, and a
     segment goes only to the ranges that it reaches into."""
-    cuts = F.array(*[F.lit(c) for c in _cuts(keys, ranges)]).cast("array<string>")
+    cuts = F.array(*[F.lit(c) for c in _samples(keys, zones, ranges)[0]]).cast("array<string>")
     at = lambda c: F.size(F.filter(cuts, lambda x: x <= c))
     own = keys.withColumn("_range", at(F.col("key")))
     reach = zones.withColumn("_range", F.explode(F.sequence(at(F.col("min_key")), at(F.col("max_key")))))
@@ -104,8 +194,8 @@ def prune_ratio(segments: DataFrame, keys: DataFrame, ranges: int = RANGES) -> D
     zones = zone_maps(segments).select("seg_order", "min_key", "max_key")
     total = zones.agg(F.count("*").alias("segments"))  # one row
     wanted = keys.select("key").distinct()
-    held = _in_range(wanted, zones, ranges).groupBy("key").agg(F.count("*").alias("in_range"))
-    return wanted.join(held, "key", "left").join(F.broadcast(total)).select("key", (F.col("segments") - F.coalesce("in_range", F.lit(0))).alias("pruned"), "segments")
+    held = _holders(wanted.withColumn("hit", F.lit(ALL)), zones, _samples(wanted, zones, ranges))
+    return held.join(F.broadcast(total)).select("key", (F.col("segments") - F.col("n")).alias("pruned"), "segments")
 
 
 def merge(segments: DataFrame, drop_tombstones: bool = False) -> DataFrame:
