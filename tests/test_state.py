@@ -166,7 +166,7 @@ def most_rows(df):
     return got, most
 
 
-@pytest.mark.parametrize("query", ["prune_ratio"])
+@pytest.mark.parametrize("query", ["prune_ratio", "read_amplification"])
 def test_keys_and_segments_are_counted_not_paired(spark, query):
     """Every segment's range holds nearly every key, so pairs would be 90,000."""
     n = 300
@@ -181,4 +181,6 @@ def test_keys_and_segments_are_counted_not_paired(spark, query):
     got, most = most_rows(getattr(segments, query)(segs, spark.createDataFrame([(k,) for k in wanted], "key string"), 8))
     if query == "prune_ratio":
         assert {r.key: (r.pruned, r.segments) for r in got} == {k: (n - len(held[k]), n) for k in wanted}
+    else:
+        assert {r.key: (r.touched, r.found) for r in got} == {k: (sum(s >= hits.get(k, -1) for s in held[k]), k in hits) for k in wanted}
     assert len(got) == len(wanted) and sum(map(len, held.values())) > 80_000 and most < 10 * n

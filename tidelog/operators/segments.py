@@ -169,24 +169,14 @@ def _holders(wanted: DataFrame, zones: DataFrame, cuts: tuple[list[str], list[in
     return rows.repartition("range").sortWithinPartitions("range", F.asc_nulls_first("key"), "step").mapInArrow(in_range, "key string, hit long, n long")
 
 
-def _in_range(keys: DataFrame, zones: DataFrame, ranges: int) -> DataFrame:
-    """Keys with every segment whose range holds them: both are dealt to ranges of keys, so the join is by equality, and a
-    segment goes only to the ranges that it reaches into."""
-    cuts = F.array(*[F.lit(c) for c in _samples(keys, zones, ranges)[0]]).cast("array<string>")
-    at = lambda c: F.size(F.filter(cuts, lambda x: x <= c))
-    own = keys.withColumn("_range", at(F.col("key")))
-    reach = zones.withColumn("_range", F.explode(F.sequence(at(F.col("min_key")), at(F.col("max_key")))))
-    return own.join(reach, "_range").where((F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).drop("_range")
-
-
 def read_amplification(segments: DataFrame, keys: DataFrame, ranges: int = RANGES) -> DataFrame:
     """For each key: segments whose range holds it and that a read touches, newest first, until one has it."""
     zones = zone_maps(segments).select("seg_order", "min_key", "max_key")
     newest = segments.groupBy("key").agg(F.max("seg_order").alias("hit"))
-    wanted = keys.select("key").distinct().join(newest, "key", "left")
-    near = _in_range(wanted, zones, ranges)
-    touched = near.where(F.col("hit").isNull() | (F.col("seg_order") >= F.col("hit"))).groupBy("key").agg(F.count("*").alias("touched"))
-    return wanted.join(touched, "key", "left").select("key", F.coalesce("touched", F.lit(0)).alias("touched"), F.col("hit").isNotNull().alias("found"))
+    wanted = keys.select("key").distinct()
+    asked = wanted.join(newest, "key", "left").select("key", F.coalesce("hit", F.lit(ALL)).alias("hit"))
+    held = _holders(asked, zones, _samples(wanted, zones, ranges))
+    return held.select("key", F.col("n").alias("touched"), (F.col("hit") != ALL).alias("found"))
 
 
 def prune_ratio(segments: DataFrame, keys: DataFrame, ranges: int = RANGES) -> DataFrame:
